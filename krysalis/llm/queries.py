@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from krysalis.llm import exact, quality, simhash
+from krysalis.llm import bpe, exact, packing, quality, secrets, simhash
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op4_bpe_encode_decode": bpe.op4_bpe_encode_decode,
     "op5_exact_dedup": exact.op5_exact_dedup,
+    "op6_secret_scans": secrets.op6_secret_scans,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
