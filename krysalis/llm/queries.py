@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from krysalis.llm import bpe, exact, packing, quality, secrets, simhash
+from krysalis.llm import bpe, chat, exact, mixing, packing, pages, quality, secrets, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_lm_scoring": mixing.op3_lm_scoring,
     "op4_bpe_encode_decode": bpe.op4_bpe_encode_decode,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_secret_scans": secrets.op6_secret_scans,
+    "op7_html_extraction": pages.op7_html_extraction,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_chat_format": chat.op9_chat_format,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLES = {"op5_exact_dedup": exact.OP5_SQL}
+ORACLES = {"op5_exact_dedup": exact.OP5_SQL, "op9_chat_format": chat.OP9_SQL}
