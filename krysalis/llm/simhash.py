@@ -90,11 +90,11 @@ def trie_links(group: np.ndarray, fp: np.ndarray, errors: int) -> Iterator[tuple
 def _compared(node: np.ndarray, fp: np.ndarray, errors: int, at_once: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of each node pair, tested; in pieces of bounded size."""
     size = (node[:, 1] - node[:, 0]) * (node[:, 3] - node[:, 2])
-    cut = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + at_once, at_once), side="left") if len(size) else np.array([], int)
-    for lo, hi in zip(cut, [*cut[1:], len(size)], strict=True):
+    total, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + at_once, "right")))
         part, n = node[lo:hi], size[lo:hi]
-        if not len(part):
-            continue
+        lo = hi
         row = np.repeat(np.arange(len(part)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         width = (part[:, 3] - part[:, 2])[row]
