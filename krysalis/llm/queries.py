@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from krysalis.llm import bpe, chat, exact, mixing, packing, pages, quality, secrets, simhash
+from krysalis.llm import bpe, chat, exact, mixing, packing, pages, quality, secrets, simhash, suffixes
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_lm_scoring": mixing.op3_lm_scoring,
     "op4_bpe_encode_decode": bpe.op4_bpe_encode_decode,
     "op5_exact_dedup": exact.op5_exact_dedup,
