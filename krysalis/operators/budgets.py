@@ -110,7 +110,7 @@ def tag_row_kind(samples: DataFrame) -> DataFrame:
 
 def check_alignment(samples: DataFrame) -> DataFrame:
     """Samples whose right-hand side, solution and tag do not belong together; a sound table has none."""
-    return samples.filter(F.col("row_kind").isNull() | F.col("matrix_id").isNull() | ~(F.size("rhs") <=> F.size("solution")))
+    return samples.filter(F.col("row_kind").isNull() | F.col("matrix_id").isNull() | ~F.size("rhs").eqNullSafe(F.size("solution")))
 
 
 def check_mixable(budgets: DataFrame, n_matrices: int, replacement: bool = False, finite: tuple[str, ...] = ()) -> DataFrame:

@@ -36,7 +36,7 @@ def check_matrices(matrices: DataFrame) -> DataFrame:
 def check_vectors(vectors: DataFrame, matrices: DataFrame) -> DataFrame:
     """``vectors(sample_id, matrix_id, x)`` with ``problem``: null, ``length`` or ``not finite``."""
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    problem = F.when(~(F.size("x") <=> F.col("n")), "length").when(~finite, "not finite")
+    problem = F.when(~F.size("x").eqNullSafe(F.col("n")), "length").when(~finite, "not finite")
     return vectors.join(sizes(matrices), "matrix_id", "left").withColumn("problem", problem).drop("n")
 
 

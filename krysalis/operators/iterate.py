@@ -27,7 +27,8 @@ def solve_direct(matrices: DataFrame, rhs: DataFrame, largest: int = 4096) -> Da
     """
     chunk = F.pmod(F.xxhash64("system_id"), F.lit(16)).cast("int")
     parts = rhs.withColumn("chunk", chunk)
-    sent = guarded(matrices, largest).drop("n").join(parts.select("matrix_id", "chunk").distinct(), "matrix_id")
+    wanted = parts.select(F.col("matrix_id").alias("m"), F.col("chunk").alias("c")).distinct()
+    sent = guarded(matrices, largest).join(wanted, F.col("matrix_id") == F.col("m")).select("m", "c", "i", "j", "v")
 
     def run(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         out = b[["system_id", "matrix_id", "x"]].copy()
@@ -40,7 +41,7 @@ def solve_direct(matrices: DataFrame, rhs: DataFrame, largest: int = 4096) -> Da
                 pass
         return out
 
-    grouped = parts.groupBy("matrix_id", "chunk").cogroup(sent.groupBy("matrix_id", "chunk"))
+    grouped = parts.groupBy("matrix_id", "chunk").cogroup(sent.groupBy("m", "c"))
     return grouped.applyInPandas(run, "system_id long, matrix_id long, x array<double>, solution array<double>")
 
 
@@ -113,7 +114,8 @@ def power_extremes(matrices: DataFrame, max_iters: int = 1000, tolerance: float
 def _power(matrices: DataFrame, start: DataFrame, max_iters: int, tolerance: float) -> DataFrame:
     """``(matrix_id, value)``: the largest eigenvalue of A, or of shift − A where the shift is not 0."""
     size = start.groupBy("system_id").agg(F.sqrt(F.count(F.lit(1)).cast("double")).alias("root"))
-    state = materialize(start.join(size, "system_id").withColumn("x", 1 / F.col("root")).drop("root").withColumn("value", F.lit(0.0)))
+    first = F.col("x") if "x" in start.columns else 1 / F.col("root")
+    state = materialize(start.join(size, "system_id").withColumn("x", first).drop("root").withColumn("value", F.lit(0.0)))
     out: list[DataFrame] = []
     for step in range(max_iters):
         y = _apply(matrices, state, "x", "ax").withColumn("y", F.when(F.col("shift") != 0, F.col("shift") * F.col("x") - F.col("ax")).otherwise(F.col("ax")))
@@ -137,8 +139,11 @@ def power_norm(matrices: DataFrame, max_iters: int = 1000, tolerance: float = 1e
     left = matrices.select("matrix_id", F.col("i").alias("k"), F.col("j").alias("i"), F.col("v").alias("w"))
     square = materialize(left.join(right, ["matrix_id", "k"]).groupBy("matrix_id", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v")))
     meta = sizes(square)
-    ones = meta.select(F.col("matrix_id").alias("system_id"), "matrix_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.lit(0.0).alias("shift"))
-    return _power(square, ones, max_iters, tolerance).select("matrix_id", F.sqrt("value").alias("norm_spectral"))
+    start = meta.select(F.col("matrix_id").alias("system_id"), "matrix_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.lit(0.0).alias("shift"))
+    start = start.withColumn("x", normal(7, F.col("i")))  # not ones: they can be an eigenvector
+    norm = start.groupBy("system_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    start = start.join(norm, "system_id").withColumn("x", F.col("x") / F.col("norm")).drop("norm")
+    return _power(square, start, max_iters, tolerance).select("matrix_id", F.sqrt("value").alias("norm_spectral"))
 
 
 def condition_numbers(matrices: DataFrame, preconditioners: tuple[str, ...] = ("identity", "jacobi"), max_iters: int = 1000) -> DataFrame:

@@ -1,11 +1,9 @@
-"""Queries by name and the SQL that checks them."""
+"""All queries by name and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from krysalis.plans import analytics, linear, tables  # noqa: F401  they register their queries
+from krysalis.plans.fixtures import ORACLES, QUERIES
+from krysalis.plans.linear import flagship
 
-
-def flagship(spark, sf_dir):
-    """Placeholder until the solver comparison is in place: the embeddings by label."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+__all__ = ["ORACLES", "QUERIES", "flagship"]
