@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = library_cache(path)
         for batch in batches:
-            step = max(1, int(batch.num_rows * (1 << 24) / max(batch.nbytes, 1)))
+            step = max(1, int(batch.num_rows * (1 << 22) / max(batch.nbytes, 1)))
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
                 rows: list[tuple] = []
