@@ -339,8 +339,9 @@ def test_model_predicts_held_out_text(spark, sf_dir):
 
 def test_contexts_stay_inside_a_word():
     mixer = mixing.Mixer((14, 14, 14, 14))
-    mixer.tables = [np.zeros(2 << 14, np.float32) for _ in range(4)]
-    mixer.count([b"abc", b"abd", b"x"], np.array([5, 3, 2]), mixer.tables)
+    counts = [np.zeros(2 << 14, np.int32) for _ in range(4)]
+    mixer.count([b"abc", b"abd", b"x"], np.array([5, 3, 2]), counts)
+    mixer.tables = [np.round(10 * np.log2(1 + c)).astype(np.uint8) for c in counts]
     mixer.refine = mixing._refinement(np.zeros((len(mixer.weights) * mixing.REFINED, 2)))
     one, two = mixer.bits_of([b"abc", b"zzz"]), mixer.bits_of([b"zzz", b"abc"])
     assert one[0] == pytest.approx(two[1]) and one[0] < one[1]
