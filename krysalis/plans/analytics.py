@@ -28,10 +28,10 @@ def _history(spark, d):
     """Line items of an order as the residuals of a system."""
     by = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("system_id"))
     curve = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice"))), lambda x: x["l_extendedprice"])
-    return by.agg(curve.alias("residuals"), F.sum("l_quantity").cast("double").alias("b_norm")).withColumn("preconditioner", F.lit("identity"))
+    return by.agg(curve.alias("residuals"), F.sqrt(F.sum("l_quantity").cast("double") + 0.5).alias("b_norm")).withColumn("preconditioner", F.lit("identity"))
 
 
-HISTORY = "h AS (SELECT l_orderkey AS system_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) - 1)::INT AS iter, l_extendedprice AS absolute, l_extendedprice / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS relative FROM lineitem)"
+HISTORY = "h AS (SELECT l_orderkey AS system_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) - 1)::INT AS iter, l_extendedprice AS absolute, l_extendedprice / sqrt(sum(l_quantity) OVER (PARTITION BY l_orderkey) + 0.5) AS relative FROM lineitem)"
 
 
 @query("b7_comparison_scalars", f"WITH {SOLVES} SELECT system_id, preconditioner, {r6('condition_number')} AS condition_number, iterations, {r6('residual')} AS final_residual FROM solves")
