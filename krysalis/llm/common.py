@@ -1,69 +1,18 @@
-"""What the operators share: materialised tables, column names, batches of rows."""
+"""What the operators share: the separating white space, texts without null, tables that cut lineage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The ASCII white space that separates words everywhere in this package.
-SPACE = r"[\x20\x09-\x0D]"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (local tests) a temporary folder is set.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-krysalis-")
-        context.setCheckpointDir(folder)
-        folder = context.getCheckpointDir()
-    return folder
-
+from krysalis.functions.lineage import materialize, remove, shared_folder
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: short lineage, one computation.
+__all__ = ["SPACE", "materialize", "remove", "shared_folder", "text_of"]
 
-    A lost executor then costs a re-read, not a recomputation. The table is
-    removed when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/krysalis-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None:
-        return
-    try:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the gateway may be gone at exit; the folder is scratch space
-        pass
+#: The ASCII white space that separates words everywhere in this package.
+SPACE = r"[\x20\x09-\x0D]"
 
 
-def text_of(column: str) -> F.Column:
+def text_of(column: str) -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
-
-
-def rows_of(batches: Iterable[pa.RecordBatch], at_most: int = 1 << 24) -> Iterator[list[list]]:
-    """Columns as lists, cut so that one piece holds about ``at_most`` bytes at most."""
-    for batch in batches:
-        step = max(1, int(batch.num_rows * at_most / max(batch.nbytes, 1)))
-        for lo in range(0, batch.num_rows, step):
-            yield [c.to_pylist() for c in batch.slice(lo, step).columns]

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from krysalis.llm.common import materialize, shared_folder, text_of
+from krysalis.llm.common import materialize, remove, shared_folder, text_of
 
 LENGTH = 50
 #: Bytes that an anchor's order is drawn from; each window of LENGTH bytes has one anchor, the least of LENGTH - SEED + 1.
@@ -399,7 +399,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     name = f"krysalis_{uuid.uuid4().hex}"
     writer = _blocks(given, buckets, code_bits, block_bytes).write.option("path", f"{shared_folder(spark)}/{name}").option("compression", "uncompressed")
     writer.bucketBy(int(min(1 << 13, max(12, size >> 24))), "block").saveAsTable(name)
-    atexit.register(_drop, spark, name)
+    atexit.register(remove, spark, f"{shared_folder(spark)}/{name}")
     blocks = spark.table(name)
     bits = materialize(_shared_codes(blocks))
     marks = materialize(_marks(_runs(blocks, bits, buckets, code_bits)))
@@ -428,12 +428,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
 
 
-def _drop(spark, name: str) -> None:
-    from krysalis.llm.common import _remove
-
-    _remove(spark, f"{shared_folder(spark)}/{name}")
-
-
 def op2_suffix_dedup(spark, sf_dir):
     """What is removed from every document, and the digest of the rest."""
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True).withColumnRenamed("id", "doc_id")
