@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from krysalis.functions.rng import rank_key, uniform
+from krysalis.operators.ordering import numbered, running_before
 from krysalis.schemas import CG_INTERNAL, STANDARD
 
 #: Other names of strategies, and what holds of each kind.
@@ -48,7 +49,7 @@ def allocate_rows(bindings: DataFrame, count: int, replacement: bool = False, se
     if count < 0:
         return bindings.select("binding", F.lit(-1).cast("long").alias("rows"))
     m = bindings.count()
-    ranked = bindings.select("binding", (F.row_number().over(Window.orderBy("binding")) - 1).alias("rank"))
+    ranked = numbered(bindings.select("binding"), "binding", name="rank")
     if not replacement:
         return ranked.select("binding", (F.lit(count // max(m, 1)) + (F.col("rank") < count % max(m, 1)).cast("int")).cast("long").alias("rows"))
     draws = bindings.sparkSession.range(count).select(F.floor(uniform(seed, F.col("id")) * m).cast("int").alias("rank")).groupBy("rank").count()
@@ -57,8 +58,7 @@ def allocate_rows(bindings: DataFrame, count: int, replacement: bool = False, se
 
 def archive_offsets(allocation: DataFrame) -> DataFrame:
     """``allocation(binding, rows)`` with ``skip``, the rows that earlier bindings have taken."""
-    before = F.sum("rows").over(Window.orderBy("binding").rowsBetween(Window.unboundedPreceding, -1))
-    return allocation.withColumn("skip", F.coalesce(before, F.lit(0)).cast("long"))
+    return running_before(allocation, "rows", "binding", name="skip")
 
 
 def trace_budget(budgets: DataFrame, iterations: int, every_n: int = 1) -> DataFrame:
@@ -74,8 +74,7 @@ def trim_rows(traces: DataFrame, n: int) -> DataFrame:
     outside are not sorted together with the rest.
     """
     per = traces.groupBy("system_id").agg(F.count(F.lit(1)).alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.orderBy("system_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = per.select("system_id", before.alias("before")).filter(F.col("before") < n)
+    starts = running_before(per, "rows", "system_id").filter(F.col("before") < n).select("system_id", "before")
     rank = F.row_number().over(Window.partitionBy("system_id").orderBy("iter"))
     return traces.withColumn("rank", rank).join(starts, "system_id").filter(F.col("before") + F.col("rank") <= n).drop("rank", "before")
 

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from krysalis.functions.rng import normal, rank_key
+from krysalis.operators.ordering import numbered
 
 ID_PATTERN = r"(\d+)(?!.*\d)"
 
@@ -32,20 +33,10 @@ def duplicate_ids(files: DataFrame) -> DataFrame:
 
 
 def assign_ids_by_order(files: DataFrame, by: str = "name") -> DataFrame:
-    """Files with ``id`` from 0 in order of name or modification time.
-
-    Ranks in two levels, by ranges of hashed order being impossible here: files
-    are sorted by Spark and numbered by partition offsets, not in one task.
-    """
+    """Files with ``id`` from 0 in order of name or modification time."""
     if by not in ("name", "mtime"):
         raise ValueError("by name or mtime")
-    order = ["path"] if by == "name" else ["modificationTime", "path"]
-    ranged = files.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    part, place = F.shiftright("__at", 33).alias("part"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place")
-    placed = ranged.select(*files.columns, part, place)
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return placed.join(before, "part").select(*files.columns, (F.col("before") + F.col("place")).alias("id"))
+    return numbered(files, *(["path"] if by == "name" else ["modificationTime", "path"]), name="id")
 
 
 def filter_ids(df: DataFrame, include: list[int] | None = None, exclude: list[int] | tuple = (), key: str = "id") -> DataFrame:
