@@ -41,10 +41,10 @@ def check_vectors(vectors: DataFrame, matrices: DataFrame) -> DataFrame:
 
 
 def check_symmetric(matrices: DataFrame, tolerance: float = 1e-10) -> DataFrame:
-    """``(matrix_id, asymmetry, symmetric)``: the largest |a_ij − a_ji|, absent entries as 0."""
+    """``(matrix_id, asymmetry, is_symmetric)``: the largest |a_ij − a_ji|, absent entries as 0."""
     turned = matrices.select("matrix_id", F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("v")).alias("v"))
     apart = matrices.select("matrix_id", "i", "j", "v").unionByName(turned).groupBy("matrix_id", "i", "j").agg(F.abs(F.sum("v")).alias("d"))
-    return apart.groupBy("matrix_id").agg(F.max("d").alias("asymmetry")).withColumn("symmetric", F.col("asymmetry") <= tolerance)
+    return apart.groupBy("matrix_id").agg(F.max("d").alias("asymmetry")).withColumn("is_symmetric", F.col("asymmetry") <= tolerance)
 
 
 def breakdown_reasons(solutions: DataFrame) -> DataFrame:

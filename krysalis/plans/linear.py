@@ -411,7 +411,7 @@ def i4(spark, d):
     return checks.check_vectors(e, gram(spark, d)).select("vec_id", "problem")
 
 
-@query("i5_check_symmetric", f"WITH {FLOW}, f AS (SELECT matrix_id, i, j, v + CASE WHEN i = 0 AND j = 1 THEN 0.5 ELSE 0 END AS v FROM flow), p AS (SELECT matrix_id, i, j, sum(v) AS d FROM (SELECT matrix_id, i, j, v FROM f UNION ALL SELECT matrix_id, j, i, -v FROM f) GROUP BY 1, 2, 3) SELECT matrix_id, {r6('max(abs(d))')} AS asymmetry, max(abs(d)) <= 1e-10 AS symmetric FROM p GROUP BY 1")
+@query("i5_check_symmetric", f"WITH {FLOW}, f AS (SELECT matrix_id, i, j, v + CASE WHEN i = 0 AND j = 1 THEN 0.5 ELSE 0 END AS v FROM flow), p AS (SELECT matrix_id, i, j, sum(v) AS d FROM (SELECT matrix_id, i, j, v FROM f UNION ALL SELECT matrix_id, j, i, -v FROM f) GROUP BY 1, 2, 3) SELECT matrix_id, {r6('max(abs(d))')} AS asymmetry, max(abs(d)) <= 1e-10 AS is_symmetric FROM p GROUP BY 1")
 def i5(spark, d):
     a = flow(spark, d).withColumn("v", F.col("v") + F.when((F.col("i") == 0) & (F.col("j") == 1), 0.5).otherwise(0.0))
     return rounded(checks.check_symmetric(a), "asymmetry")
