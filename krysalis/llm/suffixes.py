@@ -20,7 +20,7 @@ from krysalis.llm.common import materialize, remove, shared_folder, text_of
 LENGTH = 50
 #: Bytes that an anchor's order is drawn from; each window of LENGTH bytes has one anchor, the least of LENGTH - SEED + 1.
 SEED = 24
-BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 1 << 23, 1 << 23, 1 << 14
+BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 1 << 22, 1 << 23, 1 << 14
 _A, _B, _C = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
