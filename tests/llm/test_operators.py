@@ -171,6 +171,26 @@ def test_near_duplicates_share_shingles(spark):
     assert all(found[i] // 2 == i // 2 for i in found)
 
 
+def test_near_duplicates_with_contiguous_edits(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    new = lambda n: [rng.choice(words) for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(300):
+        text = new(rng.randint(60, 1500))
+        cut = int(len(text) * rng.uniform(0.8, 0.9)) + 5
+        other = [text[:cut], text[:cut] + new((len(text) - cut) // 2), text + new(len(text) - cut)][k % 3]
+        pairs.append((text, other))
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    found = {r["id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shingles = lambda t: set(zip(*(t[i:] for i in range(5)), strict=False))
+    alike = lambda a, b: len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))
+    for kind in range(3):
+        caught = [found[2 * k + 1] == found[2 * k] for k in range(kind, 300, 3) if alike(*pairs[k])]
+        assert len(caught) > 60 and sum(caught) >= 0.97 * len(caught)
+    assert all(found[i] // 2 == i // 2 for i in found)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (600, 601), (601, 600)], "u long, v long")
     found = {}
