@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -142,14 +143,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def hamming_links(distinct: DataFrame, errors: int = 3, group_cap: int = GROUP_CAP, wide: tuple[str, ...] = (), wide_errors: int = 0, least: int = 1, bands: str | None = None) -> DataFrame:
+def hamming_links(distinct: DataFrame, errors: int = 3, group_cap: int = GROUP_CAP, wide: tuple[str, ...] = (), wide_errors: int = 0, least: int = 1) -> DataFrame:
     """Edges ``(u, v)`` of a spanning forest of all pairs of ``distinct(fp)`` within ``errors`` bits.
 
     With ``wide`` columns pairs must also be within ``wide_errors`` bits over
     these words, and nodes are named by the column ``node``, else by ``fp``.
-    With ``bands``, a column of arrays of keys, only pairs with a key in common count.
 
-    Fingerprints meet under each mask of ``tables_for`` or key of ``bands``; a group of over
+    Fingerprints meet under each mask of ``tables_for``; a group of over
     ``group_cap`` is cut into parts by hash and each pair of parts is a group of
     its own, so every pair still meets and no task holds more than two parts'
     rows. In a group the trie self-join finds the links, of which a spanning
@@ -159,34 +159,40 @@ def hamming_links(distinct: DataFrame, errors: int = 3, group_cap: int = GROUP_C
     if "node" not in distinct.columns:
         distinct = distinct.withColumn("node", F.col("fp"))
     columns = ["node", "fp", *wide]
-    if bands is None:
-        masks = tables_for(distinct.count(), errors, least)
-        keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    else:
-        keys = F.transform(bands, lambda key, t: F.struct(t.alias("t"), key.alias("key")))
-    large = distinct.select(F.explode(keys).alias("k")).groupBy("k.t", "k.key").count()
+    masks = tables_for(distinct.count(), errors, least)
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
+    grouped = _dealt(distinct.select(*columns, F.explode(keys).alias("k")).select(*columns, "k.t", "k.key"), columns, group_cap)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches, 1 + len(columns)):
+            yield _edges(rows, errors, wide_errors)
+
+    return grouped.mapInArrow(run, "u long, v long")
+
+
+def _dealt(keyed: DataFrame, columns: list[str], group_cap: int) -> DataFrame:
+    """``(g, columns ...)`` of ``keyed(columns ..., t, key)``, sorted by group; groups over ``group_cap`` are dealt out in pairs of parts."""
+    large = keyed.groupBy("t", "key").count()
     large = materialize(large.filter(F.col("count") > group_cap).select("t", "key", F.ceil(F.col("count") / group_cap).cast("int").alias("parts")))
-    keyed = distinct.select(*columns, F.explode(keys).alias("k")).select(*columns, "k.t", "k.key")
     if large.isEmpty():
         dealt = keyed.select(*columns, "t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"))
     else:
         sized = keyed.join(large, ["t", "key"], "left").select(*columns, "t", "key", F.coalesce("parts", F.lit(1)).alias("parts"))
         part = sized.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         dealt = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns, "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    grouped = dealt.select(F.xxhash64("t", "key", "i", "j").alias("g"), *columns).repartition("g")
+    return dealt.select(F.xxhash64("t", "key", "i", "j").alias("g"), *columns).repartition("g").sortWithinPartitions("g")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Whole groups are joined some 100,000 rows at a time: rows come sorted by group.
-        held = np.zeros((0, 1 + len(columns)), np.int64)
-        for batch in batches:
-            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], 1)])
-            whole = int(np.searchsorted(held[:, 0], held[-1, 0], "left")) if len(held) else 0
-            if whole >= 100_000:
-                yield _edges(held[:whole], errors, wide_errors)
-                held = held[whole:]
-        yield _edges(held, errors, wide_errors)
 
-    return grouped.sortWithinPartitions("g").mapInArrow(run, "u long, v long")
+def _whole_groups(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    """Rows that come sorted by group, whole groups some 100,000 rows at a time."""
+    held = np.zeros((0, width), np.int64)
+    for batch in batches:
+        held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], 1)])
+        whole = int(np.searchsorted(held[:, 0], held[-1, 0], "left")) if len(held) else 0
+        if whole >= 100_000:
+            yield held[:whole]
+            held = held[whole:]
+    yield held
 
 
 def _edges(rows: np.ndarray, errors: int, wide_errors: int) -> pa.RecordBatch:
@@ -219,12 +225,14 @@ def near_components(fps: DataFrame, id_col: str = "doc_id", errors: int = 3, gro
     return fps.join(by_node, "node").drop("node")
 
 
-#: Near duplicates on word shingles: words of the shingles, bytes of words that candidates are found by, and error budgets.
+#: Near duplicates on word shingles. LONG_WORD, CANDIDATE_ERRORS and WIDE_ERRORS, like document_fingerprints, only serve the
+#: comparison by fingerprint bits in tests/llm/test_pipeline.py; links are by exact similarity.
 SHINGLE_WORDS, LONG_WORD, CANDIDATE_ERRORS, WIDE, WIDE_ERRORS = 5, 5, 8, ("w0", "w1", "w2", "w3"), 54
 #: Min-hash bands that bring candidates together: at similarity 0.8 a pair shares none with probability (1 - 0.8 ** 4) ** 16 < 0.0003.
 BANDS, BAND_ROWS = 16, 4
 #: Budget of the trie join on 64 bits of the shingle fingerprint: at similarity 0.8 they differ in 9.7 on average, with deviation 2.9.
-TRIE_ERRORS = 24
+#: LOOSE_ERRORS is that of all 256 bits: 38.8 on average, with deviation 5.7. Both only spare comparisons of shingles.
+TRIE_ERRORS, LOOSE_ERRORS = 24, 72
 _XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
 _ODD |= np.uint64(1)
 
@@ -288,18 +296,78 @@ def _majority(hashes: np.ndarray) -> int:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cap: int = GROUP_CAP) -> DataFrame:
     """``(id, component_id)``: documents that share four fifths of their 5-word shingles are in one component.
 
-    Candidates share a min-hash band and come from the trie join on 64 bits of
-    the shingle fingerprint; pairs within ``WIDE_ERRORS`` of its 256 bits are
-    linked. Equal shingle sets are one node.
+    Candidates share a min-hash band and are within the loose budgets of the trie
+    join on the shingle fingerprint; those whose shingle sets have a Jaccard
+    similarity of 0.8 or more are linked. Equal sets are one node. Each node's
+    nearest candidates are compared first, which joins most of a group by rows
+    in proportion to its members; then all candidates in different components.
+    """
+    members = _shingled(docs, id_col, text_col)
+    nodes = materialize(members.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bands", *WIDE))).withColumn("root", F.col("node")))
+    first = _linked(_candidates(nodes, group_cap, nearest=True), members)
+    roots = connected_components(first)
+    placed = nodes.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    second = _linked(_candidates(materialize(placed), group_cap, nearest=False), members)
+    return _named(members.select("id", "node"), connected_components(first.unionByName(second)))
+
+
+def _candidates(nodes: DataFrame, group_cap: int, nearest: bool) -> DataFrame:
+    """Distinct pairs ``(u, v)`` of ``nodes(node, bands, w0 ... w3, root)`` of different roots within the loose budgets.
+
+    With ``nearest`` a group gives the pair of least distance of each member
+    only, else all.
     """
-    nodes_of = _shingled(docs, id_col, text_col)
-    nodes = materialize(nodes_of.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bands", *WIDE))).withColumn("fp", F.col("w0")))
-    edges = materialize(hamming_links(nodes, TRIE_ERRORS, group_cap, WIDE, WIDE_ERRORS, bands="bands"))
-    return _named(nodes_of.select("id", "node"), connected_components(edges))
+    columns = ["node", "root", *WIDE]
+    grouped = _dealt(nodes.select(*columns, F.posexplode("bands").alias("t", "key")), columns, group_cap)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches, 1 + len(columns)):
+            rows = rows[np.lexsort((rows[:, 3].view(np.uint64), rows[:, 0]))]
+            wide = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+            best = np.full(len(rows), np.iinfo(np.int64).max)
+            for a, b in trie_links(rows[:, 0], np.ascontiguousarray(wide[:, 0]), TRIE_ERRORS, wide, LOOSE_ERRORS):
+                apart = rows[a, 2] != rows[b, 2]
+                a, b = a[apart], b[apart]
+                if nearest:
+                    away = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) << 40
+                    np.minimum.at(best, a, away + b)
+                    np.minimum.at(best, b, away + a)
+                else:
+                    yield _pairs(rows[a, 1], rows[b, 1])
+            found = np.flatnonzero(best < np.iinfo(np.int64).max)
+            yield _pairs(rows[found, 1], rows[best[found] & ((1 << 40) - 1), 1])
+
+    return grouped.mapInArrow(run, "u long, v long").distinct()
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+
+def _linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs of nodes whose shingle sets have a Jaccard similarity of 0.8 or more, counted from the texts of ``members(node, text)``."""
+    pairs = materialize(pairs)
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = materialize(members.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = lru_cache(64)(shingle_set)
+        for batch in batches:
+            alike = [similar(sets(a.as_py()), sets(b.as_py())) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
+
+    return materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+
+
+def similar(a: set, b: set) -> bool:
+    """Whether the Jaccard similarity is four fifths or more."""
+    common = len(a & b)
+    return 5 * common >= 4 * (len(a) + len(b) - common)
 
 
 def _shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A table ``(id, node, bands, w0 ... w3)``: a row for each document, its node being a digest of its shingle set."""
+    """A table ``(id, text, node, bands, w0 ... w3)``: a row for each document, its node being a digest of its shingle set."""
     given = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,9 +379,9 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bands.append(band_keys(base).view(np.int64))
                 wide.append(_wide(base))
             columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (node, *(zip(*wide, strict=True) if wide else [[]] * len(WIDE)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), columns[0], pa.array(bands, pa.list_(pa.int64())), *columns[1:]], ["id", "node", "bands", *WIDE])
+            yield pa.RecordBatch.from_arrays([*batch.columns, columns[0], pa.array(bands, pa.list_(pa.int64())), *columns[1:]], ["id", "text", "node", "bands", *WIDE])
 
-    schema = StructType([given.schema.fields[0], *StructType.fromDDL("node long, bands array<long>").fields, *(StructField(c, LongType()) for c in WIDE)])
+    schema = StructType([*given.schema.fields, *StructType.fromDDL("node long, bands array<long>").fields, *(StructField(c, LongType()) for c in WIDE)])
     return materialize(given.mapInArrow(run, schema))
 
 

@@ -191,6 +191,46 @@ def test_near_duplicates_with_contiguous_edits(spark):
     assert all(found[i] // 2 == i // 2 for i in found)
 
 
+def test_near_duplicates_leave_less_similar_texts(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    shingles = lambda t: set(zip(*(t[i:] for i in range(5)), strict=False))
+    rows, alike = [], []
+    for k in range(200):
+        text = [rng.choice(words) for _ in range(rng.randint(100, 400))]
+        other = list(text)
+        while len(shingles(text) & shingles(other)) >= 0.78 * len(shingles(text) | shingles(other)):
+            other[rng.randrange(len(other))] = rng.choice(words)
+        alike.append(len(shingles(text) & shingles(other)) / len(shingles(text) | shingles(other)))
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    found = {r["id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(alike) > 0.7
+    assert all(found[i] == i for i in found)
+
+
+def test_near_duplicate_components_equal_brute_force(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    texts = []
+    for _ in range(12):
+        origin = [rng.choice(words) for _ in range(rng.randint(60, 200))]
+        for _ in range(25):
+            text = list(origin)
+            for _ in range(rng.randint(0, len(text) // 60)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            texts.append(text[: len(text) - rng.randint(0, len(text) // 6)])
+    sets = [set(zip(*(t[i:] for i in range(5)), strict=False)) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and label[i] != label[j]:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    for cap in (4096, 7):
+        given = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        found = {r["id"]: r["component_id"] for r in simhash.near_duplicates(given, group_cap=cap).collect()}
+        assert [found[i] for i in range(len(texts))] == label
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (600, 601), (601, 600)], "u long, v long")
     found = {}
