@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on a small table of awkward cases."""
 
+import base64
 import hashlib
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -102,6 +104,29 @@ def test_quality_keeps_clean_documents(spark, sf_dir):
     assert clean.count() == 0
 
 
+def test_quality_rejects_wrapped_base64_and_repetition(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    prose = lambda n: "\n".join(" ".join(rng.choices(words, k=12)) for _ in range(n // 60))[:n]
+
+    def blob(n, width=76):
+        raw = base64.b64encode(rng.randbytes(n)).decode()
+        return "\n".join(raw[k : k + width] for k in range(0, n, width))[:n]
+
+    bad = [blob(n, w) for n in (900, 1500, 3000, 4090, 5000, 8192, 12000, 70000) for w in (40, 64, 76) if n // w >= 20]
+    bad += [prose(4096) + blob(8000), prose(4096) + blob(5000), blob(4096) + prose(3000)]
+    good = [prose(n) for n in (1500, 3000, 5000, 12000)] + [prose(8192) + blob(3000)]
+    good.append(prose(4096) + "ab\n" * 1000)  # under half of the bytes repeat
+    bad.append(prose(4096) + "ab\n" * 1700)
+    rows = [(k, t) for k, t in enumerate(bad + good)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "quality.*").collect()}
+    by_bands = [quality.measured(t, zstandard.ZstdCompressor(level=3), 0, 100)[-1] for _, t in rows]
+    assert by_bands == [False] * len(bad) + [True] * len(good)
+    assert not any(got[k]["kept"] for k in range(len(bad)))
+    tail = got[len(bad) + 4]
+    assert (tail["n_chunks"], tail["chunks_out"]) == (3, 1)
+
+
 def brute_fingerprint(t):
     words = SPACE.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
     parts = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
