@@ -131,10 +131,19 @@ def sparse_rhs(matrices, budgets, seed=42, indices=(0,), values=(1.0,), method="
     return inverse(matrices, places.select("system_id", "matrix_id", "i", value.alias("v")), method, **options)
 
 
+def _held(archive: DataFrame, budgets: DataFrame) -> DataFrame:
+    """The rows of ``archive(matrix_id, row, ...)`` under each matrix's budget; -1 takes all, and a shorter archive is an error."""
+    supply = archive.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("supply"))
+    short = budgets.join(supply, "matrix_id", "left").filter(F.coalesce("supply", F.lit(0)) < F.col("rows")).select("matrix_id", "rows").first()
+    if short:
+        raise ValueError(f"the archive of matrix {short[0]} is shorter than its budget of {short[1]} rows")
+    return archive.join(budgets, "matrix_id").filter((F.col("rows") < 0) | (F.col("row") < F.col("rows")))
+
+
 @register("solution_archive")
 def solution_archive(matrices, budgets, seed=42, archive=None, scale=1.0):
     """Archived solutions ``archive(matrix_id, row, x)`` and their right-hand sides."""
-    held = archive.join(budgets, "matrix_id").filter(F.col("row") < F.col("rows"))
+    held = _held(archive, budgets)
     x = held.select((F.col("matrix_id") * ROWS + F.col("row")).alias("system_id"), "matrix_id", F.posexplode("x").alias("i", "v"))
     return forward(matrices, x.withColumn("v", F.col("v") * scale))
 
@@ -148,7 +157,7 @@ def scaled_solutions(matrices, budgets, seed=42, archive=None, scale=5.0):
 @register("rhs_archive")
 def rhs_archive(matrices, budgets, seed=42, archive=None, method="direct", **options):
     """Archived right-hand sides ``archive(matrix_id, row, x)``, solved."""
-    held = archive.join(budgets, "matrix_id").filter(F.col("row") < F.col("rows"))
+    held = _held(archive, budgets)
     b = held.select((F.col("matrix_id") * ROWS + F.col("row")).alias("system_id"), "matrix_id", F.posexplode("x").alias("i", "v"))
     return inverse(matrices, b, method, **options)
 
@@ -156,8 +165,8 @@ def rhs_archive(matrices, budgets, seed=42, archive=None, method="direct", **opt
 @register("validated_archive")
 def validated_archive(matrices, budgets, seed=42, solutions=None, rhs=None, tolerance=1e-6, fail=True):
     """Archived pairs whose residual is within ``tolerance``; others are an error, or left out."""
-    pairs = solutions.join(rhs.withColumnRenamed("x", "b"), ["matrix_id", "row"]).join(budgets, "matrix_id").filter(F.col("row") < F.col("rows"))
-    both = pairs.select((F.col("matrix_id") * ROWS + F.col("row")).alias("system_id"), "matrix_id", F.posexplode(F.arrays_zip("x", "b")).alias("i", "p"))
+    pairs = solutions.join(rhs.withColumnRenamed("x", "b"), ["matrix_id", "row"])
+    both = _held(pairs, budgets).select((F.col("matrix_id") * ROWS + F.col("row")).alias("system_id"), "matrix_id", F.posexplode(F.arrays_zip("x", "b")).alias("i", "p"))
     x = both.select("system_id", "matrix_id", "i", F.col("p.x").alias("v"))
     found = spmv(matrices, x).select("system_id", "i", F.col("v").alias("ax"))
     joined = both.join(found, ["system_id", "i"])
@@ -225,10 +234,10 @@ def residuals(matrices, budgets, seed=42, archive=None, iterations=8, every_n=1)
     """Rows (r_k, x* − x_k) of conjugate gradients from zero, x* from the archive; ``iter`` tells the step.
 
     ``budgets.rows`` are trace rows a matrix: enough systems are run, and the
-    rows over the budget are cut.
+    rows over the budget are cut; -1 rows mean all rows of all archived systems.
     """
     per = iterations // every_n + 1
-    held = archive.join(budgets, "matrix_id").filter(F.col("row") < F.ceil(F.col("rows") / per))
+    held = _held(archive, budgets.withColumn("rows", F.when(F.col("rows") < 0, F.col("rows")).otherwise(F.ceil(F.col("rows") / per))))
     x = held.select((F.col("matrix_id") * ROWS + F.col("row")).alias("system_id"), "matrix_id", F.posexplode("x").alias("i", "v"))
     return _cut(_traces(matrices, x, iterations, every_n), budgets, per, F.col("r"), F.col("truth") - F.col("x"))
 
@@ -254,7 +263,7 @@ def search_directions(matrices, budgets, seed=42, iterations=8, every_n=1):
 def _cut(steps: DataFrame, budgets: DataFrame, per: int, rhs: Column, solution: Column) -> DataFrame:
     """The first rows of each matrix's traces, as many as its budget: a row's number is its system's times ``per`` and its step's."""
     numbered = steps.join(budgets, "matrix_id").withColumn("number", (F.col("system_id") - F.col("matrix_id") * ROWS) * per + F.col("iter"))
-    return numbered.filter(F.col("number") < F.col("rows")).select("system_id", "matrix_id", "iter", "i", rhs.alias("rhs"), solution.alias("solution"))
+    return numbered.filter((F.col("rows") < 0) | (F.col("number") < F.col("rows"))).select("system_id", "matrix_id", "iter", "i", rhs.alias("rhs"), solution.alias("solution"))
 
 
 def generate(matrices: DataFrame, budgets: DataFrame, seed: int = 42, options: dict[str, dict] | None = None) -> DataFrame:

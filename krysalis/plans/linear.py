@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from krysalis.operators import algebra, checks, iterate, scaling, strategies
-from krysalis.plans.fixtures import ARCHIVE, E, FLOW, GRAM, archive, archive_rows, budgets, embeddings, flow, flow_vectors, flow_vectors_sql, gram, normal_sql, query, r6, rounded, uniform_sql
+from krysalis.plans.fixtures import ARCHIVE, E, FLOW, GRAM, ORACLES, archive, archive_rows, budgets, embeddings, flow, flow_vectors, flow_vectors_sql, gram, normal_sql, query, r6, rounded, uniform_sql
 
 SPMV = "ax AS (SELECT x.system_id, x.matrix_id, a.i, sum(a.v * x.v) AS v FROM x JOIN flow a ON a.matrix_id = x.matrix_id AND a.j = x.i GROUP BY 1, 2, 3)"
 GRAM_SIZE = "size AS (SELECT matrix_id, greatest(max(i), max(j)) + 1 AS n FROM gram GROUP BY 1)"
@@ -185,8 +185,8 @@ _forward("e7_constant_forward", "2.5::DOUBLE", value=2.5)
 _forward("e9_neutral_ones", "1.0::DOUBLE")
 
 
-def _archive_pairs(scale: float) -> str:
-    return f"WITH {GRAM}, {ARCHIVE}, x AS (SELECT system_id, matrix_id, i, v * {scale} AS v FROM av WHERE row < 5), ax AS (SELECT x.system_id, a.i, sum(a.v * x.v) AS v FROM x JOIN gram a ON a.matrix_id = x.matrix_id AND a.j = x.i GROUP BY 1, 2) SELECT x.system_id, x.matrix_id, x.i, {r6('ax.v')} AS rhs, {r6('x.v')} AS solution FROM x JOIN ax USING (system_id, i)"
+def _archive_pairs(scale: float, which: str = "row < 5") -> str:
+    return f"WITH {GRAM}, {ARCHIVE}, x AS (SELECT system_id, matrix_id, i, v * {scale} AS v FROM av WHERE {which}), ax AS (SELECT x.system_id, a.i, sum(a.v * x.v) AS v FROM x JOIN gram a ON a.matrix_id = x.matrix_id AND a.j = x.i GROUP BY 1, 2) SELECT x.system_id, x.matrix_id, x.i, {r6('ax.v')} AS rhs, {r6('x.v')} AS solution FROM x JOIN ax USING (system_id, i)"
 
 
 @query("e11_solution_archive", _archive_pairs(1.0))
@@ -201,14 +201,29 @@ def e13(spark, d):
     return rounded(strategies.scaled_solutions(a, budgets(a, 5), archive=archive(spark, d).drop("vec_id")), "rhs", "solution")
 
 
+@query("e11_solution_archive_whole", _archive_pairs(1.0, "true"))
+def e11_whole(spark, d):
+    a = gram(spark, d)
+    return rounded(strategies.solution_archive(a, budgets(a, -1), archive=archive(spark, d).drop("vec_id")), "rhs", "solution")
+
+
+@query("e13_scaled_solutions_whole", _archive_pairs(5.0, "true"))
+def e13_whole(spark, d):
+    a = gram(spark, d)
+    return rounded(strategies.scaled_solutions(a, budgets(a, -1), archive=archive(spark, d).drop("vec_id")), "rhs", "solution")
+
+
 @query("e14_validated_archive", f"WITH {flow_vectors_sql(4)}, {SPMV} SELECT x.system_id, x.matrix_id, x.i, {r6('ax.v')} AS rhs, {r6('x.v')} AS solution FROM x JOIN ax USING (system_id, i) WHERE x.row % 2 = 0")
-def e14(spark, d):
+def e14(spark, d, rows=4):
     """Every second archived pair is spoilt and left out."""
     a = flow(spark, d)
     x = flow_vectors(a, 4)
     named = lambda v: algebra.packed(v, "system_id", "matrix_id").select("matrix_id", (F.col("system_id") - F.col("matrix_id") * (1 << 24)).alias("row"), "x")
     b = named(algebra.spmv(a, x)).withColumn("x", F.when(F.col("row") % 2 == 1, F.transform("x", lambda v: v + 1.0)).otherwise(F.col("x")))
-    return rounded(strategies.validated_archive(a, budgets(a, 4), solutions=named(x), rhs=b, fail=False), "rhs", "solution")
+    return rounded(strategies.validated_archive(a, budgets(a, rows), solutions=named(x), rhs=b, fail=False), "rhs", "solution")
+
+
+query("e14_validated_archive_whole", ORACLES["e14_validated_archive"])(lambda spark, d: e14(spark, d, -1))
 
 
 def _sound(a, pairs):
@@ -243,6 +258,12 @@ def e12(spark, d):
     return _sound(a, strategies.rhs_archive(a, budgets(a, 3), archive=archive(spark, d).drop("vec_id")))
 
 
+@query("e12_rhs_archive_whole", f"WITH {ARCHIVE} SELECT DISTINCT system_id, true AS accurate FROM av")
+def e12_whole(spark, d):
+    a = gram(spark, d)
+    return _sound(a, strategies.rhs_archive(a, budgets(a, -1), archive=archive(spark, d).drop("vec_id")))
+
+
 def cg_sql(steps: int, m: str = "1.0", matrices: str = "flow") -> str:
     """Unrolled conjugate gradients on ``b(system_id, matrix_id, i, v)``: tables ``s0`` to ``s<steps>`` with x, r, p, ap."""
     d = "" if m == "1.0" else f" JOIN {matrices} dg ON dg.matrix_id = b.matrix_id AND dg.i = b.i AND dg.j = b.i"
@@ -290,6 +311,14 @@ def e18(spark, d):
     return rounded(out, "rhs", "solution").select("system_id", "matrix_id", "iter", "i", "rhs", "solution")
 
 
+@query("e18_residuals_whole", f"WITH {GRAM}, {ARCHIVE}, x AS (SELECT * FROM av ), b AS MATERIALIZED (SELECT x.system_id, x.matrix_id, a.i, sum(a.v * x.v) AS v FROM x JOIN gram a ON a.matrix_id = x.matrix_id AND a.j = x.i GROUP BY 1, 2, 3), {cg_sql(2, matrices='gram')} " + " UNION ALL ".join(f"SELECT s.system_id, s.matrix_id, {k}::INT AS iter, s.i, {r6('s.r')} AS rhs, {r6('x.v - s.x')} AS solution FROM s{k} s JOIN x USING (system_id, i)" for k in range(3)))
+def e18_whole(spark, d):
+    """Two steps, with their start, of every archived vector."""
+    a = gram(spark, d)
+    out = strategies.residuals(a, budgets(a, -1), archive=archive(spark, d).drop("vec_id"), iterations=2)
+    return rounded(out, "rhs", "solution").select("system_id", "matrix_id", "iter", "i", "rhs", "solution")
+
+
 @query("h1_solve_direct", _ROWS3)
 def h1(spark, d):
     a = flow(spark, d)

@@ -57,6 +57,26 @@ def test_budgets(spark):
     assert budgets.check_mixable(mixed, 1).filter("problem is not null").count() == 0
 
 
+def test_archive_budgets(spark):
+    a = matrix_rows(spark, np.array([[4.0, 1], [1, 3]]), np.eye(2))
+    held = spark.createDataFrame([(m, r, [1.0 + r, 2.0]) for m in range(2) for r in range(3)], "matrix_id long, row long, x array<double>")
+    budget = lambda *rows: spark.createDataFrame(list(enumerate(rows)), "matrix_id long, rows long")
+    systems = lambda out: sorted({(r["matrix_id"], r["system_id"] % strategies.ROWS) for r in out.collect()})
+    whole = [(m, r) for m in range(2) for r in range(3)]
+    assert systems(strategies.solution_archive(a, budget(-1, -1), archive=held)) == whole
+    assert systems(strategies.scaled_solutions(a, budget(-1, 2), archive=held)) == whole[:5]
+    assert systems(strategies.rhs_archive(a, budget(-1, 0), archive=held)) == whole[:3]
+    rhs = strategies.solution_archive(a, budget(-1, -1), archive=held).groupBy("matrix_id", (F.col("system_id") % strategies.ROWS).alias("row")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "rhs"))), lambda p: p["rhs"]).alias("x"))
+    assert systems(strategies.validated_archive(a, budget(-1, -1), solutions=held, rhs=rhs)) == whole
+    traces = strategies.residuals(a, budget(-1, -1), archive=held, iterations=1)
+    assert systems(traces) == whole
+    assert traces.count() == 2 * 3 * 2 * 2
+    with pytest.raises(ValueError, match="shorter than its budget"):
+        strategies.solution_archive(a, budget(4, 1), archive=held).collect()
+    with pytest.raises(ValueError, match="shorter than its budget"):
+        strategies.rhs_archive(a, budget(1, 1), archive=held.filter("matrix_id = 0")).collect()
+
+
 def test_direct_solve_of_a_singular_matrix_is_null(spark):
     a = matrix_rows(spark, np.array([[1.0, 1], [1, 1]]))
     b = spark.createDataFrame([(5, 0, [1.0, 2.0])], "system_id long, matrix_id long, x array<double>")
