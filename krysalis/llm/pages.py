@@ -106,7 +106,7 @@ def features(blocks: list) -> np.ndarray:
             x[k, _slot("leaf " + tags[-1], TAGS)] = 1
         for n in names:
             x[k, TAGS + _slot(n, NAMES)] = 1
-        words = text[:400].lower().split()[:40]
+        words = text.lower().split()
         for w in words:
             x[k, TAGS + NAMES + _slot(w, WORDS)] += 1 / len(words)
         n = len(text)

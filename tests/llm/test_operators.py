@@ -454,6 +454,12 @@ def test_leaf_blocks():
     assert pages.leaf_blocks("") == [] and pages.leaf_blocks("plain") == [("plain", (), (), 0)]
 
 
+def test_features_hash_all_words_of_a_block():
+    start = "word " * 100
+    one, other = (pages.features([(start + end + ".", ("p",), (), 0)]) for end in ("privacy", "history"))
+    assert (one != other).any()
+
+
 def test_pages(spark, sf_dir):
     real = spark.read.parquet(f"{sf_dir}/pages.parquet")
     model = pages.fitted_labeller(real, sample=128, steps=120)
