@@ -20,7 +20,12 @@ from krysalis.llm.common import materialize, remove, shared_folder, text_of
 LENGTH = 50
 #: Bytes that an anchor's order is drawn from; each window of LENGTH bytes has one anchor, the least of LENGTH - SEED + 1.
 SEED = 24
-BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 1 << 22, 1 << 23, 1 << 14
+#: Text of a block, of a bucket and of the pieces that anchors are searched in; codes of a block that a bucket gets at least.
+BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES, LEAST_RUN = 1 << 24, 1 << 26, 1 << 18, 64
+#: Sorted suffixes that are compared at once; a group of common first bytes is never cut.
+MERGED_ROWS = 1 << 16
+#: Low bits of an anchor's key hold its place in a piece: the same number for every piece, so equal windows always have equal anchors.
+_PLACE = np.uint64((1 << 24) - 1)
 _A, _B, _C = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -33,55 +38,68 @@ def _unpacked(data: bytes, kind: str | None = None):
     return raw if kind is None else np.frombuffer(raw, kind)
 
 
+def seed_hashes(buf: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of all ``seed`` bytes in a row, from those of powers of two."""
+    h = (buf.astype(np.uint64) + np.uint64(1)) * _A
+    h ^= h >> np.uint64(32)
+    whole, have, size, part = None, 0, 1, h
+    left = seed
+    while left:
+        if left & size:
+            whole = part.copy() if whole is None else whole[: len(part) - have] * _C + part[have : have + len(whole)]
+            have += size
+            left -= size
+        if left:
+            part = part[:-size] * (_B + np.uint64(2 * size)) + part[size:]
+            size *= 2
+    h = whole[: len(buf) - seed + 1]
+    return (h ^ h >> np.uint64(29)) * _B
+
+
 class Anchors:
-    """The anchors of concatenated documents: for each window, the byte whose next SEED bytes hash least.
+    """The anchors of concatenated documents: for each window, the byte whose next SEED bytes hash least, the first of equals.
 
     Equal windows have equal anchors at equal places, so equal windows are found
-    among suffixes that start at anchors, one byte in fourteen or so.
+    among suffixes that start at anchors, one byte in fourteen or so. The text is
+    searched in pieces that overlap by a window, so memory does not follow its
+    length; where a piece ends changes no anchor.
     """
 
-    def __init__(self, text: bytes, lengths: np.ndarray, length: int = LENGTH, seed: int = SEED):
+    def __init__(self, text: bytes, lengths: np.ndarray, length: int = LENGTH, seed: int = SEED, piece: int = PIECE_BYTES):
         self.buf = np.frombuffer(text, np.uint8)
         self.end = np.cumsum(lengths)
         self.start = self.end - lengths
-        n, places = len(self.buf), length - seed + 1
-        self.at, self.code = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        n = len(self.buf)
+        self.at, self.code, self.around = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
         if n < length:
             return
-        h = (self.buf.astype(np.uint64) + np.uint64(1)) * _A
-        h ^= h >> np.uint64(32)
-        whole, have, size, part = None, 0, 1, h
-        left = seed
-        while left:  # hashes of seed bytes from those of powers of two
-            if left & size:
-                whole = part.copy() if whole is None else whole[: len(part) - have] * _C + part[have : have + len(whole)]
-                have += size
-                left -= size
-            if left:
-                part = part[:-size] * (_B + np.uint64(2 * size)) + part[size:]
-                size *= 2
-        h = whole[: n - seed + 1]
-        h = (h ^ h >> np.uint64(29)) * _B
-        bits = np.uint64(int(n).bit_length())
-        low = (np.uint64(1) << bits) - np.uint64(1)
-        key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        found = [self._piece(lo, min(n, lo + piece + length - 1), length, seed) for lo in range(0, n - length + 1, piece)]
+        at, code = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(at):
+            first = np.r_[True, at[1:] != at[:-1]]
+            self.at, self.code = at[first], code[first]
+
+    def _piece(self, lo: int, hi: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors of the windows within [lo, hi) that lie in one document."""
+        places = length - seed + 1
+        h = seed_hashes(self.buf[lo:hi], seed)
+        key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         size = 1
         while size * 2 <= places:
             key = np.minimum(key[:-size], key[size:])
             size *= 2
         if places > size:
             key = np.minimum(key[: len(key) - (places - size)], key[places - size :])
-        edge = np.zeros(n + 1, np.int32)
-        long = lengths >= length
-        edge[self.start[long]] += 1
-        np.add.at(edge, self.end[long] - length + 1, -1)
-        window = np.cumsum(edge[:-1])[: len(key)] > 0
-        at = (key[window] & low).astype(np.int64)
-        if not len(at):
-            return
-        self.at = at[np.r_[True, at[1:] != at[:-1]]]
-        mixed = (h[self.at] ^ h[self.at] >> np.uint64(32)) * _C
-        self.code = mixed ^ mixed >> np.uint64(31)
+        a, b = np.searchsorted(self.end, lo, "right"), np.searchsorted(self.start, hi, "left")
+        first, last = np.maximum(self.start[a:b] - lo, 0), np.minimum(self.end[a:b] - lo, hi - lo) - length
+        fits = last >= first
+        edge = np.zeros(len(key) + 1, np.int32)
+        np.add.at(edge, first[fits], 1)
+        np.add.at(edge, last[fits] + 1, -1)
+        at = (key[np.cumsum(edge[:-1]) > 0] & _PLACE).astype(np.int64)
+        at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
+        mixed = (h[at] ^ h[at] >> np.uint64(32)) * _C
+        return at + lo, mixed ^ mixed >> np.uint64(31)
 
     def docs(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.end, at, "right")
@@ -91,11 +109,14 @@ class Anchors:
         before = length - seed
         doc = self.docs(at)
         right, left = np.minimum(length, self.end[doc] - at), np.minimum(before, at - self.start[doc])
-        k, j = np.arange(length), np.arange(before)
-        rows = np.zeros((len(at), length + before), np.uint8)
-        last = len(self.buf) - 1
-        rows[:, :length] = np.where(k < right[:, None], self.buf[np.minimum(at[:, None] + k, last)], 0)
-        rows[:, length:] = np.where(j < left[:, None], self.buf[np.maximum(at[:, None] - 1 - j, 0)], 0)
+        if self.around is None:
+            padded = np.concatenate([np.zeros(before, np.uint8), self.buf, np.zeros(length, np.uint8)])
+            self.around = np.lib.stride_tricks.sliding_window_view(padded, before + length)
+        both = self.around[at]
+        rows = np.concatenate([both[:, before:], both[:, before - 1 :: -1] if before else both[:, :0]], 1)
+        for i in np.flatnonzero((right < length) | (left < before)).tolist():
+            rows[i, right[i] : length] = 0
+            rows[i, length + left[i] :] = 0
         low, high = np.maximum(0, length - right), left
         valid = np.where(low <= high, (1 << (high + 1)) - (1 << low), 0).astype(np.uint32)
         return rows, valid
@@ -112,19 +133,30 @@ def front_coded(rows: np.ndarray) -> bytes:
     return _packed(shared.tobytes() + rest.tobytes())
 
 
-def front_decoded(data: bytes, n: int, width: int) -> tuple[list[bytes], list[int]]:
+def front_rows(data: bytes, n: int, width: int) -> Iterator[tuple[bytes, int]]:
+    """The rows of ``front_coded``, each with the length of the prefix it shares with the row before."""
     raw = _unpacked(data)
-    shared = list(raw[:n])
-    out, row, at = [], b"", n
-    for s in shared:
-        row = row[:s] + raw[at : at + width - s]
-        at += width - s
-        out.append(row)
-    return out, shared
+    row, at = b"", n
+    for shared in raw[:n]:
+        row = row[:shared] + raw[at : at + width - shared]
+        at += width - shared
+        yield row, shared
+
+
+def front_decoded(data: bytes, n: int, width: int) -> tuple[list[bytes], list[int]]:
+    """``front_rows`` as two lists."""
+    rows = list(front_rows(data, n, width))
+    return [r for r, _ in rows], [s for _, s in rows]
 
 
 def merged(runs: list[tuple[list[bytes], list[int]]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge of sorted runs with known shared prefixes: ``(run, place in the run, prefix shared with the row before)``.
+    """Merge of sorted runs with known shared prefixes: ``(run, place in the run, prefix shared with the row before)``."""
+    parts = [part[:3] for part in merged_parts([zip(*run, strict=True) for run in runs], width)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+
+
+def merged_parts(runs: list[Iterable[tuple[bytes, int]]], width: int, together: int = SEED, most: int = MERGED_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """``merged`` and its rows in parts of about ``most`` rows, cut where a row shares under ``together`` bytes with the one before.
 
     A loser tree in which every loser knows how many bytes it shares with the
     winner that beat it. Of two candidates the one that shares more with the
@@ -134,11 +166,11 @@ def merged(runs: list[tuple[list[bytes], list[int]]], width: int) -> tuple[np.nd
     size = 1
     while size < len(runs):
         size *= 2
-    rows = [r[0] for r in runs] + [[]] * (size - len(runs))
-    prefix = [r[1] for r in runs] + [[]] * (size - len(runs))
+    rest = [iter(r) for r in runs] + [iter(())] * (size - len(runs))
     place = [0] * size
-    head: list[bytes | None] = [r[0] if r else None for r in rows]
-    common = [0 if r else -1 for r in rows]  # an empty run loses to all
+    first = [next(r, (None, -1)) for r in rest]
+    head: list[bytes | None] = [row for row, _ in first]
+    common = [-1 if row is None else 0 for row in head]  # an empty run loses to all
     tree = [0] * size
 
     def play(a: int, b: int) -> tuple[int, int]:
@@ -173,18 +205,17 @@ def merged(runs: list[tuple[list[bytes], list[int]]], width: int) -> tuple[np.nd
             nxt.append(win)
         winners = nxt
     win = winners[0]
-    out_run, out_place, out_common = [], [], []
+    out_run, out_place, out_common, out_rows = [], [], [], []
     while head[win] is not None:
-        k = place[win]
+        if len(out_run) >= most and common[win] < together:
+            yield np.array(out_run, np.int64), np.array(out_place, np.int64), np.array(out_common, np.int64), out_rows
+            out_run, out_place, out_common, out_rows = [], [], [], []
         out_run.append(win)
-        out_place.append(k)
+        out_place.append(place[win])
         out_common.append(common[win])
-        k += 1
-        place[win] = k
-        if k < len(rows[win]):
-            head[win], common[win] = rows[win][k], prefix[win][k]
-        else:
-            head[win], common[win] = None, -1
+        out_rows.append(head[win])
+        place[win] += 1
+        head[win], common[win] = next(rest[win], (None, -1))
         node = (win + size) // 2
         while node:
             lose = tree[node]
@@ -194,16 +225,48 @@ def merged(runs: list[tuple[list[bytes], list[int]]], width: int) -> tuple[np.nd
             elif x == y and x >= 0:
                 win, tree[node] = play(win, lose)
             node //= 2
-    return np.array(out_run, np.int64), np.array(out_place, np.int64), np.array(out_common, np.int64)
+    if out_run:
+        yield np.array(out_run, np.int64), np.array(out_place, np.int64), np.array(out_common, np.int64), out_rows
 
 
-def repeated_windows(rows: np.ndarray, common: np.ndarray, doc: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def repeated_windows(rows: np.ndarray, common: np.ndarray, doc: np.ndarray, valid: np.ndarray, length: int = LENGTH, few: int = 8) -> np.ndarray:
     """For each sorted row the offsets, as bits, whose window also is in a row of a smaller document.
 
     The window that starts ``o`` bytes before the anchor is the row's first
-    ``length - o`` bytes and the ``o`` bytes before. The first part is equal
-    along the sort as far as the shared prefixes reach; the second gets exact
-    ranks, one byte at a time.
+    ``length - o`` bytes and the ``o`` bytes before. Rows that share too few
+    first bytes for any window are in different groups. In groups of up to
+    ``few`` rows each two are compared; larger ones are ranked offset by offset.
+    """
+    found = np.zeros(len(rows), np.uint32)
+    most = rows.shape[1] - length
+    group = np.cumsum(common < length - most)
+    size = np.bincount(group)[group] if len(group) else group
+    small = (size > 1) & (size <= few)
+    for away in range(1, few):
+        a = np.flatnonzero(small[:-away] & (group[:-away] == group[away:])) if len(rows) > away else np.zeros(0, np.int64)
+        if not len(a):
+            break
+        for lo in range(0, len(a), 1 << 15):
+            i = a[lo : lo + (1 << 15)]
+            j = i + away
+            differ = rows[i] != rows[j]
+            after = np.where(differ[:, :length].any(1), differ[:, :length].argmax(1), length)
+            before = np.where(differ[:, length:].any(1), differ[:, length:].argmax(1), most) if most else np.zeros(len(i), np.int64)
+            low = length - after
+            bits = np.where(low <= before, (1 << (before + 1)) - (1 << np.minimum(low, before + 1)), 0).astype(np.uint32) & valid[i] & valid[j]
+            np.bitwise_or.at(found, i, np.where(doc[i] > doc[j], bits, 0).astype(np.uint32))
+            np.bitwise_or.at(found, j, np.where(doc[j] > doc[i], bits, 0).astype(np.uint32))
+    large = np.flatnonzero(size > few)
+    if len(large):
+        found[large] = _ranked_windows(rows[large], common[large], doc[large], valid[large], length)
+    return found
+
+
+def _ranked_windows(rows: np.ndarray, common: np.ndarray, doc: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
+    """``repeated_windows`` for groups of any size.
+
+    The first part of a window is equal along the sort as far as the shared
+    prefixes reach; the bytes before get exact ranks, one byte at a time.
     """
     found = np.zeros(len(rows), np.uint32)
     rank = np.zeros(len(rows), np.int64)
@@ -297,13 +360,13 @@ def _shared_codes(blocks: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(meet, "block long, bucket int, bits binary, n int")
 
 
-def _runs(blocks: DataFrame, bits: DataFrame, buckets: int, code_bits: int) -> DataFrame:
+def _runs(blocks: DataFrame, bits: DataFrame, files: int, buckets: int, code_bits: int) -> DataFrame:
     """Front-coded sorted runs of the suffixes at shared anchors, one for each block and bucket.
 
     Equal suffixes of a block are one row, of the smallest document; the others
     follow it as places.
     """
-    told = bits.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "bits", "n"))).alias("told"))
+    told = bits.repartition(files, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "bits", "n"))).alias("told"))
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -341,17 +404,17 @@ def _marks(runs: DataFrame) -> DataFrame:
     width = 2 * LENGTH - SEED + 4
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        coded = [front_decoded(r, n, width) for r, n in zip(part["rows"], part["n"], strict=True)]
-        run, place, common = merged(coded, width)
-        rows = np.frombuffer(b"".join([coded[r][0][p] for r, p in zip(run.tolist(), place.tolist(), strict=True)]), np.uint8).reshape(-1, width)
-        valid = np.ascontiguousarray(rows[:, -4:]).view(">u4")[:, 0].astype(np.uint32)
         docs = [_unpacked(d, "<i8") for d in part["docs"]]
         base = np.cumsum([0, *(len(d) for d in docs)])
-        spot = base[run] + place
-        found = np.zeros(base[-1], np.uint32)
-        found[spot] = repeated_windows(rows[:, :-4], common, np.concatenate(docs)[spot], valid)
-        valid_of = np.zeros(base[-1], np.uint32)
-        valid_of[spot] = valid
+        doc_of = np.concatenate(docs)
+        found, valid_of = np.zeros(base[-1], np.uint32), np.zeros(base[-1], np.uint32)
+        runs = [front_rows(r, n, width) for r, n in zip(part["rows"], part["n"], strict=True)]
+        for run, place, common, sorted_rows in merged_parts(runs, width):
+            rows = np.frombuffer(b"".join(sorted_rows), np.uint8).reshape(-1, width)
+            valid = np.ascontiguousarray(rows[:, -4:]).view(">u4")[:, 0].astype(np.uint32)
+            spot = base[run] + place
+            found[spot] = repeated_windows(rows[:, :-4], common, doc_of[spot], valid)
+            valid_of[spot] = valid
         out = []
         for k, r in enumerate(part.itertuples(index=False)):
             lead, all_of = found[base[k] : base[k + 1]], valid_of[base[k] : base[k + 1]]
@@ -368,13 +431,22 @@ def _marks(runs: DataFrame) -> DataFrame:
 def removed_bytes(n: int, at: np.ndarray, mask: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """True for each byte of a block that a marked window covers."""
     edge = np.zeros(n + length + 1, np.int32)
-    for o in range(32):
+    for o in range(LENGTH - SEED + 1):
         start = at[(mask >> np.uint32(o) & np.uint32(1)) > 0] - o
         np.add.at(edge, start, 1)
         np.add.at(edge, start + length, -1)
     return np.cumsum(edge)[:n] > 0
 
 
+def _forget(spark, name: str, path: str) -> None:
+    """Drop the table of blocks from the session's catalogue, with its folder, when the driver ends."""
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001  the session may have ended
+        pass
+    remove(spark, path)
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, digest: bool = False) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans`` of every document, with ``kept`` (binary), or ``kept_sha256`` if ``digest``.
 
@@ -386,24 +458,28 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     windows show as shared prefixes of the sorted order. Hash codes only choose
     what to send: strings are compared byte by byte.
 
-    The blocks of text are written once, bucketed by block, so that the answers
-    join them without moving text. Null text is empty; a null id comes after
+    A block's run for a bucket has ``LEAST_RUN`` codes or more, so what is
+    exchanged follows the text; a bucket is merged as a stream. The blocks of
+    text are written once, bucketed by block, and the answers are dealt out alike,
+    so that they join without moving text. Null text is empty; a null id comes after
     all others; documents under 50 bytes and repeated rows of one id remove
     nothing of each other; an empty table gives none.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
-    buckets = int(min(MOST_BUCKETS, max(8, size // BUCKET_BYTES)))
+    buckets = int(min(max(8, size // BUCKET_BYTES), max(8, block_bytes // (14 * LEAST_RUN))))
     code_bits = min(64, max(24, int(size).bit_length() + 6))
+    files = int(min(1 << 15, max(12, size // BLOCK_BYTES)))
     given = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     name = f"krysalis_{uuid.uuid4().hex}"
-    writer = _blocks(given, buckets, code_bits, block_bytes).write.option("path", f"{shared_folder(spark)}/{name}").option("compression", "uncompressed")
-    writer.bucketBy(int(min(1 << 13, max(12, size >> 24))), "block").saveAsTable(name)
-    atexit.register(remove, spark, f"{shared_folder(spark)}/{name}")
+    path = f"{shared_folder(spark)}/{name}"
+    writer = _blocks(given, buckets, code_bits, block_bytes).write.option("path", path).option("compression", "uncompressed")
+    writer.bucketBy(files, "block").saveAsTable(name)
+    atexit.register(_forget, spark, name, path)
     blocks = spark.table(name)
     bits = materialize(_shared_codes(blocks))
-    marks = materialize(_marks(_runs(blocks, bits, buckets, code_bits)))
-    told = marks.groupBy("block").agg(F.collect_list(F.struct("at", "mask")).alias("told"))
+    marks = materialize(_marks(_runs(blocks, bits, files, buckets, code_bits)))
+    told = marks.repartition(files, "block").groupBy("block").agg(F.collect_list(F.struct("at", "mask")).alias("told"))
 
     def finish(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

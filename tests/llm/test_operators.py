@@ -375,13 +375,36 @@ def brute_suffixes(rows):
 
 @pytest.mark.parametrize("block", [1 << 23, 9000])
 def test_suffixes(docs, none, block):
-    small = docs.filter("doc_id is null or doc_id <> 10")
-    got = suffixes.suffix_dedup(small, block_bytes=block, digest=True).collect()
-    assert sorted((str(r["id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_suffixes([(i, t.encode()) for i, t in texts() if i != 10])
+    got = suffixes.suffix_dedup(docs, block_bytes=block, digest=True).collect()
+    assert sorted((str(r["id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_suffixes([(i, t.encode()) for i, t in texts()])
     if block == 9000:
         assert suffixes.suffix_dedup(none).count() == 0
 
 
+def test_anchors_do_not_depend_on_pieces():
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 49, 50, 51, 700, 3000)]
+    lengths = np.array([len(t) for t in texts])
+    whole = suffixes.Anchors(b"".join(texts), lengths)
+    for piece in (1, 64, 1000):
+        cut = suffixes.Anchors(b"".join(texts), lengths, piece=piece)
+        assert cut.at.tolist() == whole.at.tolist() and cut.code.tolist() == whole.code.tolist()
+
+
+@pytest.mark.parametrize("few", [1, 8])
+def test_repeated_windows(few):
+    """Rows of two alphabets so that groups of all sizes occur, against each two rows compared."""
+    rng = random.Random(4)
+    for _ in range(20):
+        rows = sorted(bytes(rng.choice(b"ab") if k in (3, 9, 11) or rng.random() < 0.02 else 97 for k in range(12)) for _ in range(rng.randint(1, 40)))
+        doc, valid = np.array([rng.randint(0, 5) for _ in rows]), np.array([rng.randint(0, 15) for _ in rows], np.uint32)
+        common = np.array([0] + [next((k for k in range(12) if a[k] != b[k]), 12) for a, b in zip(rows, rows[1:], strict=False)])
+        got = suffixes.repeated_windows(np.array([list(r) for r in rows], np.uint8), common, doc, valid, length=9, few=few)
+        for i, a in enumerate(rows):
+            want = sum(1 << o for o in range(4) if valid[i] >> o & 1 and any(valid[j] >> o & 1 and doc[j] < doc[i] and a[: 9 - o] == b[: 9 - o] and a[9 : 9 + o] == b[9 : 9 + o] for j, b in enumerate(rows)))
+            assert got[i] == want
+
+
 def test_merge_of_runs():
     rng = random.Random(6)
     for _ in range(60):
