@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import atexit
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from krysalis.functions.lineage import materialize, remove, shared_folder
 
-__all__ = ["SPACE", "materialize", "remove", "shared_folder", "text_of"]
+__all__ = ["SPACE", "bucketed", "materialize", "remove", "shared_folder", "text_of"]
 
 #: The ASCII white space that separates words everywhere in this package.
 SPACE = r"[\x20\x09-\x0D]"
@@ -16,3 +19,24 @@ SPACE = r"[\x20\x09-\x0D]"
 def text_of(column: str) -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def bucketed(df: DataFrame, column: str, files: int) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``column``; it leaves the catalogue when the driver ends.
+
+    What is dealt out by ``repartition(files, column)`` joins it without moving the table.
+    """
+    spark = df.sparkSession
+    name = f"krysalis_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.option("path", path).option("compression", "uncompressed").bucketBy(files, column).saveAsTable(name)
+    atexit.register(_forget, spark, name, path)
+    return spark.table(name)
+
+
+def _forget(spark, name: str, path: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001  the session may have ended
+        pass
+    remove(spark, path)

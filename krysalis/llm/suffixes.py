@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 from itertools import count
 
@@ -15,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from krysalis.llm.common import materialize, remove, shared_folder, text_of
+from krysalis.llm.common import bucketed, materialize, text_of
 
 LENGTH = 50
 #: Bytes that an anchor's order is drawn from; each window of LENGTH bytes has one anchor, the least of LENGTH - SEED + 1.
@@ -438,15 +436,6 @@ def removed_bytes(n: int, at: np.ndarray, mask: np.ndarray, length: int = LENGTH
     return np.cumsum(edge)[:n] > 0
 
 
-def _forget(spark, name: str, path: str) -> None:
-    """Drop the table of blocks from the session's catalogue, with its folder, when the driver ends."""
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    except Exception:  # noqa: BLE001  the session may have ended
-        pass
-    remove(spark, path)
-
-
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, digest: bool = False) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans`` of every document, with ``kept`` (binary), or ``kept_sha256`` if ``digest``.
 
@@ -471,12 +460,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     code_bits = min(64, max(24, int(size).bit_length() + 6))
     files = int(min(1 << 15, max(12, size // BLOCK_BYTES)))
     given = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    name = f"krysalis_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/{name}"
-    writer = _blocks(given, buckets, code_bits, block_bytes).write.option("path", path).option("compression", "uncompressed")
-    writer.bucketBy(files, "block").saveAsTable(name)
-    atexit.register(_forget, spark, name, path)
-    blocks = spark.table(name)
+    blocks = bucketed(_blocks(given, buckets, code_bits, block_bytes), "block", files)
     bits = materialize(_shared_codes(blocks))
     marks = materialize(_marks(_runs(blocks, bits, files, buckets, code_bits)))
     told = marks.repartition(files, "block").groupBy("block").agg(F.collect_list(F.struct("at", "mask")).alias("told"))
