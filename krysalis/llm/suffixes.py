@@ -19,7 +19,7 @@ LENGTH = 50
 #: Bytes that an anchor's order is drawn from; each window of LENGTH bytes has one anchor, the least of LENGTH - SEED + 1.
 SEED = 24
 #: Text of a block, of a bucket and of the pieces that anchors are searched in; codes of a block that a bucket gets at least.
-BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES, LEAST_RUN = 1 << 24, 1 << 26, 1 << 18, 64
+BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES, LEAST_RUN = 1 << 24, 1 << 25, 1 << 18, 64
 #: Sorted suffixes that are compared at once; a group of common first bytes is never cut.
 MERGED_ROWS = 1 << 16
 #: Low bits of an anchor's key hold its place in a piece: the same number for every piece, so equal windows always have equal anchors.
