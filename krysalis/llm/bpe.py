@@ -226,47 +226,51 @@ def prefix_encoder(path: str) -> tuple[PrefixEncoder, SpaceCache]:
     return encoder, SpaceCache(encoder.encode_all)
 
 
-@lru_cache(maxsize=2)
-def library_cache(path: str) -> SpaceCache:
-    """The tokenizer file's own merges behind the same cache; one thread per task.
+class LibraryEncoder:
+    """The ids that the tokenizers library gives, as little-endian 32-bit bytes.
 
-    Strings of characters below U+3000 without special tokens go through
+    Whole texts of characters below U+3000 without special tokens go through
     tiktoken with the file's vocabulary as ranks, which the tests hold against
-    the tokenizers library over all these characters; the library does the rest,
-    and everything if the file's ids are not in order of its merges.
+    the tokenizers library over all these characters and over whole documents;
+    the library does the rest, piece by piece, and everything if the file's ids
+    are not in order of its merges.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import tiktoken
-    from public_tokenizers import PATTERN
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    model = json.load(open(path, encoding="utf-8"))
-    special = [t["content"] for t in model["added_tokens"]]
-    to_byte, vocab = _byte_alphabet(), model["model"]["vocab"]
-    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["model"]["merges"]]
-    ordered = merged == sorted(merged)
-    ranks = {bytes(to_byte[c] for c in t): i for t, i in vocab.items() if t not in special} if ordered else {}
-    quick = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ordered else None
-    plain = re.compile("[\x00-\u2fff]*", re.S)
-
-    def encode_all(texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        rest = []
-        for k, t in enumerate(texts):
-            if quick and (t.isascii() or plain.fullmatch(t)) and not any(x in t for x in special):
-                out[k] = _packed(quick(t))
-            else:
-                rest.append(k)
-        for lo in range(0, len(rest), 1024):
-            part = rest[lo : lo + 1024]
-            for k, e in zip(part, tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
-                out[k] = _packed(e.ids)
-        return out
 
-    return SpaceCache(encode_all)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread per task
+        import tiktoken
+        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        model = json.load(open(path, encoding="utf-8"))
+        special = [t["content"] for t in model["added_tokens"]]
+        to_byte, vocab = _byte_alphabet(), model["model"]["vocab"]
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["model"]["merges"]]
+        ordered = merged == sorted(merged)
+        ranks = {bytes(to_byte[c] for c in t): i for t, i in vocab.items() if t not in special} if ordered else {}
+        self.quick = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ordered else None
+        self.special, self.plain = special, re.compile("[\x00-\u2fff]*", re.S)
+        self.pieces = SpaceCache(self.by_library)
+
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        return [_packed(e.ids) for lo in range(0, len(texts), 1024) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 1024], add_special_tokens=False)]
+
+    def is_plain(self, text: str) -> bool:
+        return self.quick is not None and (text.isascii() or self.plain.fullmatch(text) is not None) and not any(x in text for x in self.special)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [self.is_plain(t) for t in texts]
+        rest = iter(self.pieces.encode([t for t, p in zip(texts, plain, strict=True) if not p]) if not all(plain) else ())
+        return [_packed(self.quick(t)) if p else next(rest) for t, p in zip(texts, plain, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def library_cache(path: str) -> LibraryEncoder:
+    """One encoder per worker process and vocabulary."""
+    return LibraryEncoder(path)
 
 
 def bpe_encode(docs: DataFrame, text_col: str = "text", path: str | None = None, carry: list[str] | None = None, derive: tuple[str, Callable] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from krysalis.llm.common import materialize, text_of
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of a hot length that are ranked together, about; and the most parts a length is cut into.
-RANKED_TOGETHER, MOST_PARTS = 500, 1 << 16
+#: Pieces of a hot length that are ranked together, about, and the parts of a length from which both grow with the root of the pieces.
+RANKED_TOGETHER, MANY_PARTS = 500, 1 << 16
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -105,18 +106,18 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Ranks come from two levels, so a length with a third of all rows is cut into
     parts: a count for each part, then places inside each part.
     """
-    pieces = materialize(pieces)
+    names = pieces.columns
+    pieces = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     total = sum(counts.values())
-    parts = max(1, min(MOST_PARTS, total // RANKED_TOGETHER))
+    parts = max(1, min(total // RANKED_TOGETHER, max(MANY_PARTS, isqrt(total))))
     plan = _plan(counts, capacity)
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("int"))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("__row"), F.lit(parts)).cast("int"))
     sizes = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     starts = materialize(sizes.select("length", "part", before.alias("before")))
-    place = F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32")) - 1
-    ranked = dealt.withColumn("place", place).join(starts, ["length", "part"]).select(*pieces.columns, (F.col("before") + F.col("place")).alias("rank"))
-    names = pieces.columns
+    place = F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "piece", "__row")) - 1
+    ranked = dealt.withColumn("place", place).join(starts, ["length", "part"]).select(*names, (F.col("before") + F.col("place")).alias("rank"))
     at = names.index("length")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -311,6 +311,12 @@ def test_tokenizers_agree(docs, none):
     assert bpe.bpe_encode(none).count() == 0
 
 
+def test_whole_documents_encode_as_by_the_library(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    library, own = Tokenizer.from_file(bpe.tokenizer_path()), bpe.library_cache(bpe.tokenizer_path())
+    assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_every_token_encodes_to_itself():
     encoder, _ = bpe.prefix_encoder(bpe.tokenizer_path())
     one = [k for k in range(len(encoder.id)) if encoder.left[k] != k and not encoder.compatible(encoder.left[k], encoder.right[k])]
