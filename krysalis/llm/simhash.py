@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words_in_shingle: int
     return given.mapInArrow(run, StructType([*given.schema.fields[1:], StructField("fp", LongType())]))
 
 
-def trie_links(group: np.ndarray, fp: np.ndarray, errors: int, wide: np.ndarray | None = None, wide_errors: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(group: np.ndarray, fp: np.ndarray, errors: int, wide: np.ndarray | None = None, wide_errors: int = 0, outright: int = 1, tally: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within ``errors`` bits of each other and in one group; sorted by (group, fp), fp unsigned.
 
     Where ``wide`` (rows of 64-bit words) is given, pairs must be within
@@ -56,7 +56,9 @@ def trie_links(group: np.ndarray, fp: np.ndarray, errors: int, wide: np.ndarray
     range. All node pairs of a level move down together: a pair of equal nodes
     gives its two children and their cross pair, a pair of different nodes its
     four child pairs, and a child pair on opposite bits adds one to its error
-    count. Pairs over the budget are pruned. Small pairs are compared outright.
+    count. Pairs over the budget are pruned, subtrees and all. Node pairs of at
+    most ``outright`` pairs of fingerprints are compared as they are. ``tally``
+    gets the numbers of node pairs visited and pruned, and of pairs compared.
     """
     if not len(fp):
         return
@@ -67,8 +69,11 @@ def trie_links(group: np.ndarray, fp: np.ndarray, errors: int, wide: np.ndarray
     for bit in range(BITS - 1, -2, -1):
         size = (node[:, 1] - node[:, 0]) * (node[:, 3] - node[:, 2])
         same = node[:, 0] == node[:, 2]
-        small = (size <= 64) | (bit < 0)
+        small = (size <= outright) | (bit < 0)
         alone = same & (size == 1)
+        if tally is not None:
+            tally["visited"] = tally.get("visited", 0) + len(node)
+            tally["compared"] = tally.get("compared", 0) + int(size[small & ~alone].sum())
         yield from _compared(node[small & ~alone], fp, errors, wide, wide_errors)
         node, spent, same = node[~small], spent[~small], same[~small]
         if not len(node):
@@ -82,7 +87,10 @@ def trie_links(group: np.ndarray, fp: np.ndarray, errors: int, wide: np.ndarray
         down.append(np.stack((a1, a2, b0, b1), 1)[other])
         cost.append(spent[other] + 1)
         node, spent = np.concatenate(down), np.concatenate(cost)
-        held = (spent <= errors) & (node[:, 0] < node[:, 1]) & (node[:, 2] < node[:, 3])
+        held = (node[:, 0] < node[:, 1]) & (node[:, 2] < node[:, 3])
+        if tally is not None:
+            tally["pruned"] = tally.get("pruned", 0) + int((held & (spent > errors)).sum())
+        held &= spent <= errors
         node, spent = node[held], spent[held]
 
 
@@ -225,14 +233,15 @@ def near_components(fps: DataFrame, id_col: str = "doc_id", errors: int = 3, gro
     return fps.join(by_node, "node").drop("node")
 
 
-#: Near duplicates on word shingles. LONG_WORD, CANDIDATE_ERRORS and WIDE_ERRORS, like document_fingerprints, only serve the
-#: comparison by fingerprint bits in tests/llm/test_pipeline.py; links are by exact similarity.
-SHINGLE_WORDS, LONG_WORD, CANDIDATE_ERRORS, WIDE, WIDE_ERRORS = 5, 5, 8, ("w0", "w1", "w2", "w3"), 54
+#: Near duplicates on word shingles: words in a shingle, and the words of 256 fingerprint bits.
+SHINGLE_WORDS, WIDE = 5, ("w0", "w1", "w2", "w3")
 #: Min-hash bands that bring candidates together: at similarity 0.8 a pair shares none with probability (1 - 0.8 ** 4) ** 16 < 0.0003.
 BANDS, BAND_ROWS = 16, 4
 #: Budget of the trie join on 64 bits of the shingle fingerprint: at similarity 0.8 they differ in 9.7 on average, with deviation 2.9.
-#: LOOSE_ERRORS is that of all 256 bits: 38.8 on average, with deviation 5.7. Both only spare comparisons of shingles.
-TRIE_ERRORS, LOOSE_ERRORS = 24, 72
+#: LOOSE_ERRORS is that of all 256 bits: 38.8 on average, with deviation 5.7, so one pair in 10,000 is over it. Both only spare comparisons of shingles.
+TRIE_ERRORS, LOOSE_ERRORS, OUTRIGHT = 24, 60, 64
+#: Rounds of nearest candidates go on while this share of the pairs compared is linked.
+WORTH = 1 / 16
 _XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
 _ODD |= np.uint64(1)
 
@@ -248,18 +257,6 @@ def _digests(parts: Iterable[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], np.uint64)
 
 
-def document_fingerprints(text: str) -> tuple[int, ...]:
-    """A 64-bit SimHash of the set of long words, and 256 bits of one of the set of 5-word shingles, as unsigned words.
-
-    Scattered edits of a word spoil five shingles each, and so five times as
-    many bits of the second as of the first. A contiguous edit spoils about as
-    many of both.
-    """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    long = {w for w in words if len(w) >= LONG_WORD} or set(words)
-    return (_majority(_digests(long)), *_wide(_digests(shingle_set(text))))
-
-
 def _wide(base: np.ndarray) -> list[int]:
     """256 bits of SimHash of the shingle digests ``base``."""
     out = []
@@ -298,17 +295,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Candidates share a min-hash band and are within the loose budgets of the trie
     join on the shingle fingerprint; those whose shingle sets have a Jaccard
-    similarity of 0.8 or more are linked. Equal sets are one node. Each node's
-    nearest candidates are compared first, which joins most of a group by rows
-    in proportion to its members; then all candidates in different components.
+    similarity of 0.8 or more are linked. Equal sets are one node. In each round
+    every node is compared with its nearest candidates of other components, which
+    joins a large group in a few rounds by rows in proportion to its members;
+    when that hardly links any more, all candidates of different components are
+    compared, so no link between components is lost.
     """
     members = _shingled(docs, id_col, text_col)
     nodes = materialize(members.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bands", *WIDE))).withColumn("root", F.col("node")))
-    first = _linked(_candidates(nodes, group_cap, nearest=True), members)
-    roots = connected_components(first)
-    placed = nodes.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    second = _linked(_candidates(materialize(placed), group_cap, nearest=False), members)
-    return _named(members.select("id", "node"), connected_components(first.unionByName(second)))
+    links, nearest = None, True
+    while True:
+        pairs = materialize(_candidates(nodes, group_cap, nearest))
+        found = _linked(pairs, members)
+        links = found if links is None else links.unionByName(found)
+        roots = connected_components(links)
+        if not nearest:
+            return _named(members.select("id", "node"), roots)
+        nodes = materialize(nodes.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        nearest = found.count() > WORTH * pairs.count()
 
 
 def _candidates(nodes: DataFrame, group_cap: int, nearest: bool) -> DataFrame:
@@ -325,7 +329,7 @@ def _candidates(nodes: DataFrame, group_cap: int, nearest: bool) -> DataFrame:
             rows = rows[np.lexsort((rows[:, 3].view(np.uint64), rows[:, 0]))]
             wide = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
             best = np.full(len(rows), np.iinfo(np.int64).max)
-            for a, b in trie_links(rows[:, 0], np.ascontiguousarray(wide[:, 0]), TRIE_ERRORS, wide, LOOSE_ERRORS):
+            for a, b in trie_links(rows[:, 0], np.ascontiguousarray(wide[:, 0]), TRIE_ERRORS, wide, LOOSE_ERRORS, OUTRIGHT):
                 apart = rows[a, 2] != rows[b, 2]
                 a, b = a[apart], b[apart]
                 if nearest:
@@ -346,7 +350,6 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def _linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs of nodes whose shingle sets have a Jaccard similarity of 0.8 or more, counted from the texts of ``members(node, text)``."""
-    pairs = materialize(pairs)
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     texts = materialize(members.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")

@@ -323,6 +323,21 @@ def test_every_token_encodes_to_itself():
     assert len(one) == len(encoder.pair)
 
 
+def test_trie_prunes_at_scale():
+    """All links of the documents of sf0.1 by one trie, against every two fingerprints; most of the node pairs' subtrees are pruned."""
+    import pyarrow.parquet as pq
+
+    column = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    fp = np.unique(np.array([simhash.fingerprint(t or "") for t in column], np.uint64))
+    tally: dict = {}
+    links = {(int(i), int(j)) for a, b in simhash.trie_links(np.zeros(len(fp), np.int64), fp, 3, tally=tally) for i, j in zip(a, b, strict=True)}
+    want = set()
+    for i in range(len(fp)):
+        want |= {(i, int(j) + i + 1) for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 3)}
+    assert {tuple(sorted(x)) for x in links} == want and want
+    assert tally["pruned"] > 10 * len(fp) and tally["compared"] < len(fp) ** 2 / 20
+
+
 def test_packing(docs, none):
     library = Tokenizer.from_file(bpe.tokenizer_path())
     got = packing.pack_documents(docs, with_ids=True).collect()

@@ -1,39 +1,65 @@
 """The pipeline against a brute-force version of its stages."""
 
+import random
 import re
 from collections import Counter
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from krysalis.llm import bpe, quality, secrets, simhash
+from krysalis.llm import bpe, secrets, simhash
 
 
-def test_stages_and_run(spark, sf_dir):
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "simhash_near_dedup", "secret_scans", "best_fit_packing"]
+#: Least and greatest zstandard ratios by bytes, written down again.
+LIMITS = [(64, 0.0, 3.0), (256, 0.6, 4.0), (512, 1.26, 5.0), (1024, 1.34, 5.0), (4096, 1.45, 6.0), (65536, 1.6, 9.0), (float("inf"), 1.6, 12.0)]
+SPACES = "[\\x20\\x09-\\x0D]+"
+
+
+def keeps(text):
+    """The quality rules in plain Python."""
     import zstandard
 
-    compressor = zstandard.ZstdCompressor(level=3)
+    def fits(raw):
+        low, high = next((lo, hi) for below, lo, hi in LIMITS if len(raw) < below)
+        return low <= len(raw) / len(zstandard.ZstdCompressor(level=3).compress(raw)) <= high
+
+    words = [w for w in re.split(SPACES, text) if w]
+    windows = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    covered = {p for k in range(len(words) - 7) if windows[tuple(words[k : k + 8])] > 1 for p in range(k, k + 8)}
+    if len(words) < 20 or 100 * len(covered) > 30 * len(words):
+        return False
+    raw = text.encode()
+    chunks = [raw[k : k + 4096] for k in range(0, len(raw), 4096)]
+    return fits(raw) and (len(chunks) == 1 or 2 * sum(len(c) for c in chunks if not fits(c)) <= len(raw))
+
+
+def least_similar(texts):
+    """The smallest id reachable over Jaccard similarities of 0.8 and more of 5-word shingle sets, by all pairs."""
+    words = {i: [w.lower() for w in t.encode().split()] for i, t in sorted(texts.items())}
+    sets = {i: set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)} - {()} for i, w in words.items()}
+    label = {i: i for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and label[i] != label[j] and 4 * max(len(a), len(b)) <= 5 * min(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+def test_stages_and_run(spark, sf_dir):
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "simhash_near_dedup", "secret_scans", "best_fit_packing"]
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    kept = {i: t for i, t in docs.items() if quality.measured(t, compressor)[-1]}
+    kept = {i: t for i, t in docs.items() if keeps(t)}
     first: dict = {}
     for i, t in sorted(kept.items()):
-        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), i)
+        first.setdefault(re.sub(SPACES, " ", t), i)
     kept = {i: kept[i] for i in first.values()}
-    fps = {i: simhash.document_fingerprints(t) for i, t in kept.items()}
-    bits = lambda a, b: bin(a ^ b).count("1")
-    near = lambda a, b: bits(a[0], b[0]) <= simhash.CANDIDATE_ERRORS and sum(map(bits, a[1:], b[1:])) <= simhash.WIDE_ERRORS
-    label = {i: i for i in fps}
-    changed = True
-    while changed:
-        changed = False
-        for i in fps:
-            low = min(label[j] for j in fps if near(fps[i], fps[j]))
-            changed |= low < label[i]
-            label[i] = min(label[i], low)
+    label = least_similar(kept)
     kept = {i: t for i, t in kept.items() if label[i] == i}
     table = spark.createDataFrame(sorted(kept.items()), "doc_id long, text string")
     clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(table).collect()}
-    cache = bpe.library_cache(bpe.tokenizer_path())
-    want = Counter({i: len(ids) // 4 + 1 for i, ids in zip(clean, cache.encode(list(clean.values())), strict=True)})
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    want = Counter({i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean.items()})
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     got: Counter = Counter()
     for r in rows:
@@ -53,15 +79,21 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir):
 
 
 def test_near_stage_keeps_what_is_less_similar(spark, sf_dir):
-    """Against exact Jaccard similarities of 5-word shingle sets; candidates miss a pair at 0.8 with a probability under 0.0003."""
+    """Against exact similarities; candidates miss a pair at 0.8 with a probability under 0.0005."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    texts = sorted((r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.collect())
-    sets = {i: set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)} - {()} for i, w in texts}
-    label = {i: i for i in sets}
-    for i, a in sets.items():
-        for j, b in sets.items():
-            if j < i and 5 * len(a & b) >= 4 * len(a | b) and label[i] != label[j]:
-                low, high = sorted((label[i], label[j]))
-                label = {k: low if v == high else v for k, v in label.items()}
+    label = least_similar({r["doc_id"]: r["text"] or "" for r in docs.collect()})
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, sf_dir).collect())
     assert kept == [i for i in label if label[i] == i]
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies of one text with an edit each, and texts below the threshold, are told apart in rounds of nearest candidates."""
+    rng = random.Random(5)
+    words = ["w%d" % rng.randint(0, 9999) for _ in range(300)]
+    copies = [" ".join(w if rng.random() > 0.01 else "x%d" % rng.randint(0, 999) for w in words) for _ in range(60)]
+    apart = [" ".join(w if rng.random() > 0.06 else "y%d" % rng.randint(0, 999) for w in words) for _ in range(40)]
+    texts = dict(enumerate(copies + apart))
+    label = least_similar(texts)
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(df, group_cap=32).collect()}
+    assert got == label and len(set(label.values())) > 10
