@@ -240,6 +240,8 @@ BANDS, BAND_ROWS = 16, 4
 #: Budget of the trie join on 64 bits of the shingle fingerprint: at similarity 0.8 they differ in 9.7 on average, with deviation 2.9.
 #: LOOSE_ERRORS is that of all 256 bits: 38.8 on average, with deviation 5.7, so one pair in 10,000 is over it. Both only spare comparisons of shingles.
 TRIE_ERRORS, LOOSE_ERRORS, OUTRIGHT = 24, 60, 64
+#: Words of the parity bits of a shingle set. Two sets differ in as many shingles at least as their parities in bits.
+ODD = tuple(f"s{k}" for k in range(16))
 #: Rounds of nearest candidates go on while this share of the pairs compared is linked.
 WORTH = 1 / 16
 _XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
@@ -299,10 +301,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every node is compared with its nearest candidates of other components, which
     joins a large group in a few rounds by rows in proportion to its members;
     when that hardly links any more, all candidates of different components are
-    compared, so no link between components is lost.
+    compared but those whose parity bits show that they cannot be similar enough,
+    so no link between components is lost.
     """
     members = _shingled(docs, id_col, text_col)
-    nodes = materialize(members.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bands", *WIDE))).withColumn("root", F.col("node")))
+    nodes = materialize(members.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bands", *WIDE, "size", *ODD))).withColumn("root", F.col("node")))
     links, nearest = None, True
     while True:
         pairs = materialize(_candidates(nodes, group_cap, nearest))
@@ -321,13 +324,13 @@ def _candidates(nodes: DataFrame, group_cap: int, nearest: bool) -> DataFrame:
     With ``nearest`` a group gives the pair of least distance of each member
     only, else all.
     """
-    columns = ["node", "root", *WIDE]
+    columns = ["node", "root", *WIDE, *(() if nearest else ("size", *ODD))]
     grouped = _dealt(nodes.select(*columns, F.posexplode("bands").alias("t", "key")), columns, group_cap)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches, 1 + len(columns)):
             rows = rows[np.lexsort((rows[:, 3].view(np.uint64), rows[:, 0]))]
-            wide = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+            wide = np.ascontiguousarray(rows[:, 3 : 3 + len(WIDE)]).view(np.uint64)
             best = np.full(len(rows), np.iinfo(np.int64).max)
             for a, b in trie_links(rows[:, 0], np.ascontiguousarray(wide[:, 0]), TRIE_ERRORS, wide, LOOSE_ERRORS, OUTRIGHT):
                 apart = rows[a, 2] != rows[b, 2]
@@ -336,14 +339,33 @@ def _candidates(nodes: DataFrame, group_cap: int, nearest: bool) -> DataFrame:
                     away = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) << 40
                     np.minimum.at(best, a, away + b)
                     np.minimum.at(best, b, away + a)
-                else:
-                    yield _pairs(rows[a, 1], rows[b, 1])
+                    continue
+                for lo in range(0, len(a), 1 << 16):
+                    i, j = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
+                    could = can_be_similar(rows[i, 3 + len(WIDE) :], rows[j, 3 + len(WIDE) :])
+                    yield _pairs(rows[i[could], 1], rows[j[could], 1])
             found = np.flatnonzero(best < np.iinfo(np.int64).max)
             yield _pairs(rows[found, 1], rows[best[found] & ((1 << 40) - 1), 1])
 
     return grouped.mapInArrow(run, "u long, v long").distinct()
 
 
+def can_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of (size, parity words) of two sets, whether their Jaccard similarity can be four fifths; no pair that has it is lost.
+
+    It is (n - d) / (n + d) for n the sum of the sizes and d the number of
+    shingles that only one has, which the parities' differing bits do not exceed.
+    """
+    d = np.maximum(np.abs(a[:, 0] - b[:, 0]), np.bitwise_count((a[:, 1:] ^ b[:, 1:]).view(np.uint64)).sum(1, dtype=np.int64))
+    return 9 * d <= a[:, 0] + b[:, 0]
+
+
+def parity(base: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of the digests ``base`` fall on."""
+    odd = np.bincount((base >> np.uint64(20) & np.uint64(64 * len(ODD) - 1)).astype(np.int64), minlength=64 * len(ODD)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
@@ -375,16 +397,18 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, bands, wide = [], [], []
+            node, bands, wide, odd = [], [], [], []
             for text in batch.column(1).to_pylist():
                 base = np.sort(_digests(shingle_set(text)))
                 node.append(xxhash.xxh64_intdigest(base.tobytes(), SEED))
                 bands.append(band_keys(base).view(np.int64))
                 wide.append(_wide(base))
+                odd.append(np.r_[np.int64(len(base)), parity(base)])
             columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (node, *(zip(*wide, strict=True) if wide else [[]] * len(WIDE)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, columns[0], pa.array(bands, pa.list_(pa.int64())), *columns[1:]], ["id", "text", "node", "bands", *WIDE])
+            columns += [pa.array(c) for c in np.array(odd, np.int64).reshape(-1, 1 + len(ODD)).T.copy()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, columns[0], pa.array(bands, pa.list_(pa.int64())), *columns[1:]], ["id", "text", "node", "bands", *WIDE, "size", *ODD])
 
-    schema = StructType([*given.schema.fields, *StructType.fromDDL("node long, bands array<long>").fields, *(StructField(c, LongType()) for c in WIDE)])
+    schema = StructType([*given.schema.fields, *StructType.fromDDL("node long, bands array<long>").fields, *(StructField(c, LongType()) for c in (*WIDE, "size", *ODD))])
     return materialize(given.mapInArrow(run, schema))
 
 

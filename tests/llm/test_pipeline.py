@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -97,3 +98,16 @@ def test_large_group_of_near_copies(spark):
     df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(df, group_cap=32).collect()}
     assert got == label and len(set(label.values())) > 10
+
+
+def test_parities_lose_no_similar_pair():
+    rng = np.random.default_rng(2)
+    for size in (1, 5, 40, 500, 5000):
+        for spoilt in (0.0, 0.05, 0.1, 0.12, 0.3):
+            a = rng.integers(0, 1 << 63, size).astype(np.uint64)
+            b = np.where(rng.random(size) < spoilt, rng.integers(0, 1 << 63, size).astype(np.uint64), a)
+            rows = [np.r_[np.int64(len(set(x.tolist()))), simhash.parity(np.unique(x))][None] for x in (a, b)]
+            if simhash.similar(set(a.tolist()), set(b.tolist())):
+                assert simhash.can_be_similar(*rows)[0]
+            elif spoilt == 0.3 and 40 <= size <= 500:
+                assert not simhash.can_be_similar(*rows)[0]
