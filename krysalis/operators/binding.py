@@ -56,8 +56,8 @@ def standard_rows(samples: DataFrame) -> DataFrame:
 def canonical_triplet(samples: DataFrame, matrices: DataFrame, sample_id: int | None = None, require_standard: bool = True) -> DataFrame:
     """One sample with its matrix's rows: the one asked for, or the first standard one of each dataset."""
     if sample_id is None:
-        first = Window.partitionBy("dataset_id").orderBy("row_kind", "sample_id")
-        row = samples.withColumn("rank", F.row_number().over(first)).filter("rank = 1").drop("rank")
+        least = samples.groupBy("dataset_id").agg(F.min_by(F.struct(*[c for c in samples.columns if c != "dataset_id"]), F.struct("row_kind", "sample_id")).alias("row"))
+        row = least.select("dataset_id", "row.*").select(*samples.columns)
     else:
         row = samples.filter(F.col("sample_id") == sample_id)
     if require_standard:

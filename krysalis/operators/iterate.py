@@ -146,11 +146,25 @@ def power_norm(matrices: DataFrame, max_iters: int = 1000, tolerance: float = 1e
     return _power(square, start, max_iters, tolerance).select("matrix_id", F.sqrt("value").alias("norm_spectral"))
 
 
-def condition_numbers(matrices: DataFrame, preconditioners: tuple[str, ...] = ("identity", "jacobi"), max_iters: int = 1000) -> DataFrame:
-    """``(matrix_id, preconditioner, condition_number)`` of M⁻¹A; NaN where the smallest eigenvalue is not positive."""
+#: Preconditioners that the loops over all systems apply.
+PRECONDITIONERS = ("identity", "jacobi")
+
+
+def _known(names) -> None:
+    other = sorted(set(names) - set(PRECONDITIONERS))
+    if other:
+        raise ValueError(f"no such preconditioner: {', '.join(other)}")
+
+
+def condition_numbers(matrices: DataFrame, preconditioners: tuple[str, ...] = PRECONDITIONERS, max_iters: int = 1000, tolerance: float = 1e-6) -> DataFrame:
+    """``(matrix_id, preconditioner, condition_number)`` of M⁻¹A; NaN where the smallest eigenvalue is not positive.
+
+    A name that is not in ``PRECONDITIONERS`` is an error.
+    """
+    _known(preconditioners)
     out = None
     for name in preconditioners:
-        ends = power_extremes(matrices, max_iters, jacobi=name == "jacobi")
+        ends = power_extremes(matrices, max_iters, tolerance, jacobi=name == "jacobi")
         value = F.when(F.col("lambda_min") > 0, F.col("lambda_max") / F.col("lambda_min")).otherwise(F.lit(float("nan")))
         part = ends.select("matrix_id", F.lit(name).alias("preconditioner"), value.alias("condition_number"))
         out = part if out is None else out.unionByName(part)
@@ -207,13 +221,15 @@ def eigenbasis(matrices: DataFrame, count: int, which: str = "smallest", seed: i
     return guarded(matrices, largest).groupBy("matrix_id").applyInPandas(run, "matrix_id long, k int, eigenvalue double, i int, v double")
 
 
-def pcg_compare(matrices: DataFrame, rhs: DataFrame, preconditioners: tuple[str, ...] = ("identity", "jacobi"), rtol: float = RTOL, atol: float = ATOL, max_iters: int = 100) -> tuple[DataFrame, DataFrame]:
+def pcg_compare(matrices: DataFrame, rhs: DataFrame, preconditioners: tuple[str, ...] = PRECONDITIONERS, rtol: float = RTOL, atol: float = ATOL, max_iters: int = 100) -> tuple[DataFrame, DataFrame]:
     """Solves ``(system_id, preconditioner, converged, iterations, residual)`` and their history by step.
 
     The grid is one loop: a system under a preconditioner is a system of its
-    own, and the identity is always among them. A solve that gives no finite
+    own, and the identity is always among them; a name that is not in
+    ``PRECONDITIONERS`` is an error. A solve that gives no finite
     residual counts as failed, with an infinite one and no iterations.
     """
+    _known(preconditioners)
     names = sorted({"identity", *preconditioners})
     grid = rhs.withColumn("preconditioner", F.explode(F.array(*map(F.lit, names))))
     grid = grid.withColumn("pair", F.xxhash64("system_id", "preconditioner"))

@@ -38,7 +38,8 @@ def register(name: str, supports_replacement: bool = False) -> Callable:
 
 
 def grid(matrices: DataFrame, budgets: DataFrame) -> DataFrame:
-    """``(system_id, matrix_id, row, i)``: a place for each component of each row of the budget."""
+    """``(system_id, matrix_id, row, i)``: a place for each component of each row of the budget; over ``ROWS`` rows of one matrix are an error."""
+    budgets = budgets.withColumn("rows", F.when(F.col("rows") > ROWS, F.raise_error(F.lit(f"over {ROWS} rows of a matrix"))).otherwise(F.col("rows")))
     meta = sizes(matrices).join(budgets.filter("rows > 0"), "matrix_id")
     rows = meta.select("matrix_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"))
     return rows.select((F.col("matrix_id") * ROWS + F.col("row")).alias("system_id"), "matrix_id", "row", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
@@ -239,7 +240,7 @@ def residuals(matrices, budgets, seed=42, archive=None, iterations=8, every_n=1)
     per = iterations // every_n + 1
     held = _held(archive, budgets.withColumn("rows", F.when(F.col("rows") < 0, F.col("rows")).otherwise(F.ceil(F.col("rows") / per))))
     x = held.select((F.col("matrix_id") * ROWS + F.col("row")).alias("system_id"), "matrix_id", F.posexplode("x").alias("i", "v"))
-    return _cut(_traces(matrices, x, iterations, every_n), budgets, per, F.col("r"), F.col("truth") - F.col("x"))
+    return _cut(_traces(matrices, x, iterations, every_n), budgets, per, every_n, F.col("r"), F.col("truth") - F.col("x"))
 
 
 @register("gaussian_residuals", True)
@@ -248,7 +249,7 @@ def gaussian_residuals(matrices, budgets, seed=42, iterations=8, every_n=1):
     per = iterations // every_n + 1
     systems = budgets.withColumn("rows", F.ceil(F.col("rows") / per).cast("long"))
     x = random_vectors(matrices, systems, lambda r, i: normal(seed, r, i))
-    return _cut(_traces(matrices, x, iterations, every_n), budgets, per, F.col("r"), F.col("truth") - F.col("x"))
+    return _cut(_traces(matrices, x, iterations, every_n), budgets, per, every_n, F.col("r"), F.col("truth") - F.col("x"))
 
 
 @register("search_directions", True)
@@ -257,12 +258,12 @@ def search_directions(matrices, budgets, seed=42, iterations=8, every_n=1):
     per = iterations // every_n + 1
     systems = budgets.withColumn("rows", F.ceil(F.col("rows") / per).cast("long"))
     x = random_vectors(matrices, systems, lambda r, i: normal(seed, r, i))
-    return _cut(_traces(matrices, x, iterations, every_n), budgets, per, F.col("ap"), F.col("p"))
+    return _cut(_traces(matrices, x, iterations, every_n), budgets, per, every_n, F.col("ap"), F.col("p"))
 
 
-def _cut(steps: DataFrame, budgets: DataFrame, per: int, rhs: Column, solution: Column) -> DataFrame:
-    """The first rows of each matrix's traces, as many as its budget: a row's number is its system's times ``per`` and its step's."""
-    numbered = steps.join(budgets, "matrix_id").withColumn("number", (F.col("system_id") - F.col("matrix_id") * ROWS) * per + F.col("iter"))
+def _cut(steps: DataFrame, budgets: DataFrame, per: int, every_n: int, rhs: Column, solution: Column) -> DataFrame:
+    """The first rows of each matrix's traces, as many as its budget: a row's number is its system's times ``per`` and its place among the steps kept."""
+    numbered = steps.join(budgets, "matrix_id").withColumn("number", (F.col("system_id") - F.col("matrix_id") * ROWS) * per + F.floor(F.col("iter") / every_n))
     return numbered.filter((F.col("rows") < 0) | (F.col("number") < F.col("rows"))).select("system_id", "matrix_id", "iter", "i", rhs.alias("rhs"), solution.alias("solution"))
 
 
