@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from krysalis.functions.lineage import materialize, remove, shared_folder
 
-__all__ = ["SPACE", "bucketed", "materialize", "remove", "shared_folder", "text_of"]
+__all__ = ["SPACE", "bucketed", "drop_shuffles", "materialize", "remove", "shared_folder", "text_of"]
 
 #: The ASCII white space that separates words everywhere in this package.
 SPACE = r"[\x20\x09-\x0D]"
@@ -34,6 +35,12 @@ def bucketed(df: DataFrame, column: str, files: int) -> DataFrame:
     return spark.table(name)
 
 
+def drop_shuffles(spark) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver's plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def _forget(spark, name: str, path: str) -> None:
     try:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
