@@ -203,9 +203,9 @@ def c5(spark, d):
     return binding.comparison_grid(table(spark, d, "orders").select(F.col("o_orderkey").alias("system_id")), names)
 
 
-@query("c6_closest_match", "WITH b AS (SELECT o_orderkey AS id, o_totalprice AS d FROM orders WHERE o_orderkey % 5 = 0), a AS (SELECT c_custkey AS id, c_acctbal * 30 AS d FROM customer), below AS (SELECT a.id, a.d, max(b.d) AS bd FROM a JOIN b ON b.d <= a.d GROUP BY 1, 2), above AS (SELECT a.id, a.d, min(b.d) AS bd FROM a JOIN b ON b.d >= a.d GROUP BY 1, 2), pick AS (SELECT a.id, a.d, CASE WHEN below.bd IS NULL OR above.bd - a.d < a.d - below.bd THEN above.bd ELSE below.bd END AS bd FROM a LEFT JOIN below USING (id) LEFT JOIN above USING (id)) SELECT pick.id, round(pick.d, 6) + 0.0 AS d, min(b.id) AS b_id, round(abs(pick.bd - pick.d), 6) + 0.0 AS distance FROM pick JOIN b ON b.d = pick.bd GROUP BY 1, 2, 4")
+@query("c6_closest_match", "WITH b AS (SELECT o_orderkey AS id, o_totalprice AS d FROM orders), a AS (SELECT c_custkey AS id, c_acctbal * 30 AS d FROM customer), below AS (SELECT a.id, a.d, max(b.d) AS bd FROM a JOIN b ON b.d <= a.d GROUP BY 1, 2), above AS (SELECT a.id, a.d, min(b.d) AS bd FROM a JOIN b ON b.d >= a.d GROUP BY 1, 2), pick AS (SELECT a.id, a.d, CASE WHEN below.bd IS NULL OR above.bd - a.d < a.d - below.bd THEN above.bd ELSE below.bd END AS bd FROM a LEFT JOIN below USING (id) LEFT JOIN above USING (id)) SELECT pick.id, round(pick.d, 6) + 0.0 AS d, min(b.id) AS b_id, round(abs(pick.bd - pick.d), 6) + 0.0 AS distance FROM pick JOIN b ON b.d = pick.bd GROUP BY 1, 2, 4")
 def c6(spark, d):
-    b = table(spark, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("d"))
+    b = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("d"))
     a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") * 30).alias("d"))
     return rounded(binding.closest_match(a, b), "d", "distance")
 
