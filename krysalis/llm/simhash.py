@@ -305,7 +305,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so no link between components is lost.
     """
     members = _shingled(docs, id_col, text_col)
-    nodes = materialize(members.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bands", *WIDE, "size", *ODD))).withColumn("root", F.col("node")))
+    nodes = members.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bands", *WIDE, "size", *ODD)))
+    nodes = materialize(_shared_bands(materialize(nodes)).withColumn("root", F.col("node")))
     links, nearest = None, True
     while True:
         pairs = materialize(_candidates(nodes, group_cap, nearest))
@@ -318,14 +319,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nearest = found.count() > WORTH * pairs.count()
 
 
+def _shared_bands(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``bands`` as an array of (t, key), without the keys that no other node has.
+
+    A key that occurs once names its node in the count itself, so only keys and
+    nodes are exchanged, and the rounds deal out what can have a partner.
+    """
+    keyed = nodes.select("node", F.posexplode("bands").alias("t", "key"))
+    alone = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
+    masks = alone.groupBy("node").agg(F.expr("bit_or(shiftleft(1, t))").alias("alone"))
+    shared = F.expr("filter(transform(bands, (x, i) -> named_struct('t', i, 'key', x)), x -> coalesce(alone, 0) & shiftleft(1, x.t) = 0)")
+    return nodes.join(masks, "node", "left").withColumn("bands", shared).drop("alone")
+
+
 def _candidates(nodes: DataFrame, group_cap: int, nearest: bool) -> DataFrame:
-    """Distinct pairs ``(u, v)`` of ``nodes(node, bands, w0 ... w3, root)`` of different roots within the loose budgets.
+    """Distinct pairs ``(u, v)`` of ``nodes(node, bands of (t, key), w0 ... w3, root)`` of different roots within the loose budgets.
 
     With ``nearest`` a group gives the pair of least distance of each member
     only, else all.
     """
     columns = ["node", "root", *WIDE, *(() if nearest else ("size", *ODD))]
-    grouped = _dealt(nodes.select(*columns, F.posexplode("bands").alias("t", "key")), columns, group_cap)
+    grouped = _dealt(nodes.select(*columns, F.explode("bands").alias("band")).select(*columns, "band.t", "band.key"), columns, group_cap)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches, 1 + len(columns)):
