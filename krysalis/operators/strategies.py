@@ -132,13 +132,23 @@ def sparse_rhs(matrices, budgets, seed=42, indices=(0,), values=(1.0,), method="
     return inverse(matrices, places.select("system_id", "matrix_id", "i", value.alias("v")), method, **options)
 
 
+def _skip(budgets: DataFrame) -> Column:
+    """The archived rows that earlier bindings took, as ``archive_offsets`` counts them; none where the budget does not say."""
+    return F.coalesce(F.col("skip"), F.lit(0)).cast("long") if "skip" in budgets.columns else F.lit(0).cast("long")
+
+
 def _held(archive: DataFrame, budgets: DataFrame) -> DataFrame:
-    """The rows of ``archive(matrix_id, row, ...)`` under each matrix's budget; -1 takes all, and a shorter archive is an error."""
+    """The rows of ``archive(matrix_id, row, ...)`` under ``budgets(matrix_id, rows, skip)``, the last column optional.
+
+    They begin after ``skip`` rows; -1 takes all of the rest, and an archive
+    that ends before is an error.
+    """
+    budgets = budgets.withColumn("skip", _skip(budgets))
     supply = archive.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("supply"))
-    short = budgets.join(supply, "matrix_id", "left").filter(F.coalesce("supply", F.lit(0)) < F.col("rows")).select("matrix_id", "rows").first()
+    short = budgets.join(supply, "matrix_id", "left").filter(F.coalesce("supply", F.lit(0)) < F.col("skip") + F.greatest("rows", F.lit(0))).select("matrix_id", "rows", "skip").first()
     if short:
-        raise ValueError(f"the archive of matrix {short[0]} is shorter than its budget of {short[1]} rows")
-    return archive.join(budgets, "matrix_id").filter((F.col("rows") < 0) | (F.col("row") < F.col("rows")))
+        raise ValueError(f"the archive of matrix {short[0]} is shorter than its budget of {short[1]} rows after {short[2]}")
+    return archive.join(budgets, "matrix_id").filter((F.col("row") >= F.col("skip")) & ((F.col("rows") < 0) | (F.col("row") < F.col("skip") + F.col("rows"))))
 
 
 @register("solution_archive")
@@ -236,6 +246,7 @@ def residuals(matrices, budgets, seed=42, archive=None, iterations=8, every_n=1)
 
     ``budgets.rows`` are trace rows a matrix: enough systems are run, and the
     rows over the budget are cut; -1 rows mean all rows of all archived systems.
+    ``budgets.skip``, where there is one, counts archived systems.
     """
     per = iterations // every_n + 1
     held = _held(archive, budgets.withColumn("rows", F.when(F.col("rows") < 0, F.col("rows")).otherwise(F.ceil(F.col("rows") / per))))
@@ -249,7 +260,7 @@ def gaussian_residuals(matrices, budgets, seed=42, iterations=8, every_n=1):
     per = iterations // every_n + 1
     systems = budgets.withColumn("rows", F.ceil(F.col("rows") / per).cast("long"))
     x = random_vectors(matrices, systems, lambda r, i: normal(seed, r, i))
-    return _cut(_traces(matrices, x, iterations, every_n), budgets, per, every_n, F.col("r"), F.col("truth") - F.col("x"))
+    return _cut(_traces(matrices, x, iterations, every_n), budgets.drop("skip"), per, every_n, F.col("r"), F.col("truth") - F.col("x"))
 
 
 @register("search_directions", True)
@@ -258,12 +269,13 @@ def search_directions(matrices, budgets, seed=42, iterations=8, every_n=1):
     per = iterations // every_n + 1
     systems = budgets.withColumn("rows", F.ceil(F.col("rows") / per).cast("long"))
     x = random_vectors(matrices, systems, lambda r, i: normal(seed, r, i))
-    return _cut(_traces(matrices, x, iterations, every_n), budgets, per, every_n, F.col("ap"), F.col("p"))
+    return _cut(_traces(matrices, x, iterations, every_n), budgets.drop("skip"), per, every_n, F.col("ap"), F.col("p"))
 
 
 def _cut(steps: DataFrame, budgets: DataFrame, per: int, every_n: int, rhs: Column, solution: Column) -> DataFrame:
-    """The first rows of each matrix's traces, as many as its budget: a row's number is its system's times ``per`` and its place among the steps kept."""
-    numbered = steps.join(budgets, "matrix_id").withColumn("number", (F.col("system_id") - F.col("matrix_id") * ROWS) * per + F.floor(F.col("iter") / every_n))
+    """The first rows of each matrix's traces, as many as its budget: a row's number is its system's after those skipped times ``per`` and its place among the steps kept."""
+    budgets = budgets.withColumn("skip", _skip(budgets))
+    numbered = steps.join(budgets, "matrix_id").withColumn("number", (F.col("system_id") - F.col("matrix_id") * ROWS - F.col("skip")) * per + F.floor(F.col("iter") / every_n))
     return numbered.filter((F.col("rows") < 0) | (F.col("number") < F.col("rows"))).select("system_id", "matrix_id", "iter", "i", rhs.alias("rhs"), solution.alias("solution"))
 
 

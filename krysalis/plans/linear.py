@@ -209,6 +209,13 @@ def e11_whole(spark, d):
     return rounded(strategies.solution_archive(a, budgets(a, -1), archive=archive(spark, d).drop("vec_id")), "rhs", "solution")
 
 
+@query("e11_solution_archive_rest", _archive_pairs(1.0, "row >= 2"))
+def e11_rest(spark, d):
+    """What two rows a matrix, taken by an earlier binding, leave of the archive."""
+    a = gram(spark, d)
+    return rounded(strategies.solution_archive(a, budgets(a, -1).withColumn("skip", F.lit(2)), archive=archive(spark, d).drop("vec_id")), "rhs", "solution")
+
+
 @query("e13_scaled_solutions_whole", _archive_pairs(5.0, "true"))
 def e13_whole(spark, d):
     a = gram(spark, d)

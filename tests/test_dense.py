@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from krysalis.operators import iterate, strategies
-from krysalis.plans.fixtures import budgets, embeddings, flow, gram
+from krysalis.plans.fixtures import archive, budgets, embeddings, flow, gram
 from krysalis.plans.queries import QUERIES
 
 COVERED = ("e15_eigenvector_forward", "e16_eigenvector_inverse", "e17_krylov", "f4_f11_singular", "f13_pod_basis", "f14_pod_from_predictions", "h5_eigenbasis", "h9_two_grid")
@@ -93,6 +93,19 @@ def test_two_grid(spark, sf_dir, flows):
         assert z[key] == pytest.approx(want, rel=1e-5, abs=1e-6)
 
 
+def test_skipped_archive_rows(spark, sf_dir):
+    """Bindings with a skip take disjoint slices; traces count their rows from the first system taken."""
+    a, held = gram(spark, sf_dir), archive(spark, sf_dir).drop("vec_id")
+    place = F.col("system_id") - F.col("matrix_id") * strategies.ROWS
+    taken = lambda rows, skip: {tuple(r) for r in strategies.rhs_archive(a, budgets(a, rows).withColumn("skip", F.lit(skip)), archive=held).select("matrix_id", place).distinct().collect()}
+    matrices = [r[0] for r in a.select("matrix_id").distinct().collect()]
+    assert taken(2, 0) == {(m, k) for m in matrices for k in (0, 1)} and taken(2, 2) == {(m, k) for m in matrices for k in (2, 3)}
+    steps = strategies.residuals(a, budgets(a, 3).withColumn("skip", F.lit(1)), archive=held, iterations=1)
+    assert {tuple(r) for r in steps.select("matrix_id", place, "iter").distinct().collect()} == {(m, *k) for m in matrices for k in ((1, 0), (1, 1), (2, 0))}
+    with pytest.raises(ValueError, match="shorter"):
+        strategies.solution_archive(a, budgets(a, -1).withColumn("skip", F.lit(1 << 20)), archive=held)
+
+
 def test_refusals(spark, sf_dir):
     a = flow(spark, sf_dir)
     with pytest.raises(ValueError):
