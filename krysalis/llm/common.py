@@ -22,7 +22,7 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def bucketed(df: DataFrame, column: str, files: int) -> DataFrame:
+def bucketed(df: DataFrame, column: str, files: int, compression: str = "uncompressed") -> DataFrame:
     """``df`` as a table in the shared folder, bucketed by ``column``; it leaves the catalogue when the driver ends.
 
     What is dealt out by ``repartition(files, column)`` joins it without moving the table.
@@ -30,7 +30,7 @@ def bucketed(df: DataFrame, column: str, files: int) -> DataFrame:
     spark = df.sparkSession
     name = f"krysalis_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    df.write.option("path", path).option("compression", "uncompressed").bucketBy(files, column).saveAsTable(name)
+    df.write.option("path", path).option("compression", compression).bucketBy(files, column).saveAsTable(name)
     atexit.register(_forget, spark, name, path)
     return spark.table(name)
 

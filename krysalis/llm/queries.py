@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from krysalis.llm import bpe, chat, classifier, exact, mixing, negatives, packing, pages, quality, secrets, simhash, suffixes
+from krysalis.llm import alignment, bpe, chat, classifier, exact, mixing, negatives, packing, pages, quality, secrets, simhash, suffixes
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_chat_format": chat.op9_chat_format,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_quality_classifier": classifier.op13_quality_classifier,
 }
