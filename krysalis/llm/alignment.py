@@ -8,6 +8,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from math import isqrt
 
 import numpy as np
@@ -19,43 +20,75 @@ from krysalis.llm.bpe import _byte_alphabet, tokenizer_path
 from krysalis.llm.common import bucketed, materialize, text_of
 
 #: Bytes of text that are aligned together, and the most files that blocks are dealt out to.
-BLOCK_BYTES, MOST_FILES = 8 << 20, 4096
+BLOCK_BYTES, MOST_FILES = 4 << 20, 4096
 #: Parts of the pairs, by their B id: one has the pairs of 125 of 32,000 B ids, each with 50,257 A ids at most.
 BUCKETS = 256
-#: Pieces and characters that a worker remembers; when full it starts anew. Speed only.
-CACHE, CACHE_CHARS = 200_000, 1 << 24
+#: Pieces and characters that a worker remembers; when full it forgets what it met since then after each batch. Speed only.
+CACHE, CACHE_CHARS = 400_000, 1 << 23
 
 _FIELDS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def aligned(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[list[int], list[str]]:
-    """Links, as ``b << 32 | a``, and groups, as text, of two tokenizations of the same bytes.
+class Aligned:
+    """The alignment of many texts' tokens, laid end to end.
 
-    Tokens are linked where their byte ranges overlap; a group ends where both
-    end. Each step passes the token that ends first, so a link comes once.
+    ``a`` and ``b`` are ids, ``a_size`` and ``b_size`` bytes by id. The ends of
+    tokens of both sides cut the bytes into stretches; each lies in one token of
+    either side, which are linked there. Groups end where both end, so that one
+    text's never reach into the next. ``texts`` are the numbers of bytes of each.
     """
-    links, groups, i, j, gi, gj = [], [], 0, 0, 0, 0
-    a_end, b_end = (a_size[a[0]], b_size[b[0]]) if a else (0, 0)
-    while i < len(a):
-        links.append(b[j] << 32 | a[i])
-        step = a_end - b_end
-        if step <= 0:
-            i += 1
-        if step >= 0:
-            j += 1
-        if not step:
-            groups.append(",".join(map(str, a[gi:i])) + "|" + ",".join(map(str, b[gj:j])))
-            gi, gj = i, j
-        if i < len(a):
-            if step <= 0:
-                a_end += a_size[a[i]]
-            if step >= 0:
-                b_end += b_size[b[j]]
-    return links, groups
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, texts: np.ndarray):
+        self.a, self.b = a, b
+        ends = np.concatenate([np.cumsum(a_size[a]) << 1, np.cumsum(b_size[b]) << 1 | 1])
+        ends.sort(kind="stable")  # two sorted runs: a merge
+        place = ends >> 1
+        start = np.ones(len(ends), bool)
+        start[1:] = place[1:] != place[:-1]
+        shared = np.zeros(len(ends), bool)
+        shared[:-1] = ~start[1:]
+        first, shared = ends[start], shared[start]
+        self.ends, has_a, self.shared = first >> 1, (first & 1) == 0, shared
+        has_b = ~has_a | shared
+        self.of_a, self.of_b = np.cumsum(has_a) - has_a, np.cumsum(has_b) - has_b
+        self.links = b[self.of_b].astype(np.int64) << 32 | a[self.of_a]
+        self.cuts = np.searchsorted(self.ends, np.concatenate([[0], np.cumsum(texts)]), "right")
+
+    def sums(self, of_links: np.ndarray) -> np.ndarray:
+        """By text."""
+        total = np.zeros(len(of_links) + 1, np.int64)
+        np.cumsum(of_links, out=total[1:])
+        return total[self.cuts[1:]] - total[self.cuts[:-1]]
+
+    def counts(self) -> list[np.ndarray]:
+        """Numbers of tokens of A and of B, of groups and of links of each text."""
+        groups, links = self.sums(self.shared), np.diff(self.cuts)
+        n_a = self.sums(np.diff(self.of_a, prepend=-1) > 0)
+        return [n_a, links + groups - n_a, groups, links]
+
+    def shown(self, a_words: np.ndarray, b_words: np.ndarray) -> list[str]:
+        """Each text's groups: decimal ids of A, a bar, those of B, groups parted by semicolons.
+
+        ``a_words`` and ``b_words``: the ids as text with a comma, then all of
+        them with what ends their side of a group.
+        """
+        n_groups = int(self.shared.sum())
+        group = np.cumsum(self.shared) - self.shared
+        group_a, group_b = np.empty(len(self.a), np.int64), np.empty(len(self.b), np.int64)
+        group_a[self.of_a], group_b[self.of_b] = group, group
+        in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
+        upto_a, upto_b = np.cumsum(in_a), np.cumsum(in_b)
+        last_a, last_b = np.zeros(len(self.a), bool), np.zeros(len(self.b), bool)
+        last_a[upto_a - 1] = last_b[upto_b - 1] = True
+        words = np.empty(len(self.a) + len(self.b), object)
+        words[np.arange(len(self.a)) + (upto_b - in_b)[group_a]] = a_words[self.a.astype(np.int64) + last_a * (len(a_words) // 2)]
+        words[np.arange(len(self.b)) + upto_a[group_b]] = b_words[self.b.astype(np.int64) + last_b * (len(b_words) // 2)]
+        tokens = np.cumsum(self.counts()[0] + self.counts()[1])
+        return ["".join(words[lo:hi].tolist())[:-1] for lo, hi in zip([0, *tokens[:-1].tolist()], tokens.tolist(), strict=True)]
 
 
 class Aligner:
-    """Both tokenizers and what they make of each piece of text.
+    """Both tokenizers and the ids that they give each piece of text.
 
     Space and text are cut before every space that follows another character
     than white space. Neither tokenizer joins anything across such a place: the
@@ -88,15 +121,13 @@ class Aligner:
             raise ValueError("a piece of B goes on after a space")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(shown)]
         self.blank = self.pieces.piece_to_id("▁")
-        self.a_size, self.b_size = [len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)], list(map(len, self.b_bytes))
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}  # of the parts between spaces; -1: its end is white space
-        self.merged: dict[str, int] = {}  # of pieces with more than one part
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.links: list[bytes] = []
-        self.shown: list[str | None] = []
+        self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.b_size = np.array(list(map(len, self.b_bytes)))
+        words = lambda n, end: np.array([f"{i}," for i in range(n)] + [f"{i}{end}" for i in range(n)], object)
+        self.a_words, self.b_words = words(len(self.a_size), "|"), words(len(self.b_size), ";")
+        self.kind = "<u2" if max(len(self.a_size), len(self.b_size)) <= 1 << 16 else "<u4"
+        self.index: dict[str, tuple | bool] = {}  # of the parts between spaces; False: its end is white space
+        self.merged: dict[str, tuple | bool] = {}  # of pieces with more than one part
         self.chars = 0
 
     def _a_ids(self, keys: list[str]) -> list[list[int]]:
@@ -104,40 +135,33 @@ class Aligner:
         rest = iter(self.tokenizer.encode_batch_fast([" " + k for k, p in zip(keys, plain, strict=True) if not p], add_special_tokens=False) if not all(plain) else ())
         return [self.quick(" " + k) if p else next(rest).ids for k, p in zip(keys, plain, strict=True)]
 
-    def _learn(self, keys: list[str], index: dict[str, int]) -> None:
+    def _learn(self, keys: list[str], index: dict[str, tuple | bool]) -> None:
+        """Ids of both as packed bytes; a piece that a tokenizer changes has none."""
         for key, a, b in zip(keys, self._a_ids(keys), self.pieces.encode(keys, num_threads=1) if keys else (), strict=True):
             b = b or [self.blank]
             raw = (" " + key).encode()
-            index[key] = len(self.shown)
             self.chars += len(key)
-            if b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b]):
-                links, groups = aligned(a, b, self.a_size, self.b_size)
-                self.counts.append((len(a), len(b), len(groups), len(links)))
-                self.links.append(np.array(links, "<i8").tobytes())
-                self.shown.append(";".join(groups))
-            else:
-                self.counts.append((0, 0, 0, 0))
-                self.links.append(b"")
-                self.shown.append(None)
-
-    def _known(self, keys: list[str]) -> list[int]:
+            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
+            index[key] = (np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()) if same else (b"", b"", True)
+
+    def _known(self, keys: list[str]) -> list:
         at = list(map(self.index.get, keys))
         if None in at:
             new = {k for k, i in zip(keys, at, strict=True) if i is None}
             odd = {k for k in new if not k or k[-1].isspace()}
-            self.index.update(dict.fromkeys(odd, -1))
+            self.index.update(dict.fromkeys(odd, False))
             if new - odd:
                 self._learn(sorted(new - odd), self.index)
             at = list(map(self.index.get, keys))
         return at
 
-    def cut(self, text: str) -> np.ndarray:
-        """The numbers of a text's pieces; none of an empty text or of one that either tokenizer changes."""
+    def ids(self, text: str) -> tuple[bytes, bytes]:
+        """A text's ids; none of an empty text or of one that either tokenizer changes."""
         if not text:
-            return np.zeros(0, np.int64)
+            return b"", b""
         parts = text.split(" ")
         at = self._known(parts)
-        if -1 in at:  # white space before a space: what follows it belongs to the same piece
+        if False in at:  # white space before a space: what follows it belongs to the same piece
             keys, whole = [], []
             for k, part in enumerate(parts):
                 whole.append(part)
@@ -146,20 +170,36 @@ class Aligner:
                     whole = []
             self._learn(sorted(set(keys).difference(self.merged)), self.merged)
             at = list(map(self.merged.get, keys))
-        found = np.array(at, np.int64)
-        return found if all([self.shown[i] is not None for i in set(at)]) else found[:0]
-
-    def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of pieces of all texts in one array, and how many each text has."""
-        if len(self.shown) > CACHE or self.chars > CACHE_CHARS:
-            self.forget()
-        found = [self.cut(t) for t in texts]
-        return np.concatenate([np.zeros(0, np.int64), *found]), np.array(list(map(len, found)), np.int64)
+        if any([len(x) > 2 for x in at]):
+            return b"", b""
+        return b"".join([x[0] for x in at]), b"".join([x[1] for x in at])
+
+    def all_ids(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """``ids`` of each text; see ``CACHE`` for what is remembered."""
+        found = []
+        for text in texts:
+            found.append(self.ids(text))
+            if len(self.index) > CACHE or len(self.merged) > CACHE // 4 or self.chars > CACHE_CHARS:
+                self._shrink()
+        return found
 
-    def pairs(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The links of pieces, in one array, and how many each has."""
-        held = [self.links[i] for i in pieces.tolist()]
-        return np.frombuffer(b"".join(held), "<i8"), np.array([len(x) // 8 for x in held], np.int64)
+    def _shrink(self) -> None:
+        """Forget the later half of the pieces: the frequent ones came early."""
+        for name in ("index", "merged"):
+            held = getattr(self, name)
+            setattr(self, name, dict(islice(held.items(), len(held) // 2)))
+        self.chars = sum(map(len, self.index)) + sum(map(len, self.merged))
+        if self.chars > CACHE_CHARS // 2:
+            self.index, self.merged, self.chars = {}, {}, 0
+
+    def aligned(self, a: pa.ChunkedArray, b: pa.ChunkedArray) -> Aligned:
+        """The alignment of texts whose ids ``all_ids`` gave."""
+        a, b = a.to_pylist(), b.to_pylist()
+        flat_a, flat_b = (np.frombuffer(b"".join(x), self.kind) for x in (a, b))
+        ends = np.zeros(len(flat_a) + 1, np.int64)
+        np.cumsum(self.a_size[flat_a], out=ends[1:])
+        upto = ends[np.cumsum(np.array([0, *map(len, a)]) // np.dtype(self.kind).itemsize)]
+        return Aligned(flat_a, flat_b, self.a_size, self.b_size, np.diff(upto))
 
 
 @lru_cache(maxsize=1)
@@ -309,8 +349,8 @@ def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A encodes a space and the text, B the text, to which it adds the space. A
     null or empty text, and one that a tokenizer changes, has no tokens: zeros
     and an empty digest. Rows are dealt out to blocks of about 8 MiB by their
-    place, so copies and hot ids spread; a block's distinct pairs are counted in
-    its task and looked up for its second pass. Repeated rows count once each;
+    place, as ids, so copies and hot ids spread; a block's distinct pairs are
+    counted in its task and looked up for its second pass, which aligns again. Repeated rows count once each;
     input columns but the two named are not read, so their names cannot clash;
     an empty table gives none.
     """
@@ -318,18 +358,24 @@ def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     parts, files = isqrt(n_blocks - 1) + 1, min(n_blocks, MOST_FILES)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = aligner(a_path, b_path)
+        for batch in batches:
+            step = max(1, int(batch.num_rows * BLOCK_BYTES / max(batch.nbytes, 1)))
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                ids = by.all_ids(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[k] for x in ids], pa.binary()) for k in (0, 1))], ["doc_id", "a", "b"])
+
+    rows = texts.mapInArrow(encode, "doc_id long, a binary, b binary").withColumn("place", F.monotonically_increasing_id())
     rows = rows.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(n_blocks))).drop("place")
     held = bucketed(rows.repartition(files, "block"), "block", files, "zstd")
 
     def count(keys: tuple, table: pa.Table) -> pa.Table:
-        by = aligner(a_path, b_path)
-        flat, _ = by.block(table["text"].to_pylist())
-        pieces, times = np.unique(flat, return_counts=True)
-        links, sizes = by.pairs(pieces)
-        found, at = np.unique(links, return_inverse=True)
-        counts = np.zeros(len(found), np.int64)
-        np.add.at(counts, at, np.repeat(times, sizes))
+        found, counts = np.unique(aligner(a_path, b_path).aligned(table["a"], table["b"]).links, return_counts=True)
+        counts = counts.astype(np.int64)
         bucket = (found >> 32) % BUCKETS
         order = np.argsort(bucket, kind="stable")
         held_, first = np.unique(bucket[order], return_index=True)
@@ -356,25 +402,13 @@ def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def measure(keys: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         by = aligner(a_path, b_path)
-        flat, lengths = by.block(table["text"].to_pylist())
-        pieces, at = np.unique(flat, return_inverse=True)
-        links, sizes = by.pairs(pieces)
+        both = by.aligned(table["a"], table["b"])
         known, counts, best = (np.frombuffer(b"".join(found[c].to_pylist()), t) for c, t in (("keys", "<i8"), ("counts", "<i8"), ("best", bool)))
         order = np.argsort(known)
-        place = order[np.searchsorted(known[order], links)] if len(links) else np.zeros(0, np.int64)
-        of = np.repeat(np.arange(len(pieces)), sizes)
-        each = np.zeros((len(pieces), 6), np.int64)
-        each[:, :4] = np.array([by.counts[i] for i in pieces.tolist()], np.int64).reshape(-1, 4)
-        np.add.at(each[:, 4], of, best[place])
-        np.add.at(each[:, 5], of, counts[place])
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        so_far = np.zeros((len(flat) + 1, 6), np.int64)
-        np.cumsum(each[at], axis=0, out=so_far[1:])
-        sums = so_far[ends[1:]] - so_far[ends[:-1]]
-        shown = [by.shown[i] for i in pieces.tolist()]
-        at = at.tolist()
-        digests = [hashlib.sha256(";".join([shown[i] for i in at[a:b]]).encode()).hexdigest() if b > a else "" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        return pa.table({"doc_id": table["doc_id"], **{n: pa.array(sums[:, k]) for k, n in enumerate(_FIELDS)}, "groups_sha256": pa.array(digests, pa.string())})
+        place = order[np.searchsorted(known[order], both.links)] if len(known) else np.zeros(0, np.int64)
+        sums = [*both.counts(), both.sums(best[place]), both.sums(counts[place])]
+        digests = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in both.shown(by.a_words, by.b_words)]
+        return pa.table({"doc_id": table["doc_id"], **dict(zip(_FIELDS, map(pa.array, sums), strict=True)), "groups_sha256": pa.array(digests, pa.string())})
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in _FIELDS) + ", groups_sha256 string"
     documents = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(measure, schema)
