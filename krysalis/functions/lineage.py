@@ -19,17 +19,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, plain: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the table goes when the driver ends.
 
+    ``plain``: for numbers that do not compress, without trying to.
+
     Later stages then re-read files if an executor is lost, and the plan of a
     loop stays one step long.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/krysalis-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    options = {"compression": "uncompressed", "parquet.enable.dictionary": "false"} if plain else {"compression": "zstd"}
+    df.write.options(**options).parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and nothing will read again."""
+    for table in tables:
+        path = getattr(table, "__dict__", {}).get("scratch_path")
+        if path:
+            remove(table.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,15 +1,14 @@
 """Matrix and vector algebra as joins and aggregations.
 
 Matrices are rows ``(matrix_id, i, j, v)`` without zeros; vectors are rows
-``(system_id, matrix_id, i, v)``, one per component. Both are hashed by matrix,
-so a product shuffles partial sums only.
+``(system_id, matrix_id, i, v)``, one per component.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,12 +31,14 @@ def packed(rows: DataFrame, *keys: str) -> DataFrame:
 def spmv(matrices: DataFrame, x: DataFrame) -> DataFrame:
     """``(system_id, matrix_id, i, v)`` of A x for every system; components of x that are absent are zero.
 
-    Every index of the vector gets a row, so an empty row of A gives 0.
+    Every index of the matrix and of the vector gets a row, so an empty row of
+    A gives 0. Matrices are packed in blocks and multiplied with many vectors at
+    once (``blocks``).
     """
-    a = matrices.select("matrix_id", F.col("i").alias("row"), F.col("j").alias("i"), F.col("v").alias("a"))
-    products = x.join(a, ["matrix_id", "i"]).select("system_id", "matrix_id", F.col("row").alias("i"), (F.col("a") * F.col("v")).alias("v"))
-    zeros = x.select("system_id", "matrix_id", "i", F.lit(0.0).alias("v"))
-    return products.unionByName(zeros).groupBy("system_id", "matrix_id", "i").agg(F.sum("v").alias("v"))
+    from krysalis.operators.blocks import Blocks
+
+    blocks = Blocks(matrices, x.select("system_id", "matrix_id").distinct())
+    return blocks.rows(blocks.product(blocks.chunked(x)).select("system_id", "matrix_id", "c", "v"), "v").select("system_id", "matrix_id", "i", "v")
 
 
 def dot(a: DataFrame, b: DataFrame, name: str, key: str = "system_id") -> DataFrame:
@@ -120,9 +121,9 @@ def dense(part: pd.DataFrame, n: int | None = None) -> np.ndarray:
 
 
 def guarded(matrices: DataFrame, largest: int) -> DataFrame:
-    """The matrices, an error if one is too large for a task."""
-    n = F.max(F.greatest("i", "j")).over(Window.partitionBy("matrix_id")) + 1
-    return matrices.withColumn("n", n).withColumn("n", F.when(F.col("n") <= largest, F.col("n")).otherwise(F.raise_error(F.lit(f"a matrix has over {largest} rows")).cast("int")))
+    """The matrices with their ``n``, an error if one is too large for a task: over ``largest`` rows."""
+    n = F.when(F.col("n") <= largest, F.col("n")).otherwise(F.raise_error(F.lit(f"a matrix has over {largest} rows")).cast("int"))
+    return matrices.join(sizes(matrices).withColumn("n", n), "matrix_id").select(*matrices.columns, "n")
 
 
 def singular_values(matrices: DataFrame, largest: int = 4096) -> DataFrame:

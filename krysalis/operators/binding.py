@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from krysalis.functions.rng import normal, rank_key
 from krysalis.operators.algebra import packed, spmv, unpacked
+from krysalis.operators.models import RHS_SOURCES
 from krysalis.schemas import STANDARD
 
 
@@ -78,17 +79,25 @@ def comparison_grid(systems: DataFrame, preconditioners: DataFrame, most: int =
     return systems.withColumn("preconditioner", F.explode(F.array(*map(F.lit, names))))
 
 
+#: Rows of a range, about, and the most ranges: from a product of both on, ranges grow.
+RANGE_ROWS, MOST_RANGES = 50_000, 1024
+
+
 def closest_match(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each row of ``a(id, d)`` the row of ``b(id, d)`` of nearest ``d``; ties go to the smaller, then the lower id.
 
     An as-of match both ways: all rows are ranged by ``d`` and the nearest rows
-    of b before and after are carried along, first inside coarse cells of d and
-    then from cell to cell, so no pairs are made and no task sorts all.
+    of b before and after are carried along, first inside ranges of d and then
+    from range to range, so no pairs are made and no task sorts all. Ranges hold
+    like numbers of rows wherever the values lie; one value is never parted, and
+    equal values of b are one row.
     """
-    lo, hi = a.select("d").unionByName(b.select("d")).agg(F.min("d"), F.max("d")).first()
-    cells = 256
-    width = max(float(hi - lo), 1e-300) / cells if lo is not None else 1.0
-    cell = lambda: F.least(F.lit(cells - 1), F.floor((F.col("d") - F.lit(float(lo or 0))) / width)).cast("int")
+    count = a.count() + b.count()
+    cells = max(1, min(MOST_RANGES, -(-count // RANGE_ROWS)))
+    quantiles = a.select("d").unionByName(b.select("d")).agg(F.percentile_approx("d", [k / cells for k in range(1, cells)], 100 * cells).alias("q")).first()["q"] if cells > 1 else []
+    bounds = sorted(set(quantiles or ()))
+    cells = len(bounds) + 1
+    cell = lambda: F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda n, q: n + (F.col("d") > q).cast("int")) if bounds else F.lit(0)
     own = b.groupBy("d").agg(F.min("id").alias("b_id")).select("d", F.struct("d", "b_id").alias("b"), F.lit(None).cast("long").alias("id"))
     rows = own.unionByName(a.select("d", F.lit(None).cast(own.schema["b"].dataType).alias("b"), "id")).withColumn("cell", cell())
     ends = own.withColumn("cell", cell()).groupBy("cell").agg(F.max_by("b", "d").alias("last"), F.min_by("b", "d").alias("first"))
@@ -142,6 +151,38 @@ def raw_rhs(rhs: DataFrame, scale: float = 1.0) -> DataFrame:
     return rhs.withColumn("v", F.col("v") * scale)
 
 
+def _gaussian(context: dict) -> DataFrame:
+    return gaussian_rhs(context["meta"], context.get("seed", 42), context.get("mu", 0.0), context.get("sigma", 1.0))
+
+
+#: Right-hand side sources that are built in: functions of a context, a mapping of tables and options.
+BUILT_IN = {
+    "gaussian": _gaussian,
+    "sparse": lambda context: sparse_rhs(context["meta"], context["entries"]),
+    "raw_lhs": lambda context: lhs_rhs(context["matrices"], context["solutions"], context.get("scale", 1.0)),
+    "raw_rhs": lambda context: raw_rhs(context["rhs"], context.get("scale", 1.0)),
+    "dataset": lambda context: raw_rhs(context["rhs"]),
+}
+
+
+def resolve_rhs(kind: str, context: dict) -> DataFrame:
+    """``(matrix_id, i, v)``: the right-hand sides of a source by its name.
+
+    Sources that were registered (``models.register_source``) come before those
+    built in; each is a function of ``context``, which holds ``matrices``,
+    ``meta(matrix_id, n)`` and what else the source needs. A name that is not
+    known, and a context that lacks what a source needs, are errors.
+    """
+    source = RHS_SOURCES.get(kind) or BUILT_IN.get(kind)
+    if source is None:
+        raise ValueError(f"no such right-hand side source: {kind}")
+    try:
+        found = source(context)
+    except KeyError as missing:
+        raise ValueError(f"source {kind} needs {missing.args[0]}") from missing
+    return found.select("matrix_id", "i", "v")
+
+
 def pick_matrix(ids: DataFrame, seed: int = 42) -> DataFrame:
     """One matrix id, drawn by hash."""
     return ids.agg(F.min_by("matrix_id", F.struct(rank_key(seed, F.col("matrix_id")), F.col("matrix_id"))).alias("matrix_id"))

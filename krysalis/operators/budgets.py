@@ -70,13 +70,13 @@ def trace_budget(budgets: DataFrame, iterations: int, every_n: int = 1) -> DataF
 def trim_rows(traces: DataFrame, n: int) -> DataFrame:
     """The first ``n`` trace rows by (system, iteration).
 
-    Ranks come from counts by system, so systems that fall wholly inside or
-    outside are not sorted together with the rest.
+    Counts by system tell where each begins; only systems that begin inside are
+    kept and ranked, each by itself.
     """
     per = traces.groupBy("system_id").agg(F.count(F.lit(1)).alias("rows"))
     starts = running_before(per, "rows", "system_id").filter(F.col("before") < n).select("system_id", "before")
     rank = F.row_number().over(Window.partitionBy("system_id").orderBy("iter"))
-    return traces.withColumn("rank", rank).join(starts, "system_id").filter(F.col("before") + F.col("rank") <= n).drop("rank", "before")
+    return traces.join(starts, "system_id").withColumn("rank", rank).filter(F.col("before") + F.col("rank") <= n).select(*traces.columns)
 
 
 def every_nth(traces: DataFrame, n: int) -> DataFrame:
@@ -96,9 +96,20 @@ def mix_union(blocks: list[DataFrame]) -> DataFrame:
 
 
 def shuffle_within(samples: DataFrame, key: str = "matrix_id", seed: int = 42) -> DataFrame:
-    """``position`` from 0 in a repeatable random order inside each ``key``; references by id need no change."""
-    order = Window.partitionBy(key).orderBy(rank_key(seed, F.col("sample_id")), "sample_id")
-    return samples.withColumn("position", F.row_number().over(order) - 1)
+    """``position`` from 0 in a repeatable random order inside each ``key``; references by id need no change.
+
+    The order is that of a hash, whose first digits cut each key into up to
+    4,096 parts: places are counted inside parts, and parts by their sizes, so a
+    key with most of the rows is many groups.
+    """
+    names = samples.columns
+    dealt = samples.withColumn("__order", rank_key(seed, F.col("sample_id"))).withColumn("__part", F.substring("__order", 1, 3))
+    sizes = dealt.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__part")) - F.col("__n")
+    starts = sizes.select(F.col(key).alias("__key"), F.col("__part").alias("__p"), before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy(key, "__part").orderBy("__order", "sample_id")) - 1
+    both = dealt.withColumn("__place", place).join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__p")))
+    return both.select(*names, (F.col("__before") + F.col("__place")).cast("int").alias("position"))
 
 
 def tag_row_kind(samples: DataFrame) -> DataFrame:

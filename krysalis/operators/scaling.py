@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from krysalis.operators.algebra import gershgorin_bound, sizes, vector_norms
+from krysalis.operators.models import NORMALIZATIONS
 
 TINY = 1e-15
 
@@ -64,8 +65,22 @@ def system_scales(systems: DataFrame) -> DataFrame:
     comes raw from outside (``raw_rhs``) is, once, by the stored scale. A fresh
     matrix takes its right-hand side along, except synthetic ones (``gaussian``,
     ``sparse``), which are drawn for the scaled system. ``rhs`` and ``both``
-    divide the right-hand side by its own norm.
+    divide the right-hand side by its own norm. Modes that were registered
+    (``models.register_source`` with ``NORMALIZATIONS``) are functions of their
+    rows that return them with both divisors; a mode that nobody knows is an
+    error.
     """
+    known = ["none", "matrix", "rhs", "both"]
+    own = {n: f for n, f in NORMALIZATIONS.items() if n not in known}
+    wrong = F.raise_error(F.concat(F.lit("no such normalisation: "), F.col("mode"))).cast("string")
+    rest = systems.withColumn("mode", F.when(F.col("mode").isin(*known), F.col("mode")).otherwise(wrong)) if not own else systems.filter(F.col("mode").isNull() | ~F.col("mode").isin(*own)).withColumn("mode", F.when(F.col("mode").isin(*known), F.col("mode")).otherwise(wrong))
+    out = _built_in_scales(rest)
+    for name, mode in own.items():
+        out = out.unionByName(mode(systems.filter(F.col("mode") == name)).select(*out.columns))
+    return out
+
+
+def _built_in_scales(systems: DataFrame) -> DataFrame:
     by_matrix = F.col("mode").isin("matrix", "both")
     by_rhs = F.col("mode").isin("rhs", "both")
     synthetic = F.col("rhs_kind").isin("gaussian", "sparse")

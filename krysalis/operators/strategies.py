@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from krysalis.functions.rng import normal, uniform
 from krysalis.operators.algebra import packed, sizes, spmv
+from krysalis.operators.blocks import Blocks, gathered, summed
 from krysalis.operators.iterate import eigenbasis, lanczos, solve_cg, solve_direct
 
 ROWS = 1 << 24
@@ -37,11 +38,27 @@ def register(name: str, supports_replacement: bool = False) -> Callable:
     return add
 
 
+#: Rows that are numbered together.
+SPAN = 64
+
+
+def numbered_rows(budgets: DataFrame) -> DataFrame:
+    """``(matrix_id, row)`` from 0 for each row of the budget, dealt out by spans of rows.
+
+    These are rows of sources without an end: -1, all of them, is an error, and
+    so are over ``ROWS`` of one matrix.
+    """
+    wrong = F.when(F.col("rows") > ROWS, F.raise_error(F.lit(f"over {ROWS} rows of a matrix"))).when(F.col("rows") < 0, F.raise_error(F.lit("all rows of a source without an end")))
+    spans = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / SPAN))).alias("span")
+    held = budgets.withColumn("rows", wrong.otherwise(F.col("rows"))).filter("rows > 0").select("matrix_id", "rows", spans)
+    held = held.repartition(int(budgets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "matrix_id", "span")  # a number given is kept: few small rows make many
+    last = F.least(F.col("rows"), (F.col("span") + 1) * SPAN) - 1
+    return held.select("matrix_id", F.explode(F.sequence(F.col("span") * SPAN, last)).alias("row"))
+
+
 def grid(matrices: DataFrame, budgets: DataFrame) -> DataFrame:
-    """``(system_id, matrix_id, row, i)``: a place for each component of each row of the budget; over ``ROWS`` rows of one matrix are an error."""
-    budgets = budgets.withColumn("rows", F.when(F.col("rows") > ROWS, F.raise_error(F.lit(f"over {ROWS} rows of a matrix"))).otherwise(F.col("rows")))
-    meta = sizes(matrices).join(budgets.filter("rows > 0"), "matrix_id")
-    rows = meta.select("matrix_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"))
+    """``(system_id, matrix_id, row, i)``: a place for each component of each row of the budget; see ``numbered_rows``."""
+    rows = numbered_rows(budgets).join(sizes(matrices), "matrix_id")
     return rows.select((F.col("matrix_id") * ROWS + F.col("row")).alias("system_id"), "matrix_id", "row", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
 
 
@@ -51,9 +68,17 @@ def random_vectors(matrices: DataFrame, budgets: DataFrame, value: Callable[[Col
 
 
 def forward(matrices: DataFrame, x: DataFrame) -> DataFrame:
-    """Pairs with b = A x."""
-    b = spmv(matrices, x).select("system_id", "i", F.col("v").alias("rhs"))
-    return x.join(b, ["system_id", "i"]).select("system_id", "matrix_id", "i", "rhs", F.col("v").alias("solution"))
+    """Pairs with b = A x, as long as their matrix."""
+    blocks = Blocks(matrices, x.select("system_id", "matrix_id").distinct())
+    both = gathered_product(blocks, x)
+    return blocks.rows(both, "rhs", "solution").select("system_id", "matrix_id", "i", "rhs", "solution")
+
+
+def gathered_product(blocks: Blocks, x: DataFrame) -> DataFrame:
+    """Component rows x as chunks ``solution`` with their products ``rhs`` beside them."""
+    held = blocks.chunked(x).withColumnRenamed("v", "x")
+    both = blocks.carried(held, "x") if blocks.single else gathered(held, blocks.times(held.withColumnRenamed("x", "v")))
+    return both.selectExpr("system_id", "matrix_id", "c", f"{summed('ys', 'x')} AS rhs", "x AS solution")
 
 
 def inverse(matrices: DataFrame, b: DataFrame, method: str = "direct", **options) -> DataFrame:
@@ -189,7 +214,7 @@ def validated_archive(matrices, budgets, seed=42, solutions=None, rhs=None, tole
 
 def _combined(basis: DataFrame, budgets: DataFrame, count: int, seed: int, include: bool) -> DataFrame:
     """Unit-norm random mixes of ``count`` eigenvectors for each row; with ``include`` the vectors themselves come first."""
-    rows = budgets.filter("rows > 0").select("matrix_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"))
+    rows = numbered_rows(budgets)
     weights = rows.select("matrix_id", "row", F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: normal(seed, F.col("row"), k)).alias("w"))
     length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, v: s + v * v))
     weights = weights.select("matrix_id", "row", F.posexplode(F.transform("w", lambda v: v / length)).alias("k", "c"))
@@ -227,7 +252,7 @@ def krylov(matrices, budgets, seed=42, krylov_iters=8):
         return pd.DataFrame({"matrix_id": part["matrix_id"].iloc[0], "k": k.ravel(), "e": e.ravel(), "q": (q / safe).ravel()})
 
     small = steps.groupBy("matrix_id").applyInPandas(weights, "matrix_id long, k int, e int, q double")
-    rows = budgets.filter("rows > 0").select("matrix_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"))
+    rows = numbered_rows(budgets)
     coefficients = small.join(rows, "matrix_id").groupBy("matrix_id", "row", "k").agg(F.sum(F.col("q") * normal(seed, F.lit("krylov"), F.col("row"), F.col("e"))).alias("c"))
     mixed = coefficients.join(basis, ["matrix_id", "k"]).groupBy("matrix_id", "row", "i").agg(F.sum(F.col("c") * F.col("v")).alias("v"))
     return forward(matrices, mixed.select((F.col("matrix_id") * ROWS + F.col("row")).alias("system_id"), "matrix_id", "i", "v"))
@@ -240,36 +265,83 @@ def _traces(matrices, x, iterations, every_n):
     return steps.join(x.select("system_id", "i", F.col("v").alias("truth")), ["system_id", "i"])
 
 
+def _single(matrices, systems, single_rhs, iterations, every_n, starts=None, truth=True):
+    """The trace rows of ``systems(matrix_id, rows)`` that all have their matrix's one right-hand side ``single_rhs(matrix_id, i, v)``.
+
+    The exact solution is computed once a matrix. Without ``starts`` all systems
+    of a matrix begin at zero and have the same trace, so one is run and
+    repeated; with ``starts(matrix_id, row, i, v)`` each runs from its own.
+    """
+    rows = numbered_rows(systems).withColumn("system_id", F.col("matrix_id") * ROWS + F.col("row"))
+    b = single_rhs.select("matrix_id", "i", "v")
+    if starts is None:
+        once = b.join(rows.select("matrix_id").distinct(), "matrix_id").select(F.col("matrix_id").alias("system_id"), "matrix_id", "i", "v")
+        steps = solve_cg(matrices, once, 1e-20, 1e-20, iterations, trace=True).drop("system_id").join(rows.drop("row"), "matrix_id")
+    else:
+        own = rows.join(b, "matrix_id").select("system_id", "matrix_id", "i", "v")
+        x0 = starts.join(rows, ["matrix_id", "row"]).select("system_id", "i", "v")
+        steps = solve_cg(matrices, own, 1e-20, 1e-20, iterations, trace=True, x0=x0)
+    steps = steps.filter(F.col("iter") % every_n == 0)
+    if not truth:
+        return steps
+    solved = solve_direct(matrices, packed(b.select(F.col("matrix_id").alias("system_id"), "matrix_id", "i", "v"), "system_id", "matrix_id"))
+    return steps.join(solved.select("matrix_id", F.posexplode("solution").alias("i", "truth")), ["matrix_id", "i"])
+
+
+def _systems(budgets, per):
+    """Budgets of trace rows as budgets of systems; -1 stays."""
+    return budgets.withColumn("rows", F.when(F.col("rows") < 0, F.col("rows")).otherwise(F.ceil(F.col("rows") / per)).cast("long"))
+
+
+def _archived(budgets, archive, per):
+    """Component rows of the archived vectors that the budget's traces start from."""
+    held = _held(archive, _systems(budgets, per))
+    return held.select((F.col("matrix_id") * ROWS + F.col("row")).alias("system_id"), "matrix_id", F.posexplode("x").alias("i", "v"))
+
+
 @register("residuals", True)
-def residuals(matrices, budgets, seed=42, archive=None, iterations=8, every_n=1):
+def residuals(matrices, budgets, seed=42, archive=None, iterations=8, every_n=1, single_rhs=None, starts=None):
     """Rows (r_k, x* − x_k) of conjugate gradients from zero, x* from the archive; ``iter`` tells the step.
 
     ``budgets.rows`` are trace rows a matrix: enough systems are run, and the
     rows over the budget are cut; -1 rows mean all rows of all archived systems.
-    ``budgets.skip``, where there is one, counts archived systems.
+    ``budgets.skip``, where there is one, counts archived systems. With
+    ``single_rhs(matrix_id, i, v)`` all systems of a matrix have that right-hand
+    side, x* is its exact solution, and -1 is an error; they start from
+    ``starts(matrix_id, row, i, v)``, where given.
     """
     per = iterations // every_n + 1
-    held = _held(archive, budgets.withColumn("rows", F.when(F.col("rows") < 0, F.col("rows")).otherwise(F.ceil(F.col("rows") / per))))
-    x = held.select((F.col("matrix_id") * ROWS + F.col("row")).alias("system_id"), "matrix_id", F.posexplode("x").alias("i", "v"))
-    return _cut(_traces(matrices, x, iterations, every_n), budgets, per, every_n, F.col("r"), F.col("truth") - F.col("x"))
+    if single_rhs is not None:
+        budgets = budgets.drop("skip")
+        steps = _single(matrices, _systems(budgets, per), single_rhs, iterations, every_n, starts)
+    else:
+        steps = _traces(matrices, _archived(budgets, archive, per), iterations, every_n)
+    return _cut(steps, budgets, per, every_n, F.col("r"), F.col("truth") - F.col("x"))
 
 
 @register("gaussian_residuals", True)
-def gaussian_residuals(matrices, budgets, seed=42, iterations=8, every_n=1):
-    """As ``residuals``, for normal x*."""
+def gaussian_residuals(matrices, budgets, seed=42, iterations=8, every_n=1, single_rhs=None, starts=None):
+    """As ``residuals``, for normal x*; -1 rows are an error."""
+    if single_rhs is not None:
+        return residuals(matrices, budgets, seed, None, iterations, every_n, single_rhs, starts)
     per = iterations // every_n + 1
-    systems = budgets.withColumn("rows", F.ceil(F.col("rows") / per).cast("long"))
-    x = random_vectors(matrices, systems, lambda r, i: normal(seed, r, i))
+    x = random_vectors(matrices, _systems(budgets, per), lambda r, i: normal(seed, r, i))
     return _cut(_traces(matrices, x, iterations, every_n), budgets.drop("skip"), per, every_n, F.col("r"), F.col("truth") - F.col("x"))
 
 
 @register("search_directions", True)
-def search_directions(matrices, budgets, seed=42, iterations=8, every_n=1):
-    """Rows (A p_k, p_k) of the same runs."""
+def search_directions(matrices, budgets, seed=42, archive=None, iterations=8, every_n=1, single_rhs=None, starts=None):
+    """Rows (A p_k, p_k) of the same runs: on archived x*, as ``residuals`` takes them, else on normal ones; for ``single_rhs`` no exact solution is needed."""
     per = iterations // every_n + 1
-    systems = budgets.withColumn("rows", F.ceil(F.col("rows") / per).cast("long"))
-    x = random_vectors(matrices, systems, lambda r, i: normal(seed, r, i))
-    return _cut(_traces(matrices, x, iterations, every_n), budgets.drop("skip"), per, every_n, F.col("ap"), F.col("p"))
+    if single_rhs is not None:
+        budgets = budgets.drop("skip")
+        steps = _single(matrices, _systems(budgets, per), single_rhs, iterations, every_n, starts, truth=False)
+    elif archive is not None:
+        steps = _traces(matrices, _archived(budgets, archive, per), iterations, every_n)
+    else:
+        budgets = budgets.drop("skip")
+        steps = _traces(matrices, random_vectors(matrices, _systems(budgets, per), lambda r, i: normal(seed, r, i)), iterations, every_n)
+    return _cut(steps, budgets, per, every_n, F.col("ap"), F.col("p"))
 
 
 def _cut(steps: DataFrame, budgets: DataFrame, per: int, every_n: int, rhs: Column, solution: Column) -> DataFrame:

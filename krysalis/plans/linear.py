@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from krysalis.operators import algebra, checks, iterate, scaling, strategies
+from krysalis.operators.preconditioners import Identity, Jacobi, Learned, Preconditioner, Scheduled, TwoGrid
 from krysalis.plans.fixtures import ARCHIVE, E, FLOW, GRAM, ORACLES, archive, archive_rows, budgets, embeddings, flow, flow_vectors, flow_vectors_sql, gram, normal_sql, query, r6, rounded, uniform_sql
 
 SPMV = "ax AS (SELECT x.system_id, x.matrix_id, a.i, sum(a.v * x.v) AS v FROM x JOIN flow a ON a.matrix_id = x.matrix_id AND a.j = x.i GROUP BY 1, 2, 3)"
@@ -439,6 +440,159 @@ def h7(spark, d):
     return rounded(history.select("system_id", "preconditioner", "iter", "absolute"), "absolute")
 
 
+class _AsNonlinear(Preconditioner):
+    """The diagonal, told to the loop as a preconditioner that is not linear."""
+
+    linear = False
+
+    def ready(self, matrices, blocks):
+        self.primary = Jacobi().ready(matrices, blocks)
+        return self
+
+    def apply(self, residual, iteration):
+        return self.primary.apply(residual, iteration)
+
+
+def fcg_sql(steps: int, z: list[str], matrices: str = "flow", back: int = 20) -> str:
+    """Unrolled flexible conjugate gradients on ``b``: ``z[k]`` is the preconditioned ``r`` of step k, ``dg`` the diagonal's row."""
+    out = ["f0 AS MATERIALIZED (SELECT system_id, matrix_id, i, 0.0::DOUBLE AS x, v AS r FROM b)"]
+    for k in range(steps + 1):
+        last = range(k - max(1, k % (back + 1)), k) if k else ()
+        joins = "".join(f" JOIN g{j} USING (system_id, i)" for j in last)
+        out.append(f"z{k} AS MATERIALIZED (SELECT f.system_id, f.matrix_id, f.i, f.x, f.r, {z[k]} AS z FROM f{k} f JOIN {matrices} dg ON dg.matrix_id = f.matrix_id AND dg.i = f.i AND dg.j = f.i)")
+        less = "".join(f" - sum(z * g{j}.ap) OVER (PARTITION BY system_id) / g{j}.pap * g{j}.p" for j in last)
+        out.append(f"p{k} AS MATERIALIZED (SELECT system_id, z{k}.matrix_id, i, z{k}.x, z{k}.r, z{less} AS p FROM z{k}{joins})")
+        out.append(f"g{k} AS MATERIALIZED (SELECT t.*, q.ap, sum(t.p * q.ap) OVER (PARTITION BY t.system_id) AS pap, sum(t.p * t.r) OVER (PARTITION BY t.system_id) AS pr FROM p{k} t JOIN (SELECT p.system_id, a.i, sum(a.v * p.p) AS ap FROM p{k} p JOIN {matrices} a ON a.matrix_id = p.matrix_id AND a.j = p.i GROUP BY 1, 2) q USING (system_id, i))")
+        if k < steps:
+            out.append(f"f{k + 1} AS MATERIALIZED (SELECT system_id, matrix_id, i, x + pr / pap * p AS x, r - pr / pap * ap AS r FROM g{k})")
+    return ", ".join(out)
+
+
+def _trace_sql(prefix: str, steps: int, tag: str) -> str:
+    return " UNION ALL ".join(f"SELECT system_id, '{tag}' AS preconditioner, i, {k}::INT AS iter, {r6('x')} AS x, {r6('r')} AS r FROM {prefix}{k}" for k in range(steps + 1))
+
+
+def _flexible_sql(tag: str, z: list[str], back: int = 20) -> str:
+    return f"SELECT * FROM (WITH {_B}, {fcg_sql(len(z) - 1, z, back=back)} {_trace_sql('g', len(z) - 1, tag)})"
+
+
+_INSIDE, _OUTSIDE = "f.r / dg.v", "f.r"
+
+
+@query("h7_flexible_cg", _flexible_sql("flexible", [_INSIDE] * 4) + " UNION ALL " + _flexible_sql("scheduled", [_OUTSIDE, _INSIDE, _INSIDE, _OUTSIDE]))
+def h7_flexible(spark, d):
+    """Three flexible steps in one loop: the diagonal as a nonlinear preconditioner, and the diagonal in iterations 1 and 2 only."""
+    a = flow(spark, d)
+    names = {"flexible": _AsNonlinear(), "scheduled": Scheduled(Jacobi(), 1, 2)}
+    grid = flow_vectors(a, 2).withColumn("preconditioner", F.explode(F.array(*map(F.lit, names))))
+    blocks, states = iterate.cg_steps(a, grid, names, 0.0, 0.0, 3, trace=True)
+    rows = blocks.rows(states.select("system_id", "preconditioner", "matrix_id", "c", "iter", "x", "r"), "x", "r")
+    return rounded(rows.select("system_id", "preconditioner", "i", "iter", "x", "r"), "x", "r")
+
+
+@query("h7_flexible_restart", _flexible_sql("scheduled", [_OUTSIDE, _INSIDE, _INSIDE, _OUTSIDE, _INSIDE], 2))
+def h7_restart(spark, d):
+    """Four flexible steps that look back two directions at most and begin anew after as many."""
+    a = flow(spark, d)
+    grid = flow_vectors(a, 2).withColumn("preconditioner", F.lit("scheduled"))
+
+    class Odd(Scheduled):  # outside in iterations 0 and 3
+        def apply(self, residual, iteration):
+            return residual if iteration in (0, 3) else self.primary.apply(residual, iteration)
+
+    blocks, states = iterate.cg_steps(a, grid, {"scheduled": Odd(Jacobi(), 1)}, 0.0, 0.0, 4, m_max=2, trace=True)
+    rows = blocks.rows(states.select("system_id", "preconditioner", "matrix_id", "c", "iter", "x", "r"), "x", "r")
+    return rounded(rows.select("system_id", "preconditioner", "i", "iter", "x", "r"), "x", "r")
+
+
+def _flow_basis(a):
+    """Three eigenvectors of least eigenvalue of each matrix as a coarse space."""
+    return iterate.eigenbasis(a, 3, "smallest").select("matrix_id", "i", F.col("k").alias("mode"), "v")
+
+
+_SOLVED = flow_vectors_sql(2)
+
+
+@query("h7_solutions", f"WITH {_SOLVED} SELECT system_id, p.name AS preconditioner, i, {r6('v')} AS x, true AS converged FROM x, (VALUES ('identity'), ('jacobi'), ('two_grid'), ('scheduled'), ('learned')) p(name)")
+def h7_solutions(spark, d):
+    """Every system solved to the end under five preconditioners, in one loop: the vectors that the right-hand sides were made from."""
+    a = flow(spark, d)
+    x = flow_vectors(a, 2)
+    names = {"identity": Identity(), "jacobi": Jacobi(), "two_grid": TwoGrid(_flow_basis(a)), "scheduled": Scheduled(Jacobi(), 0, 5), "learned": Learned(lambda: lambda r: r / 4)}
+    grid = algebra.spmv(a, x).withColumn("preconditioner", F.explode(F.array(*map(F.lit, names))))
+    blocks, states = iterate.cg_steps(a, grid, names, 1e-13, 0.0, 100)
+    rows = blocks.rows(states.select("system_id", "preconditioner", "matrix_id", "c", "converged", "x"), "x")
+    return rounded(rows.select("system_id", "preconditioner", "i", "x", "converged"), "x")
+
+
+_FLAT = "wide AS (SELECT matrix_id, max(s) AS s FROM (SELECT matrix_id, i, sum(abs(v)) AS s FROM flow GROUP BY 1, 2) GROUP BY 1), flat AS MATERIALIZED (SELECT matrix_id, i, j, CASE WHEN i = j THEN 4.0 ELSE 4.0 * v / s END AS v FROM flow JOIN wide USING (matrix_id))"
+
+
+def _flat(a):
+    """The flows with 4 on the diagonal, the rest scaled to stay positive definite."""
+    return a.join(algebra.norm_inf(a), "matrix_id").select("matrix_id", "i", "j", F.when(F.col("i") == F.col("j"), 4.0).otherwise(4.0 * F.col("v") / F.col("norm_inf")).alias("v"))
+
+
+@query("m3_learned_in_cg", f"SELECT * FROM (WITH {_B}, {_FLAT}, {cg_sql(3, '(1 / dg.v)', 'flat')} {_trace_sql('s', 3, 'learned')})")
+def m3_in_loop(spark, d):
+    """A model that divides residuals by 4, called in every step, on matrices whose diagonal is 4: the steps of their diagonal."""
+    a = _flat(flow(spark, d))
+    grid = flow_vectors(flow(spark, d), 2).withColumn("preconditioner", F.lit("learned"))
+    blocks, states = iterate.cg_steps(a, grid, {"learned": Learned(lambda: lambda r: r / 4)}, 0.0, 0.0, 3, trace=True)
+    rows = blocks.rows(states.select("system_id", "preconditioner", "matrix_id", "c", "iter", "x", "r"), "x", "r")
+    return rounded(rows.select("system_id", "preconditioner", "i", "iter", "x", "r"), "x", "r")
+
+
+@query("h6_condition_learned", f"SELECT * FROM (WITH {GRAM}, quarter AS MATERIALIZED (SELECT matrix_id, i, j, v / 4 AS v FROM gram), {power_sql('quarter', 4)} SELECT matrix_id, 'learned' AS preconditioner, {r6('CASE WHEN (top * 1.01 + 1e-12 - low) > 0 THEN top / (top * 1.01 + 1e-12 - low) END')} AS condition_number FROM top JOIN low USING (matrix_id))")
+def h6_learned(spark, d):
+    """Four steps of the power iterations of a model times A, neither of which is made."""
+    return rounded(iterate.condition_numbers(gram(spark, d), {"learned": Learned(lambda: lambda r: r / 4)}, 4, 0.0), "condition_number")
+
+
+@query("h9_two_grid_cg")
+def h9_in_loop(spark, d):
+    """Norms of residuals of every step with and without the two-grid cycle: no SQL, see tests/test_preconditioners.py."""
+    a = flow(spark, d)
+    _, history = iterate.pcg_compare(a, flow_vectors(a, 2), {"two_grid": TwoGrid(_flow_basis(a))}, rtol=1e-8)
+    return history
+
+
+_SINGLE = f"{flow_vectors_sql(2)}, one AS MATERIALIZED (SELECT matrix_id AS system_id, matrix_id, i, v FROM x WHERE row = 0), b AS MATERIALIZED (SELECT p.system_id, p.matrix_id, a.i, sum(a.v * p.v) AS v FROM one p JOIN flow a ON a.matrix_id = p.matrix_id AND a.j = p.i GROUP BY 1, 2, 3), {cg_sql(3)}"
+
+
+def _single_rows(rhs: str, solution: str) -> str:
+    return f"WITH {_SINGLE} " + " UNION ALL ".join(f"SELECT s.matrix_id * 16777216 + n.row AS system_id, s.matrix_id, {k}::INT AS iter, s.i, {r6(rhs)} AS rhs, {r6(solution)} AS solution FROM s{k} s JOIN one USING (system_id, i), (SELECT unnest(range(2)) AS row) n WHERE n.row * 4 + {k} < 6" for k in range(4))
+
+
+def _single_rhs(a):
+    """One right-hand side a matrix, made from its first vector."""
+    x = flow_vectors(a, 2).filter(F.col("system_id") == F.col("matrix_id") * (1 << 24))
+    return algebra.spmv(a, x).select("matrix_id", "i", "v")
+
+
+@query("e18_residuals_single", _single_rows("s.r", "one.v - s.x"))
+def e18_single(spark, d):
+    """Six rows a matrix of traces of one right-hand side: the solution is found by one exact solve a matrix."""
+    a = flow(spark, d)
+    out = strategies.residuals(a, budgets(a, 6), iterations=3, single_rhs=_single_rhs(a))
+    return rounded(out, "rhs", "solution").select("system_id", "matrix_id", "iter", "i", "rhs", "solution")
+
+
+@query("e20_search_directions_single", _single_rows("s.ap", "s.p"))
+def e20_single(spark, d):
+    a = flow(spark, d)
+    out = strategies.search_directions(a, budgets(a, 6), iterations=3, single_rhs=_single_rhs(a))
+    return rounded(out, "rhs", "solution").select("system_id", "matrix_id", "iter", "i", "rhs", "solution")
+
+
+@query("e20_search_directions_archive", f"WITH {GRAM}, {ARCHIVE}, x AS (SELECT * FROM av), b AS MATERIALIZED (SELECT x.system_id, x.matrix_id, a.i, sum(a.v * x.v) AS v FROM x JOIN gram a ON a.matrix_id = x.matrix_id AND a.j = x.i GROUP BY 1, 2, 3), {cg_sql(1, matrices='gram')} " + " UNION ALL ".join(f"SELECT system_id, matrix_id, {k}::INT AS iter, i, {r6('ap')} AS rhs, {r6('p')} AS solution FROM s{k}" for k in range(2)))
+def e20_archive(spark, d):
+    """All rows of all archived systems."""
+    a = gram(spark, d)
+    out = strategies.search_directions(a, budgets(a, -1), archive=archive(spark, d).drop("vec_id"), iterations=1)
+    return rounded(out, "rhs", "solution").select("system_id", "matrix_id", "iter", "i", "rhs", "solution")
+
+
 @query("h9_two_grid")
 def h9(spark, d):
     """One cycle on residuals of known errors: no SQL, see tests/test_dense.py."""

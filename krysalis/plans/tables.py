@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from krysalis.functions.lineage import shared_folder
-from krysalis.operators import algebra, binding, budgets
+from krysalis.operators import algebra, binding, budgets, models, scaling
 from krysalis.plans.fixtures import ARCHIVE, E, FLOW, PARTS, archive, archive_rows, embeddings, flow, gram, normal_sql, params, part_files, predictions, query, r6, rounded, table
 from krysalis.sources import files, sinks
 
@@ -232,6 +232,42 @@ def c8(spark, d):
     return rounded(out, "v")
 
 
+@models.register_source("alternating")
+def _alternating(context):
+    """A source of the caller's own: 1 and -1 in turn, times ``height``."""
+    places = context["meta"].select("matrix_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return places.withColumn("v", F.when(F.col("i") % 2 == 0, context["height"]).otherwise(-context["height"]))
+
+
+@query("m4_source_dispatch", f"WITH {FLOW}, ids AS (SELECT DISTINCT matrix_id, i FROM flow), {ARCHIVE} SELECT 'gaussian' AS kind, matrix_id, i, {r6(normal_sql('3', 'i') + ' * 0.5 + 1.0')} AS v FROM ids UNION ALL SELECT 'alternating', matrix_id, i, CASE WHEN i % 2 = 0 THEN 2.5 ELSE -2.5 END FROM ids UNION ALL SELECT 'raw_lhs', f.matrix_id, f.i, {r6('sum(f.v) * 3.0')} FROM flow f GROUP BY 2, 3 UNION ALL SELECT 'dataset', matrix_id, i, {r6('v')} FROM av WHERE row = 0")
+def m4(spark, d):
+    """Right-hand sides by the names of their sources, a registered one among them."""
+    a = flow(spark, d)
+    meta = algebra.sizes(a)
+    ones = meta.select(F.col("matrix_id").alias("system_id"), "matrix_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.lit(1.0).alias("v"))
+    first = archive_rows(spark, d).filter(F.col("system_id") == F.col("matrix_id") * (1 << 24))
+    context = {"matrices": a, "meta": meta, "solutions": ones, "rhs": first, "seed": 3, "mu": 1.0, "sigma": 0.5, "scale": 3.0, "height": 2.5}
+    out = None
+    for kind in ("gaussian", "alternating", "raw_lhs", "dataset"):
+        part = binding.resolve_rhs(kind, context).select(F.lit(kind).alias("kind"), "matrix_id", "i", "v")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, "v")
+
+
+@models.register_source("doubled", models.NORMALIZATIONS)
+def _doubled(systems):
+    """A mode of the caller's own: twice the matrix's scale on both sides."""
+    return systems.withColumns({"a_by": F.col("scale") * 2, "b_by": F.col("scale") * 2})
+
+
+@query("m4_mode_dispatch", "SELECT o_orderkey, mode, CASE WHEN mode = 'doubled' THEN 8.0 WHEN mode = 'matrix' THEN 4.0 ELSE 1.0 END AS a_by, CASE WHEN mode = 'doubled' THEN 8.0 WHEN mode = 'matrix' THEN 4.0 ELSE 1.0 END AS b_by FROM orders, (VALUES ('none'), ('matrix'), ('doubled')) m(mode)")
+def m4_mode(spark, d):
+    """Divisors by the names of normalisation modes, a registered one among them."""
+    t = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("rhs_norm"), F.lit(4.0).alias("scale"), F.lit("raw_lhs").alias("rhs_kind"), F.lit(False).alias("normalized"))
+    t = t.withColumn("mode", F.explode(F.array(*map(F.lit, ["none", "matrix", "doubled"]))))
+    return rounded(scaling.system_scales(t).select("o_orderkey", "mode", "a_by", "b_by"), "a_by", "b_by")
+
+
 @query("c9_pick_matrix", "SELECT arg_min(o_orderkey, md5('42|' || o_orderkey)) AS matrix_id FROM orders")
 def c9(spark, d):
     return binding.pick_matrix(table(spark, d, "orders").select(F.col("o_orderkey").alias("matrix_id")))

@@ -40,9 +40,13 @@ def assign_ids_by_order(files: DataFrame, by: str = "name") -> DataFrame:
 
 
 def filter_ids(df: DataFrame, include: list[int] | None = None, exclude: list[int] | tuple = (), key: str = "id") -> DataFrame:
-    """Rows of the ids to include, or without those to exclude; not both. The lists are the caller's own."""
+    """Rows of the ids to include, or without those to exclude; not both. The lists are the caller's own; an id that no row has is an error."""
     if include is not None and exclude:
         raise ValueError("include or exclude, not both")
+    wanted = list(exclude if include is None else include)
+    missing = sorted(r[0] for r in unknown_ids(df, wanted, key).collect()) if wanted else []  # of the caller's list
+    if missing:
+        raise ValueError(f"unknown ids: {missing}")
     if include is not None:
         return df.filter(F.col(key).isin(list(include)))
     return df.filter(~F.col(key).isin(list(exclude))) if exclude else df
@@ -55,17 +59,17 @@ def unknown_ids(df: DataFrame, wanted: list[int], key: str = "id") -> DataFrame:
 
 
 def select_archive(files: DataFrame, count: int = -1, shuffle: bool = False, seed: int = 42, skip: int = 0) -> DataFrame:
-    """Files ``skip`` to ``skip + count`` by name, or in a repeatable random order, with ``row`` from 0; -1 takes the rest."""
+    """Files ``skip`` to ``skip + count`` by name, or in a repeatable random order, with ``row`` from 0; -1 takes the rest, fewer than ``count`` are an error."""
     ordered = files.withColumn("__key", rank_key(seed, F.col("path")) if shuffle else F.col("path"))
     ranged = assign_ids_by_order(ordered.select(F.concat_ws("|", "__key", "path").alias("path"), F.col("path").alias("__path"), *(c for c in files.columns if c != "path")))
     kept = ranged.filter((F.col("id") >= skip) & ((F.lit(count) < 0) | (F.col("id") < skip + count)))
-    return kept.select(F.col("__path").alias("path"), *(c for c in files.columns if c != "path"), (F.col("id") - skip).alias("row"))
+    return require_supply(kept.select(F.col("__path").alias("path"), *(c for c in files.columns if c != "path"), (F.col("id") - skip).alias("row")), count)
 
 
 def require_supply(selected: DataFrame, count: int) -> DataFrame:
     """The selection, an error if it has fewer than ``count`` rows."""
-    found = selected.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if count >= 0 and found < count:
+    found = selected.agg(F.count(F.lit(1)).alias("n")).first()["n"] if count > 0 else 0
+    if found < count:
         raise ValueError(f"{count} files are needed, {found} are there")
     return selected
 

@@ -8,7 +8,7 @@ from krysalis.operators import iterate, strategies
 from krysalis.plans.fixtures import archive, budgets, embeddings, flow, gram
 from krysalis.plans.queries import QUERIES
 
-COVERED = ("e15_eigenvector_forward", "e16_eigenvector_inverse", "e17_krylov", "f4_f11_singular", "f13_pod_basis", "f14_pod_from_predictions", "h5_eigenbasis", "h9_two_grid")
+COVERED = ("e15_eigenvector_forward", "e16_eigenvector_inverse", "e17_krylov", "f4_f11_singular", "f13_pod_basis", "f14_pod_from_predictions", "h5_eigenbasis", "h9_two_grid", "h9_two_grid_cg")
 
 
 def dense(df):
@@ -112,5 +112,8 @@ def test_refusals(spark, sf_dir):
         iterate.condition_numbers(a, ("identity", "amg"))
     with pytest.raises(ValueError):
         iterate.pcg_compare(a, None, ("amg",))
+    for name in ("random", "constant_forward", "gaussian_residuals", "search_directions"):
+        with pytest.raises(Exception, match="without an end"):
+            strategies.STRATEGIES[name](a, budgets(a, -1)).collect()
     with pytest.raises(Exception, match="rows of a matrix"):
         strategies.grid(a, budgets(a, strategies.ROWS + 1)).limit(1).agg(F.count("*")).collect()
