@@ -37,6 +37,11 @@ def materialize(df: DataFrame, plain: bool = False) -> DataFrame:
     return table
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The table, written if it is a plan still: what reads it several times does not compute it anew."""
+    return df if "scratch_path" in df.__dict__ else materialize(df)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that ``materialize`` wrote and nothing will read again."""
     for table in tables:

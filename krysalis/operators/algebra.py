@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from krysalis.functions.lineage import once
+
 
 def sizes(matrices: DataFrame) -> DataFrame:
     """``(matrix_id, n)``: one more than the largest index."""
@@ -37,6 +39,7 @@ def spmv(matrices: DataFrame, x: DataFrame) -> DataFrame:
     """
     from krysalis.operators.blocks import Blocks
 
+    x = once(x)
     blocks = Blocks(matrices, x.select("system_id", "matrix_id").distinct())
     return blocks.rows(blocks.product(blocks.chunked(x)).select("system_id", "matrix_id", "c", "v"), "v").select("system_id", "matrix_id", "i", "v")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from krysalis.functions.lineage import materialize
+from krysalis.functions.lineage import materialize, once
 from krysalis.operators.algebra import sizes
 
 CHUNK, TOGETHER, STRIPE = 1024, 64, 16
@@ -67,7 +67,7 @@ class Blocks:
     """
 
     def __init__(self, matrices: DataFrame, systems: DataFrame, chunk: int = CHUNK):
-        self.chunk = chunk
+        self.chunk, matrices = chunk, once(matrices)
         count = systems.groupBy("matrix_id").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
         n = sizes(matrices).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
         self.meta = materialize(n.join(count, "matrix_id", "left").select("matrix_id", "n", "chunks", F.coalesce("parts", F.lit(1)).alias("parts"), F.ceil(F.col("chunks") / STRIPE).cast("int").alias("stripes")))

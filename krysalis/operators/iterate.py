@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from krysalis.functions.lineage import discard, materialize
+from krysalis.functions.lineage import discard, materialize, once
 from krysalis.functions.rng import normal
 from krysalis.operators.algebra import dense, diagonal, guarded, sizes
 from krysalis.operators.blocks import CHUNK, KEY, PLACE, Blocks, by_system, gathered, inner, plus, scaled, summed, total, zeros
@@ -152,7 +152,7 @@ def cg_steps(matrices: DataFrame, rhs: DataFrame, preconditioners: dict[str, Pre
     A step is written once; the step before it is deleted then, unless a trace
     or flexible directions still need it.
     """
-    preconditioners = preconditioners or {"identity": Identity()}
+    preconditioners, matrices, rhs = preconditioners or {"identity": Identity()}, once(matrices), once(rhs)
     blocks = Blocks(matrices, rhs.select("system_id", "matrix_id", *[c for c in ("preconditioner",) if c in rhs.columns]).distinct(), chunk)
     ready = {n: p.ready(matrices, blocks) for n, p in preconditioners.items()}
     scales = {n: p.scale() for n, p in ready.items()}
@@ -221,6 +221,7 @@ def power_extremes(matrices: DataFrame, max_iters: int = 1000, tolerance: float
     alone without one. A matrix stops when its estimate changes by less than
     ``tolerance`` of itself.
     """
+    matrices = once(matrices)
     meta = sizes(matrices)
     ones = meta.select(F.col("matrix_id").alias("system_id"), "matrix_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).withColumn("v", F.lit(1.0))
     blocks = Blocks(matrices, meta)

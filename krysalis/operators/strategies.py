@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from krysalis.functions.lineage import once
 from krysalis.functions.rng import normal, uniform
 from krysalis.operators.algebra import packed, sizes, spmv
 from krysalis.operators.blocks import Blocks, gathered, summed
@@ -69,6 +70,7 @@ def random_vectors(matrices: DataFrame, budgets: DataFrame, value: Callable[[Col
 
 def forward(matrices: DataFrame, x: DataFrame) -> DataFrame:
     """Pairs with b = A x, as long as their matrix."""
+    x = once(x)
     blocks = Blocks(matrices, x.select("system_id", "matrix_id").distinct())
     both = gathered_product(blocks, x)
     return blocks.rows(both, "rhs", "solution").select("system_id", "matrix_id", "i", "rhs", "solution")

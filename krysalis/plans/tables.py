@@ -260,7 +260,7 @@ def _doubled(systems):
     return systems.withColumns({"a_by": F.col("scale") * 2, "b_by": F.col("scale") * 2})
 
 
-@query("m4_mode_dispatch", "SELECT o_orderkey, mode, CASE WHEN mode = 'doubled' THEN 8.0 WHEN mode = 'matrix' THEN 4.0 ELSE 1.0 END AS a_by, CASE WHEN mode = 'doubled' THEN 8.0 WHEN mode = 'matrix' THEN 4.0 ELSE 1.0 END AS b_by FROM orders, (VALUES ('none'), ('matrix'), ('doubled')) m(mode)")
+@query("m4_mode_dispatch", "SELECT o_orderkey, mode, (CASE WHEN mode = 'doubled' THEN 8.0 WHEN mode = 'matrix' THEN 4.0 ELSE 1.0 END)::DOUBLE AS a_by, (CASE WHEN mode = 'doubled' THEN 8.0 WHEN mode = 'matrix' THEN 4.0 ELSE 1.0 END)::DOUBLE AS b_by FROM orders, (VALUES ('none'), ('matrix'), ('doubled')) m(mode)")
 def m4_mode(spark, d):
     """Divisors by the names of normalisation modes, a registered one among them."""
     t = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("rhs_norm"), F.lit(4.0).alias("scale"), F.lit("raw_lhs").alias("rhs_kind"), F.lit(False).alias("normalized"))
