@@ -578,6 +578,28 @@ def slow_bits(model, f):
     return np.array(out)
 
 
+def test_held_out_texts_change_no_other_score(spark, sf_dir):
+    """Nothing is learned from the held-out fold: other texts in it leave every other document's score as it was."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    changed = docs.withColumn("text", F.when(held, F.concat(F.reverse("text"), F.lit(" entirely other words"))).otherwise(F.col("text")))
+    scores = lambda df: {r["id"]: r["score"] for r in mixing.mixing_scores(df.repartition(1)).filter(~F.col("held_out")).collect()}
+    a, b = scores(docs), scores(changed)
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 * abs(a[k]) for k in a)
+
+
+def test_shares_of_a_code_sum_to_one_at_most():
+    """The words of a code share what all its tokens, once-seen words among them, make up."""
+    names = [f"word{k}".encode() for k in range(3000)]
+    code = (mixing.word_hashes(names) >> np.uint64(24) & np.uint64(255)).astype(int)
+    times = np.random.default_rng(1).integers(1, 9, (2, len(names)))
+    hist = np.stack([[np.bincount(code, t, 256), np.bincount(code, t * (t == 1), 256)] for t in times])
+    model = mixing.Model(hist, np.array([0.5, 0.5]))
+    for g in range(2):
+        share = np.bincount(code, times[g] / model.size[g, code], 256)
+        assert (share <= 1).all() and share.max() > 0.9
+
+
 def test_model_against_one_bit_at_a_time():
     names, total, _, (f,) = _features_of(_small_corpus())
     code = (mixing.word_hashes(names) >> np.uint64(24) & np.uint64(255)).astype(int)
