@@ -185,7 +185,7 @@ def cg_steps(matrices: DataFrame, rhs: DataFrame, preconditioners: dict[str, Pre
         discard(*used)
         if trace:
             out.append(new)
-        elif seen["done"]:
+        elif seen["done"] or not seen["live"]:
             out.append(new.filter(done) if not seen["live"] else materialize(new.filter(done)))
         older.append(new)
         keep = m_max if flexible else 1
