@@ -20,6 +20,8 @@ SEED = 42
 BITS = 64
 #: Distinct fingerprints that one task joins at most; larger groups are dealt out in pairs of parts.
 GROUP_CAP = 4096
+#: Fingerprints of whole groups whose tries are joined at once, and the pairs of a node pair that are compared outright.
+JOINED, FEW = 4096, 4
 
 
 def fingerprint(text: str, words_in_shingle: int = 3) -> int:
@@ -131,20 +133,24 @@ def forest(n: int, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def tables_for(n: int, errors: int, least: int = 1) -> list[int]:
+def tables_for(n: int, errors: int, least: int = 1, group: int = GROUP_CAP // 2) -> list[int]:
     """Bit masks such that fingerprints within ``errors`` bits agree on one mask at least.
 
     The 64 bits are cut into blocks; the masks are the choices of blocks that
-    stay when ``errors`` are spoilt. More blocks (``least`` more than errors, or
-    as many as it takes) give longer keys, so groups of unrelated fingerprints
-    stay under some thousands for any number of rows.
+    stay when ``errors`` are spoilt, of each block no more than the first bits,
+    as few as give groups of some ``group`` of ``n`` fingerprints. So a mask cuts
+    the trie (its levels in another order) into subtrees that are large enough for
+    the join to prune, and tasks stay alike for any number of rows. Where one
+    block has too few bits, there are more blocks, ``least`` more than errors at
+    least.
     """
-    extra = least
-    while extra < BITS - errors and n >> (BITS * extra // (errors + extra)) > 4096:
+    need, extra = (max(1, n) // max(1, group)).bit_length(), least
+    while extra < BITS - errors and extra * (BITS // (errors + extra)) < need:
         extra += 1
     edges = [BITS * k // (errors + extra) for k in range(errors + extra + 1)]
-    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(blocks, extra)]
+    widths = [min(hi - lo, -(-need // extra)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    blocks = [((1 << w) - 1) << (hi - w) for w, hi in zip(widths, edges[1:], strict=True)]
+    return sorted({sum(c) for c in combinations(blocks, extra)})
 
 
 def _signed(x: int) -> int:
@@ -157,27 +163,33 @@ def hamming_links(distinct: DataFrame, errors: int = 3, group_cap: int = GROUP_C
     With ``wide`` columns pairs must also be within ``wide_errors`` bits over
     these words, and nodes are named by the column ``node``, else by ``fp``.
 
-    Fingerprints meet under each mask of ``tables_for``; a group of over
-    ``group_cap`` is cut into parts by hash and each pair of parts is a group of
-    its own, so every pair still meets and no task holds more than two parts'
-    rows. In a group the trie self-join finds the links, of which a spanning
-    forest is emitted: components are those of all links, and rows stay under
-    one per member.
+    Fingerprints meet under each mask of ``tables_for``, half of ``group_cap`` to
+    a group; a group of over ``group_cap`` is cut into parts by hash and each pair
+    of parts is a group of its own, so every pair still meets and no task holds
+    more than two parts' rows. In a group the trie self-join finds the links, of
+    which a spanning forest is emitted: components are those of all links, and
+    rows stay under one per member.
     """
-    if "node" not in distinct.columns:
-        distinct = distinct.withColumn("node", F.col("fp"))
-    columns = ["node", "fp", *wide]
-    masks = tables_for(distinct.count(), errors, least)
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    grouped = _dealt(distinct.select(*columns, F.explode(keys).alias("k")).select(*columns, "k.t", "k.key"), columns, group_cap)
+    grouped = subtrees(distinct, errors, group_cap, wide, least)
+    width = len(grouped.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_groups(batches, 1 + len(columns)):
+        for rows in _whole_groups(batches, width, JOINED):
             yield _edges(rows, errors, wide_errors)
 
     return grouped.mapInArrow(run, "u long, v long")
 
 
+def subtrees(distinct: DataFrame, errors: int, group_cap: int, wide: tuple[str, ...] = (), least: int = 1) -> DataFrame:
+    """``(g, node, fp, wide ...)``: the groups of ``hamming_links``, sorted by group."""
+    if "node" not in distinct.columns:
+        distinct = distinct.withColumn("node", F.col("fp"))
+    columns = ["node", "fp", *wide]
+    masks = tables_for(distinct.count(), errors, least, group_cap // 2)
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
+    return _dealt(distinct.select(*columns, F.explode(keys).alias("k")).select(*columns, "k.t", "k.key"), columns, group_cap)
+
+
 def _dealt(keyed: DataFrame, columns: list[str], group_cap: int) -> DataFrame:
     """``(g, columns ...)`` of ``keyed(columns ..., t, key)``, sorted by group; groups over ``group_cap`` are dealt out in pairs of parts."""
     large = keyed.groupBy("t", "key").count()
@@ -191,15 +203,21 @@ def _dealt(keyed: DataFrame, columns: list[str], group_cap: int) -> DataFrame:
     return dealt.select(F.xxhash64("t", "key", "i", "j").alias("g"), *columns).repartition("g").sortWithinPartitions("g")
 
 
-def _whole_groups(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
-    """Rows that come sorted by group, whole groups some 100,000 rows at a time."""
+def _whole_groups(batches: Iterable[pa.RecordBatch], width: int, at_once: int = 100_000) -> Iterator[np.ndarray]:
+    """Rows that come sorted by group, whole groups some ``at_once`` rows at a time."""
     held = np.zeros((0, width), np.int64)
     for batch in batches:
         held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], 1)])
         whole = int(np.searchsorted(held[:, 0], held[-1, 0], "left")) if len(held) else 0
-        if whole >= 100_000:
-            yield held[:whole]
-            held = held[whole:]
+        if whole < at_once:
+            continue
+        edges = np.r_[np.flatnonzero(np.r_[True, held[1:whole, 0] != held[: whole - 1, 0]]), whole]
+        lo = 0
+        while lo < whole:
+            hi = int(edges[max(np.searchsorted(edges, lo + at_once, "right") - 1, np.searchsorted(edges, lo, "right"))])
+            yield held[lo:hi]
+            lo = hi
+        held = held[whole:]
     yield held
 
 
@@ -208,7 +226,7 @@ def _edges(rows: np.ndarray, errors: int, wide_errors: int) -> pa.RecordBatch:
     rows = rows[np.lexsort((rows[:, 2].view(np.uint64), rows[:, 0]))]
     node, fp = rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.uint64)
     wide = np.ascontiguousarray(rows[:, 3:]).view(np.uint64) if rows.shape[1] > 3 else None
-    root = forest(len(rows), trie_links(rows[:, 0], fp, errors, wide, wide_errors))
+    root = forest(len(rows), trie_links(rows[:, 0], fp, errors, wide, wide_errors, FEW))
     i = np.flatnonzero(root != np.arange(len(rows)))
     return pa.RecordBatch.from_arrays([pa.array(node[root[i]]), pa.array(node[i])], ["u", "v"])
 
