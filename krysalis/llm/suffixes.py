@@ -68,14 +68,16 @@ class Anchors:
         self.end = np.cumsum(lengths)
         self.start = self.end - lengths
         n = len(self.buf)
-        self.at, self.code, self.around = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
-        if n < length:
-            return
-        found = [self._piece(lo, min(n, lo + piece + length - 1), length, seed) for lo in range(0, n - length + 1, piece)]
-        at, code = (np.concatenate(x) for x in zip(*found, strict=True))
-        if len(at):
-            first = np.r_[True, at[1:] != at[:-1]]
-            self.at, self.code = at[first], code[first]
+        self.at, self.code, self.around = np.zeros(0, np.int32), np.zeros(0, np.uint64), None
+        found, last = [], -1
+        for lo in range(0, n - length + 1, piece):
+            at, code = self._piece(lo, min(n, lo + piece + length - 1), length, seed)
+            new = int(np.searchsorted(at, last, "right"))
+            if new < len(at):
+                last = int(at[-1])
+                found.append((at[new:].astype(np.int32), code[new:]))
+        if found:
+            self.at, self.code = (np.concatenate(x) for x in zip(*found, strict=True))
 
     def _piece(self, lo: int, hi: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Anchors of the windows within [lo, hi) that lie in one document."""
@@ -120,6 +122,42 @@ class Anchors:
         return rows, valid
 
 
+def _marked(anchors: Anchors, at: np.ndarray) -> np.ndarray:
+    """The rows of ``suffixes`` with the bits of their windows behind, as bytes."""
+    rows, valid = anchors.suffixes(at)
+    return np.concatenate([rows, valid.astype(">u4").view(np.uint8).reshape(-1, 4)], 1)
+
+
+def first_equals(anchors: Anchors, at: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    """For each of the places ``at`` the index of the first whose row is equal, or its own.
+
+    Rows are made in slices, told apart by a hash and compared byte by byte with
+    the first of their hash; one that differs from it stays by itself. So memory
+    is some numbers a place, not a row: in a run of one byte every byte is an
+    anchor, and all rows are equal.
+    """
+    hashes = np.empty(len(at), np.uint64)
+    for lo in range(0, len(at), at_once):
+        words = _marked(anchors, at[lo : lo + at_once]).view("<u8")
+        h = words[:, 0] * _A
+        for k in range(1, words.shape[1]):
+            h = (h ^ h >> np.uint64(32)) * _C + words[:, k]
+        hashes[lo : lo + at_once] = (h ^ h >> np.uint64(29)) * _B
+    order = np.argsort(hashes, kind="stable").astype(np.int32)
+    hashes = hashes[order]
+    new = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(at) else np.zeros(0, np.int64)
+    first = np.empty(len(at), np.int32)
+    first[order] = np.repeat(order[new], np.diff(np.r_[new, len(at)]))
+    for lo in range(0, len(at), at_once):
+        part = first[lo : lo + at_once]
+        k = lo + np.flatnonzero(part != np.arange(lo, lo + len(part)))
+        if len(k):
+            leads, which = np.unique(first[k], return_inverse=True)
+            alone = k[(_marked(anchors, at[k]).view("<u8") != _marked(anchors, at[leads]).view("<u8")[which]).any(1)]
+            first[alone] = alone
+    return first
+
+
 def front_coded(rows: np.ndarray) -> bytes:
     """Sorted rows as the length of the prefix shared with the row before, and the rest of each."""
     if not len(rows):
@@ -291,14 +329,7 @@ def _blocks(docs: DataFrame, buckets: int, code_bits: int, block_bytes: int) ->
 
     def row(block: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
         text, lengths = b"".join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
-        anchors = Anchors(text, lengths)
-        code, doc = anchors.code >> np.uint64(64 - code_bits), _numbers(ids)[anchors.docs(anchors.at)]
-        order = np.lexsort((doc, code))
-        code, doc = code[order], doc[order]
-        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
-        last = np.r_[first[1:], len(code)] - 1
-        many = (doc[first] != doc[last]) if len(code) else np.zeros(0, bool)
-        code = code[first]
+        code, many = block_codes(Anchors(text, lengths), _ranks(ids)[1], code_bits)
         edges = np.searchsorted(code, _edges(buckets, code_bits))
         parts = [(code[a:b], many[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
         codes = [_packed(np.diff(c, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.copy()) for c, _ in parts]
@@ -327,6 +358,23 @@ def _blocks(docs: DataFrame, buckets: int, code_bits: int, block_bytes: int) ->
     return docs.mapInArrow(run, "block long, ids array<long>, lengths array<long>, text binary, codes array<binary>, many array<binary>")
 
 
+def block_codes(anchors: Anchors, rank: np.ndarray, code_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of a block, sorted, and which of them two of its documents have."""
+    code = anchors.code >> np.uint64(64 - code_bits)
+    if not len(code):
+        return code, np.zeros(0, bool)
+    order = np.argsort(code, kind="stable").astype(np.int32)
+    code, doc = code[order], rank[anchors.docs(anchors.at)][order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    return code[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+
+
+def _ranks(ids) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of ``ids``, ascending, and the place of each id among them."""
+    numbers, rank = np.unique(_numbers(ids), return_inverse=True)
+    return numbers, rank.astype(np.int32)
+
+
 def _numbers(ids) -> np.ndarray:
     """Ids as integers, null after all others."""
     return np.array([np.iinfo(np.int64).max if i is None or i != i else i for i in ids], np.int64)
@@ -358,82 +406,100 @@ def _shared_codes(blocks: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(meet, "block long, bucket int, bits binary, n int")
 
 
+def bucket_run(anchors: Anchors, at: np.ndarray, doc: np.ndarray, numbers: np.ndarray) -> tuple:
+    """What ``_runs`` keeps of a block's anchors ``at``, of the documents ``numbers[doc]``, in one bucket."""
+    by_doc = np.argsort(doc, kind="stable").astype(np.int32)
+    at, doc = at[by_doc], doc[by_doc]
+    first = first_equals(anchors, at)
+    lead = np.flatnonzero(first == np.arange(len(at), dtype=np.int32))
+    mark = np.concatenate([_marked(anchors, at[lead]), np.ones((len(lead), 1), np.uint8)], 1)  # the last byte keeps numpy from cutting zeros
+    key = np.ascontiguousarray(mark).view(f"S{mark.shape[1]}")[:, 0]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    spot = np.zeros(len(at), np.int32)
+    spot[lead[order]] = np.cumsum(new) - 1
+    rows = mark[order[new]][:, :-1]
+    lead = lead[order[new]]
+    follows = np.ones(len(at), bool)
+    follows[lead] = False
+    leader = spot[first[follows]]
+    other = doc[follows] != doc[lead][leader]
+    valid = np.ascontiguousarray(rows[:, -4:]).view(">u4")[:, 0].astype("<u4")
+    return len(lead), front_coded(rows), _packed(numbers[doc[lead]]), _packed(valid), _packed(at[lead]), _packed(leader), _packed(at[follows]), _packed(np.packbits(other))
+
+
 def _runs(blocks: DataFrame, bits: DataFrame, files: int, buckets: int, code_bits: int) -> DataFrame:
     """Front-coded sorted runs of the suffixes at shared anchors, one for each block and bucket.
 
     Equal suffixes of a block are one row, of the smallest document; the others
-    follow it as places.
+    follow it as places, which stay with the block.
     """
     told = bits.repartition(files, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "bits", "n"))).alias("told"))
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples(index=False):
-                lengths = np.array(row.lengths, np.int64)
-                anchors = Anchors(_unpacked(row.text), lengths)
+                anchors = Anchors(_unpacked(row.text), np.array(row.lengths, np.int64))
                 code = anchors.code >> np.uint64(64 - code_bits)
                 shared = np.concatenate([np.unpackbits(np.frombuffer(t["bits"], np.uint8), count=t["n"]).astype(bool) for t in row.told])
-                keep = shared[np.unique(code, return_inverse=True)[1]] if len(code) else np.zeros(0, bool)
-                at, code = anchors.at[keep], code[keep]
-                bucket = np.searchsorted(_edges(buckets, code_bits), code, "right") - 1
-                doc = _numbers(row.ids)[anchors.docs(at)]
-                for b in np.unique(bucket):
-                    i = np.flatnonzero(bucket == b)
-                    i = i[np.argsort(doc[i], kind="stable")]
-                    rows, valid = anchors.suffixes(at[i])
-                    mark = np.concatenate([rows, valid.astype(">u4").view(np.uint8).reshape(-1, 4), np.ones((len(i), 1), np.uint8)], 1)
-                    key = np.ascontiguousarray(mark).view(f"S{mark.shape[1]}")[:, 0]
-                    order = np.argsort(key, kind="stable")
-                    i, mark, key = i[order], mark[order], key[order]
-                    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                    leader = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-                    lead = i[first]
-                    rest = np.setdiff1d(np.arange(len(i)), first)
-                    other = doc[i[rest]] != doc[lead][leader[rest]]
-                    out = (row.block, int(b), len(first), front_coded(mark[first][:, :-1]), _packed(doc[lead]), _packed(at[lead].astype("<i4")), _packed(leader[rest].astype("<i4")), _packed(at[i[rest]].astype("<i4")), _packed(other.astype(np.uint8)))
-                    yield pd.DataFrame([out], columns=["block", "bucket", "n", "rows", "docs", "at", "leader", "follower", "other"])
-
-    ddl = "block long, bucket int, n int, rows binary, docs binary, at binary, leader binary, follower binary, other binary"
+                keep = shared[np.searchsorted(np.unique(code), code)] if len(code) else np.zeros(0, bool)
+                at, bucket = anchors.at[keep], (np.searchsorted(_edges(buckets, code_bits), code[keep], "right") - 1).astype(np.int32)
+                del code, keep
+                numbers, rank = _ranks(row.ids)
+                doc = rank[anchors.docs(at)]
+                for b in np.unique(bucket).tolist():
+                    own = bucket == b
+                    yield pd.DataFrame([(row.block, b, *bucket_run(anchors, at[own], doc[own], numbers))], columns=["block", "bucket", "n", "rows", "docs", "valid", "at", "leader", "follower", "other"])
+
+    ddl = "block long, bucket int, n int, rows binary, docs binary, valid binary, at binary, leader binary, follower binary, other binary"
     return blocks.select("block", "ids", "lengths", "text").join(told, "block").drop("codes").mapInPandas(run, ddl)
 
 
 def _marks(runs: DataFrame) -> DataFrame:
-    """Places and offsets of the windows to remove, by block."""
+    """For each block and bucket the offsets of the windows to remove, as bits, of the rows in its run."""
     width = 2 * LENGTH - SEED + 4
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         docs = [_unpacked(d, "<i8") for d in part["docs"]]
         base = np.cumsum([0, *(len(d) for d in docs)])
         doc_of = np.concatenate(docs)
-        found, valid_of = np.zeros(base[-1], np.uint32), np.zeros(base[-1], np.uint32)
+        found = np.zeros(base[-1], "<u4")
         runs = [front_rows(r, n, width) for r, n in zip(part["rows"], part["n"], strict=True)]
         for run, place, common, sorted_rows in merged_parts(runs, width):
             rows = np.frombuffer(b"".join(sorted_rows), np.uint8).reshape(-1, width)
             valid = np.ascontiguousarray(rows[:, -4:]).view(">u4")[:, 0].astype(np.uint32)
             spot = base[run] + place
             found[spot] = repeated_windows(rows[:, :-4], common, doc_of[spot], valid)
-            valid_of[spot] = valid
-        out = []
-        for k, r in enumerate(part.itertuples(index=False)):
-            lead, all_of = found[base[k] : base[k + 1]], valid_of[base[k] : base[k + 1]]
-            leader, other = _unpacked(r.leader, "<i4"), _unpacked(r.other, np.uint8).astype(bool)
-            at = np.r_[_unpacked(r.at, "<i4"), _unpacked(r.follower, "<i4")]
-            mask = np.r_[lead, np.where(other, all_of[leader], lead[leader])].astype("<u4")
-            some = mask > 0
-            out.append((r.block, _packed(at[some]), _packed(mask[some])))
-        return pd.DataFrame(out, columns=["block", "at", "mask"])
-
-    return runs.groupBy("bucket").applyInPandas(merge, "block long, at binary, mask binary")
-
-
-def removed_bytes(n: int, at: np.ndarray, mask: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """True for each byte of a block that a marked window covers."""
+        masks = [_packed(found[a:b]) for a, b in zip(base, base[1:], strict=False)]
+        return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "mask": masks})
+
+    return runs.select("block", "bucket", "n", "rows", "docs").groupBy("bucket").applyInPandas(merge, "block long, bucket int, mask binary")
+
+
+def _places(home: Iterable[dict], told: Iterable[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and offsets of a block's windows to remove, by bucket.
+
+    What follows a row of another document in the block loses all its windows,
+    what follows one of its own document the windows that the row loses.
+    """
+    masks = {t["bucket"]: t["mask"] for t in told}
+    for run in home:
+        mask, leader = _unpacked(masks[run["bucket"]], "<u4"), _unpacked(run["leader"], "<i4")
+        other = np.unpackbits(_unpacked(run["other"], np.uint8), count=len(leader)).astype(bool)
+        yield _unpacked(run["at"], "<i4"), mask
+        yield _unpacked(run["follower"], "<i4"), np.where(other, _unpacked(run["valid"], "<u4")[leader], mask[leader])
+
+
+def removed_bytes(n: int, places: Iterable[tuple[np.ndarray, np.ndarray]], length: int = LENGTH) -> np.ndarray:
+    """True for each byte of a block that a window of ``places``, each with distinct places, covers."""
     edge = np.zeros(n + length + 1, np.int32)
-    for o in range(LENGTH - SEED + 1):
-        start = at[(mask >> np.uint32(o) & np.uint32(1)) > 0] - o
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + length, -1)
-    return np.cumsum(edge)[:n] > 0
+    for at, mask in places:
+        for o in range(LENGTH - SEED + 1):
+            start = at[(mask >> np.uint32(o) & np.uint32(1)) > 0] - o
+            edge[start] += 1
+            edge[start + length] -= 1
+    return np.cumsum(edge, dtype=np.int32)[:n] > 0
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, digest: bool = False) -> DataFrame:
@@ -449,8 +515,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A block's run for a bucket has ``LEAST_RUN`` codes or more, so what is
     exchanged follows the text; a bucket is merged as a stream. The blocks of
-    text are written once, bucketed by block, and the answers are dealt out alike,
-    so that they join without moving text. Null text is empty; a null id comes after
+    text and their runs are written once, bucketed by block, and the answers, a
+    mask for each row of a run, are dealt out alike, so that they join without
+    moving text. A string that a block repeats is sent once; its other places
+    stay with the block, be they a run of one byte or a line on every page. Null text is empty; a null id comes after
     all others; documents under 50 bytes and repeated rows of one id remove
     nothing of each other; an empty table gives none.
     """
@@ -462,17 +530,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     given = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     blocks = bucketed(_blocks(given, buckets, code_bits, block_bytes), "block", files)
     bits = materialize(_shared_codes(blocks))
-    marks = materialize(_marks(_runs(blocks, bits, files, buckets, code_bits)))
-    told = marks.repartition(files, "block").groupBy("block").agg(F.collect_list(F.struct("at", "mask")).alias("told"))
+    runs = bucketed(_runs(blocks, bits, files, buckets, code_bits), "block", files)
+    marks = materialize(_marks(runs))
+    told = marks.repartition(files, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("told"))
+    home = runs.groupBy("block").agg(F.collect_list(F.struct("bucket", "valid", "at", "leader", "follower", "other")).alias("home"))
 
     def finish(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples(index=False):
                 text, lengths = _unpacked(row.text), np.array(row.lengths, np.int64)
-                told = row.told if row.told is not None else []
-                at = np.concatenate([np.zeros(0, np.int64), *(_unpacked(t["at"], "<i4").astype(np.int64) for t in told)])
-                mask = np.concatenate([np.zeros(0, np.uint32), *(_unpacked(t["mask"], "<u4") for t in told)])
-                gone = removed_bytes(len(text), at, mask)
+                gone = removed_bytes(len(text), _places(row.home, row.told) if row.told is not None else [])
                 end = np.cumsum(lengths)
                 start = end - lengths
                 total = np.r_[0, np.cumsum(gone)]
@@ -483,7 +550,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept = [(text[a:b] if c == d else buf[a:b][~gone[a:b]].tobytes()) for a, b, c, d in zip(start.tolist(), end.tolist(), total[start].tolist(), total[end].tolist(), strict=True)]
                 yield pd.DataFrame({"id": pd.array([None if i is None or i != i else int(i) for i in row.ids], "Int64"), "n_bytes": lengths, "n_removed": total[end] - total[start], "n_spans": spans[end] - spans[start], "kept": [hashlib.sha256(k).hexdigest() for k in kept] if digest else kept})
 
-    joined = blocks.select("block", "ids", "lengths", "text").join(told, "block", "left")
+    joined = blocks.select("block", "ids", "lengths", "text").join(home, "block", "left").join(told, "block", "left")
     out = joined.mapInPandas(finish, f"id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
 

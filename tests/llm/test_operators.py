@@ -323,19 +323,33 @@ def test_every_token_encodes_to_itself():
     assert len(one) == len(encoder.pair)
 
 
-def test_trie_prunes_at_scale():
-    """All links of the documents of sf0.1 by one trie, against every two fingerprints; most of the node pairs' subtrees are pruned."""
-    import pyarrow.parquet as pq
-
-    column = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
-    fp = np.unique(np.array([simhash.fingerprint(t or "") for t in column], np.uint64))
+def test_trie_prunes_at_scale(spark):
+    """The groups that the query joins at sf0.1: all links against every two fingerprints, and pruning leaves most pairs out."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    distinct = simhash.fingerprints(docs, carry=["doc_id"]).groupBy("fp").agg(F.count(F.lit(1)).alias("n")).select("fp")
+    rows = np.array(simhash.subtrees(distinct, 3, simhash.GROUP_CAP).collect(), np.int64)
+    rows = rows[np.lexsort((rows[:, 2].view(np.uint64), rows[:, 0]))]
+    node, fp = rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.uint64)
     tally: dict = {}
-    links = {(int(i), int(j)) for a, b in simhash.trie_links(np.zeros(len(fp), np.int64), fp, 3, tally=tally) for i, j in zip(a, b, strict=True)}
-    want = set()
-    for i in range(len(fp)):
-        want |= {(i, int(j) + i + 1) for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 3)}
-    assert {tuple(sorted(x)) for x in links} == want and want
-    assert tally["pruned"] > 10 * len(fp) and tally["compared"] < len(fp) ** 2 / 20
+    links = {tuple(sorted((int(node[i]), int(node[j])))) for a, b in simhash.trie_links(rows[:, 0], fp, 3, outright=simhash.FEW, tally=tally) for i, j in zip(a, b, strict=True)}
+    every, want = np.unique(node), set()
+    for i in range(len(every)):
+        want |= {(int(every[i]), int(every[int(j) + i + 1])) for j in np.flatnonzero(np.bitwise_count((every[i + 1 :] ^ every[i]).view(np.uint64)) <= 3)}
+    size = np.unique(rows[:, 0], return_counts=True)[1]
+    assert links == want and want
+    assert size.max() > 200 and tally["pruned"] > len(fp) and tally["compared"] < (size * size).sum() / 10
+
+
+def test_groups_come_whole():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    group = np.sort(rng.choice(60, 5000, p=rng.dirichlet(np.ones(60) / 4)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(group[lo : lo + 700]), pa.array(np.arange(lo, min(lo + 700, 5000)))], ["g", "k"]) for lo in range(0, 5000, 700)]
+    for at_once in (1, 100, 2000, 100_000):
+        parts = list(simhash._whole_groups(batches, 2, at_once))
+        assert np.concatenate(parts)[:, 1].tolist() == list(range(5000))
+        assert all(a[-1, 0] != b[0, 0] for a, b in zip(parts, parts[1:], strict=False) if len(a) and len(b))
 
 
 def test_packing(docs, none):
@@ -402,6 +416,51 @@ def test_suffixes(docs, none, block):
         assert suffixes.suffix_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 23, 3000])
+def test_suffixes_of_periodic_texts(spark, block):
+    """Runs of one byte and of short periods, where all anchors of a stretch are alike, and a line on every page."""
+    rng = random.Random(12)
+    line = bytes(rng.choice(b"abcdefgh ") for _ in range(90))
+    prose = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    rows = [(1, b"a" * 49), (2, b"a" * 50), (3, b"a" * 700), (4, prose(80) + b"a" * 300 + prose(60)), (5, b"ab" * 200), (6, b"xab" + b"ab" * 120 + b"c" * 51), (7, b"abc" * 150 + b"a" * 30), (8, b"abc" * 150), (9, b"b" + b"a" * 60), (9, b"a" * 90)]
+    rows += [(20 + k, prose(30 * k) + line + prose(40) + line * (k % 3)) for k in range(12)]
+    rng.shuffle(rows)
+    got = suffixes.suffix_dedup(spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string"), block_bytes=block, digest=True).collect()
+    assert sorted((str(r["id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_suffixes(rows)
+
+
+def test_memory_of_one_byte_repeated():
+    """A block of 16 MiB of one byte, every byte an anchor, through all steps on blocks in under 1.5 GB."""
+    import subprocess
+    import sys
+
+    code = """if True:
+        import resource
+        import numpy as np
+        from krysalis.llm import suffixes as s
+        n = 1 << 24
+        anchors = s.Anchors(b"a" * n, np.array([n]))
+        codes, many = s.block_codes(anchors, np.zeros(1, np.int32), 50)
+        out = s.bucket_run(anchors, anchors.at, np.zeros(len(anchors.at), np.int32), np.array([7]))
+        run = dict(zip(("valid", "at", "leader", "follower", "other"), out[3:]), bucket=0)
+        told = [{"bucket": 0, "mask": out[3]}]  # every window that there is
+        gone = s.removed_bytes(n, s._places([run], told))
+        print(len(anchors.at), len(codes), out[0], int(gone.sum()), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+    """
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    places, codes, sent, gone, megabytes = map(int, said)
+    assert places > (1 << 24) - 100 and codes == 1 and sent < 100 and gone == 1 << 24
+    assert megabytes < 1500
+
+
+def test_first_equals_keeps_the_first_place():
+    text = (b"abcdefghijklm" * 40 + b"z" * 100) * 3
+    anchors = suffixes.Anchors(text, np.array([len(text) - 100, 100]))
+    rows = [bytes(r) for r in suffixes._marked(anchors, anchors.at)]
+    for at_once in (1 << 16, 7):
+        assert suffixes.first_equals(anchors, anchors.at, at_once).tolist() == [rows.index(r) for r in rows]
+
+
 def test_anchors_do_not_depend_on_pieces():
     rng = random.Random(3)
     texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 49, 50, 51, 700, 3000)]
