@@ -22,15 +22,17 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def bucketed(df: DataFrame, column: str, files: int, compression: str = "uncompressed") -> DataFrame:
+def bucketed(df: DataFrame, column: str, files: int, compression: str = "uncompressed", row_group: int | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, bucketed by ``column``; it leaves the catalogue when the driver ends.
 
     What is dealt out by ``repartition(files, column)`` joins it without moving the table.
+    ``row_group``: bytes that a task gathers before it writes, for few and very large rows.
     """
     spark = df.sparkSession
     name = f"krysalis_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    df.write.option("path", path).option("compression", compression).bucketBy(files, column).saveAsTable(name)
+    sized = {} if row_group is None else {"parquet.block.size": row_group, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8}
+    df.write.options(path=path, compression=compression, **sized).bucketBy(files, column).saveAsTable(name)
     atexit.register(_forget, spark, name, path)
     return spark.table(name)
 

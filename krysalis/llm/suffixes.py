@@ -19,7 +19,7 @@ LENGTH = 50
 #: Bytes that an anchor's order is drawn from; each window of LENGTH bytes has one anchor, the least of LENGTH - SEED + 1.
 SEED = 24
 #: Text of a block, of a bucket and of the pieces that anchors are searched in; codes of a block that a bucket gets at least.
-BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES, LEAST_RUN = 1 << 24, 1 << 25, 1 << 18, 64
+BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES, LEAST_RUN = 1 << 24, 1 << 24, 1 << 18, 32
 #: Sorted suffixes that are compared at once; a group of common first bytes is never cut.
 MERGED_ROWS = 1 << 16
 #: Low bits of an anchor's key hold its place in a piece: the same number for every piece, so equal windows always have equal anchors.
@@ -528,9 +528,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     code_bits = min(64, max(24, int(size).bit_length() + 6))
     files = int(min(1 << 15, max(12, size // BLOCK_BYTES)))
     given = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    blocks = bucketed(_blocks(given, buckets, code_bits, block_bytes), "block", files)
+    blocks = bucketed(_blocks(given, buckets, code_bits, block_bytes), "block", files, row_group=1 << 23)
     bits = materialize(_shared_codes(blocks))
-    runs = bucketed(_runs(blocks, bits, files, buckets, code_bits), "block", files)
+    runs = bucketed(_runs(blocks, bits, files, buckets, code_bits), "block", files, row_group=1 << 23)
     marks = materialize(_marks(runs))
     told = marks.repartition(files, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("told"))
     home = runs.groupBy("block").agg(F.collect_list(F.struct("bucket", "valid", "at", "leader", "follower", "other")).alias("home"))
