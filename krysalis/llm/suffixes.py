@@ -526,7 +526,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
     buckets = int(min(max(8, size // BUCKET_BYTES), max(8, block_bytes // (14 * LEAST_RUN))))
     code_bits = min(64, max(24, int(size).bit_length() + 6))
-    files = int(min(1 << 15, max(12, size // BLOCK_BYTES)))
+    files = int(min(1 << 16, max(12, 4 * size // BLOCK_BYTES)))
     given = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     blocks = bucketed(_blocks(given, buckets, code_bits, block_bytes), "block", files, row_group=1 << 23)
     bits = materialize(_shared_codes(blocks))
