@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from krysalis.functions.lineage import materialize
 from krysalis.functions.rng import normal, rank_key
 from krysalis.operators.algebra import packed, spmv, unpacked
 from krysalis.operators.models import RHS_SOURCES
@@ -79,40 +80,41 @@ def comparison_grid(systems: DataFrame, preconditioners: DataFrame, most: int =
     return systems.withColumn("preconditioner", F.explode(F.array(*map(F.lit, names))))
 
 
-#: Rows of a range, about, and the most ranges: from a product of both on, ranges grow.
-RANGE_ROWS, MOST_RANGES = 50_000, 1024
+#: Rows of a range, about.
+RANGE_ROWS = 50_000
 
 
 def closest_match(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each row of ``a(id, d)`` the row of ``b(id, d)`` of nearest ``d``; ties go to the smaller, then the lower id.
 
-    An as-of match both ways: all rows are ranged by ``d`` and the nearest rows
-    of b before and after are carried along, first inside ranges of d and then
-    from range to range, so no pairs are made and no task sorts all. Ranges hold
-    like numbers of rows wherever the values lie; one value is never parted, and
-    equal values of b are one row.
+    An as-of match both ways over the distinct values: they are ranged by ``d``
+    and the nearest values of b before and after are carried along, first inside
+    ranges, once up and once down, then from range to range. No pairs are made,
+    the work inside a range grows with its values, ranges hold like numbers of
+    values wherever these lie, and a value that many rows share is one row until
+    it is joined back. A null ``d`` is near nothing: such rows of b match no row,
+    those of a have no match and are left out.
     """
-    count = a.count() + b.count()
-    cells = max(1, min(MOST_RANGES, -(-count // RANGE_ROWS)))
-    quantiles = a.select("d").unionByName(b.select("d")).agg(F.percentile_approx("d", [k / cells for k in range(1, cells)], 100 * cells).alias("q")).first()["q"] if cells > 1 else []
-    bounds = sorted(set(quantiles or ()))
-    cells = len(bounds) + 1
-    cell = lambda: F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda n, q: n + (F.col("d") > q).cast("int")) if bounds else F.lit(0)
-    own = b.groupBy("d").agg(F.min("id").alias("b_id")).select("d", F.struct("d", "b_id").alias("b"), F.lit(None).cast("long").alias("id"))
-    rows = own.unionByName(a.select("d", F.lit(None).cast(own.schema["b"].dataType).alias("b"), "id")).withColumn("cell", cell())
-    ends = own.withColumn("cell", cell()).groupBy("cell").agg(F.max_by("b", "d").alias("last"), F.min_by("b", "d").alias("first"))
-    frame = a.sparkSession.range(cells).select(F.col("id").cast("int").alias("cell")).join(ends, "cell", "left")
-    along = Window.orderBy("cell")
-    edge = frame.select(
-        "cell", F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("far_below"), F.first("first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("far_above")
-    )
-    inside = Window.partitionBy("cell").orderBy("d")
-    near = rows.withColumns({"below": F.last("b", True).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "above": F.first("b", True).over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
-    both = near.filter("id is not null").join(edge, "cell", "left").withColumns({"below": F.coalesce("below", "far_below"), "above": F.coalesce("above", "far_above")})
+    a, b = a.filter("d IS NOT NULL"), b.filter("d IS NOT NULL")
+    both = b.select("d", "id", F.lit(True).alias("of_b")).unionByName(a.select("d", F.lit(None).cast(b.schema["id"].dataType).alias("id"), F.lit(False).alias("of_b")))
+    values = both.groupBy("d").agg(F.min("id").alias("b_id"), F.max("of_b").alias("of_b"), F.max(~F.col("of_b")).alias("of_a"))
+    held = values.select("d", F.when(F.col("of_b"), F.struct("d", "b_id")).alias("b"), "of_a")
+    cells = max(1, -(-both.count() // RANGE_ROWS))
+    # The ranges come from a sample, which only balances them, so they are written once and read by both.
+    placed = materialize(held.repartitionByRange(cells, "d").withColumn("cell", F.spark_partition_id()))
+    ends = placed.groupBy("cell").agg(F.max_by("b", F.when(F.col("b").isNotNull(), F.col("d"))).alias("last"), F.min_by("b", F.when(F.col("b").isNotNull(), F.col("d"))).alias("first"))
+    along = Window.orderBy("cell")  # a row for each range
+    back = Window.orderBy(F.desc("cell"))
+    earlier = (Window.unboundedPreceding, -1)
+    edge = ends.select("cell", F.last("last", True).over(along.rowsBetween(*earlier)).alias("far_below"), F.last("first", True).over(back.rowsBetween(*earlier)).alias("far_above"))
+    inside = Window.partitionBy("cell")
+    before = (Window.unboundedPreceding, Window.currentRow)  # a frame that ends at the partition's end is summed anew for every row
+    near = placed.withColumn("below", F.last("b", True).over(inside.orderBy("d").rowsBetween(*before))).withColumn("above", F.last("b", True).over(inside.orderBy(F.desc("d")).rowsBetween(*before)))
+    near = near.filter("of_a").join(edge, "cell").select("d", F.coalesce("below", "far_below").alias("below"), F.coalesce("above", "far_above").alias("above"))
     up = F.col("above.d") - F.col("d")
     down = F.col("d") - F.col("below.d")
     best = F.when(F.col("below").isNull() | (up < down), F.col("above")).otherwise(F.col("below"))
-    return both.select("id", "d", best["b_id"].alias("b_id"), F.abs(best["d"] - F.col("d")).alias("distance"))
+    return a.join(near.select("d", best.alias("best")), "d").select("id", "d", F.col("best.b_id").alias("b_id"), F.abs(F.col("best.d") - F.col("d")).alias("distance"))
 
 
 def split_members(samples: DataFrame, splits: DataFrame, split: str) -> DataFrame:

@@ -264,6 +264,18 @@ def test_closest_match_of_skewed_values(spark, monkeypatch):
         assert got[i] == (want[0], pytest.approx(abs(want[1] - v)))
 
 
+def test_closest_match_goes_through_a_range_once(spark, monkeypatch):
+    """No frame is taken anew for every row, nulls are near nothing, and a value that many rows share is matched in each."""
+    monkeypatch.setattr(binding, "RANGE_ROWS", 4)
+    b = spark.createDataFrame([(1, None), (9, 3.0), (4, 3.0), (2, 8.0)], "id long, d double")
+    a = spark.createDataFrame([(k, 7.0) for k in range(30)] + [(30, -5.0), (31, None), (32, 5.5), (33, 9.0)], "id long, d double")
+    matched = binding.closest_match(a, b)
+    plan = matched._jdf.queryExecution().analyzed().toString()
+    assert "unboundedfollowing" not in plan.lower()
+    got = sorted((r["id"], r["b_id"], r["distance"]) for r in matched.collect())
+    assert got == [(k, 2, 1.0) for k in range(30)] + [(30, 4, 8.0), (32, 4, 2.5), (33, 2, 1.0)]
+
+
 class _Named(Preconditioner):
     pass
 
