@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from krysalis.functions.lineage import materialize
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -87,17 +89,23 @@ def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse graph Laplacians plus identity: line items between nations, a matrix for each year of order."""
+    """Sparse graph Laplacians plus identity: line items between nations, a matrix for each year of order.
+
+    Written once: a matrix has at most 25 x 25 entries, and what reads it many
+    times does not join the line items anew each time. Nations are joined to
+    orders and to line items first, so that these meet once, by order.
+    """
     t = lambda n: table(spark, sf_dir, n)
-    items = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y")), F.col("l_orderkey") == F.col("o_orderkey"))
-    items = items.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    orders = t("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y")).join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    items = t("lineitem").select("l_orderkey", "l_suppkey").join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    items = items.select("l_orderkey", "s_nationkey").join(orders.select("o_orderkey", "y", "c_nationkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     pairs = items.filter("c_nationkey <> s_nationkey").groupBy("y", F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).count()
-    both = pairs.withColumn("e", F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j")))))
+    both = materialize(pairs).withColumn("e", F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j")))))
     w = both.groupBy(F.col("y").cast("long").alias("matrix_id"), "e.i", "e.j").agg(F.sum("count").cast("double").alias("w"))
     degree = w.groupBy("matrix_id", "i").agg(F.sum("w").alias("d"))
     places = w.select("matrix_id").distinct().join(F.broadcast(t("nation").select(F.col("n_nationkey").alias("i"))), how="cross")  # the 25 nations
     diagonal = places.join(degree, ["matrix_id", "i"], "left").select("matrix_id", "i", F.col("i").alias("j"), (F.coalesce("d", F.lit(0.0)) + 1.0).alias("v"))
-    return w.select("matrix_id", "i", "j", (-F.col("w")).alias("v")).unionByName(diagonal)
+    return materialize(w.select("matrix_id", "i", "j", (-F.col("w")).alias("v")).unionByName(diagonal))
 
 
 def params(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -536,8 +536,9 @@ def _flat(a):
 @query("m3_learned_in_cg", f"SELECT * FROM (WITH {_B}, {_FLAT}, {cg_sql(3, '(1 / dg.v)', 'flat')} {_trace_sql('s', 3, 'learned')})")
 def m3_in_loop(spark, d):
     """A model that divides residuals by 4, called in every step, on matrices whose diagonal is 4: the steps of their diagonal."""
-    a = _flat(flow(spark, d))
-    grid = flow_vectors(flow(spark, d), 2).withColumn("preconditioner", F.lit("learned"))
+    flows = flow(spark, d)
+    a = _flat(flows)
+    grid = flow_vectors(flows, 2).withColumn("preconditioner", F.lit("learned"))
     blocks, states = iterate.cg_steps(a, grid, {"learned": Learned(lambda: lambda r: r / 4)}, 0.0, 0.0, 3, trace=True)
     rows = blocks.rows(states.select("system_id", "preconditioner", "matrix_id", "c", "iter", "x", "r"), "x", "r")
     return rounded(rows.select("system_id", "preconditioner", "i", "iter", "x", "r"), "x", "r")
