@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from krysalis.functions.lineage import materialize
+from krysalis.operators.ordering import running_before
+
 
 def residual_history(packed: DataFrame) -> DataFrame:
     """``packed(system_id, preconditioner, b_norm, residuals)`` as rows by step; relative where ‖b‖ > 0."""
@@ -63,9 +66,29 @@ def fastest_of(timings: DataFrame) -> DataFrame:
 
 
 def condition_boxes(solves: DataFrame) -> DataFrame:
-    """Least, quartiles and greatest condition number by label."""
-    at = lambda p: F.percentile("condition_number", F.lit(p))
-    return solves.groupBy("label").agg(F.min("condition_number").alias("least"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("condition_number").alias("greatest"))
+    """Least, quartiles and greatest condition number by label; quartiles are exact, interpolated between neighbours.
+
+    Equal values are counted together and ordered by label and value over ranges,
+    so a label with most of the rows is many tasks; of each quartile only the
+    values on both sides of its place reach the label. Nulls don't count, a label
+    with no others has nulls.
+    """
+    value = "condition_number"
+    counts = solves.filter(F.col(value).isNotNull()).groupBy("label", value).agg(F.count(F.lit(1)).alias("n"))
+    placed = materialize(running_before(counts, "n", "label", value))
+    ends = materialize(placed.groupBy("label").agg(F.min("before").alias("start"), F.sum("n").alias("rows"), F.min(value).alias("least"), F.max(value).alias("greatest")))
+    at = placed.withColumnRenamed("label", "of").join(ends.select("label", "start", "rows"), F.col("of").eqNullSafe(F.col("label"))).withColumn("first", F.col("before") - F.col("start"))
+    quartiles = []
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        place = p * (F.col("rows") - 1)
+        held = lambda k: (F.col("first") <= k) & (k < F.col("first") + F.col("n"))
+        at = at.withColumns({f"{name}_lo": F.when(held(F.floor(place)), F.col(value)), f"{name}_hi": F.when(held(F.ceil(place)), F.col(value))})
+        lo, hi, part = F.max(f"{name}_lo"), F.max(f"{name}_hi"), p * (F.max("rows") - 1) - F.floor(p * (F.max("rows") - 1))
+        quartiles.append(F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi).cast("double").alias(name))
+    boxes = at.filter(" OR ".join(f"{q}_{e} IS NOT NULL" for q in ("q1", "median", "q3") for e in ("lo", "hi"))).groupBy("label").agg(*quartiles).withColumnRenamed("label", "of")
+    found = ends.join(boxes, F.col("of").eqNullSafe(F.col("label"))).select("label", "least", "q1", "median", "q3", "greatest")
+    empty = solves.groupBy("label").agg(F.count(value).alias("n")).filter("n = 0")
+    return found.unionByName(empty.select("label"), allowMissingColumns=True)
 
 
 def dataset_name_parts(names: DataFrame, name: str = "name") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from krysalis.operators import algebra, budgets, checks, iterate, models, strategies
+from krysalis.operators import algebra, budgets, checks, compare, iterate, models, strategies
 from krysalis.sources import files, sinks
 
 
@@ -127,3 +127,16 @@ def test_empty_tables(spark):
     x = spark.createDataFrame([], "system_id long, matrix_id long, i int, v double")
     assert algebra.spmv(a, x).count() == 0
     assert iterate.solve_cg(a, x, max_iters=2).count() == 0
+
+
+def test_condition_boxes_gather_no_label(spark):
+    """Exact quartiles, by label, of repeated, absent and missing values, without a map of a label's values in one task."""
+    rng = np.random.default_rng(5)
+    values = {"a": np.round(rng.random(1001) * 50), "b": rng.standard_normal(7), "c": np.array([2.0]), None: rng.random(40)}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("d", None)]
+    out = compare.condition_boxes(spark.createDataFrame(rows, "label string, condition_number double").repartition(5))
+    assert "percentile" not in out._jdf.queryExecution().analyzed().toString().lower()
+    got = {r["label"]: tuple(r)[1:] for r in out.collect()}
+    for k, v in values.items():
+        assert got[k] == pytest.approx(tuple(np.quantile(v, [0, 0.25, 0.5, 0.75, 1])))
+    assert got["d"] == (None,) * 5 and len(got) == 5
