@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,19 +29,14 @@ ENCODINGS = (
     ("alnum", r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-#: Natural strings by the encoding they are inferred as: how the words of a text are joined.
-JOINED = {
-    "lower": "array_join({w}, '')",
-    "base32": "upper(array_join({w}, ''))",
-    "alnum": "array_join(transform({w}, y -> initcap(y)), '')",
-    "base64": "array_join({w}, IF(hash({w}) % 2 = 0, '_', '-'))",
-}
+#: Encodings that natural strings are made in: words run together, run together in capitals, with a capital each, joined by a sign.
+FORMED = ("lower", "base32", "alnum", "base64")
 #: Letters of English prose as often as among a hundred.
 LETTERS = "e" * 13 + "t" * 9 + "a" * 8 + "o" * 8 + "i" * 7 + "n" * 7 + "s" * 6 + "h" * 6 + "r" * 6 + "d" * 4 + "l" * 4 + "u" * 3 + "c" * 3 + "m" * 3 + "w" * 2 + "f" * 2 + "g" * 2 + "y" * 2 + "p" * 2 + "bvk"
 #: Sequences of words drawn from them that stand beside those of the table, so that tables of few or short texts have natural strings too.
 DRAWN = 2000
 #: Encodings without natural strings of their own are held against those of another; decimal strings are no secrets.
-NULL_OF = {"hex": "base32", "HEX": "base32"} | {e: e for e in JOINED}
+NULL_OF = {"hex": "base32", "HEX": "base32"} | {e: e for e in FORMED}
 #: Lengths from which a stratum of the false-discovery control begins.
 STRATA = (20, 28, 40, 64)
 #: False discoveries allowed among the spans that the battery adds.
@@ -147,19 +146,89 @@ def _counts(words: DataFrame) -> dict:
     return {(r["s"], r["encoding"], r["bin"]): r["count"] for r in tested.groupBy("s", "encoding", "bin").count().collect()}
 
 
-def natural_words(given: DataFrame) -> DataFrame:
-    """Natural strings (``word``, ``n``) from the column ``__text``: per text, form and stratum, consecutive words joined to the stratum's least length.
-
-    The words begin at a place drawn by the text's hash; texts with fewer than
-    32 words of two to twelve letters give none. ``DRAWN`` sequences of words
-    with the letters of prose are added.
+def battery_bins(strings: np.ndarray, encoding: str) -> np.ndarray:
+    """The ``bin`` of ``battery_sql`` for the rows of a matrix of characters, all of one encoding and length."""
+    alphabet = dict((e, a) for e, _, a in ENCODINGS)[encoding]
+    code = np.zeros(256, np.int64)
+    code[np.frombuffer(alphabet.encode(), np.uint8)] = np.arange(len(alphabet))
+    kinds = np.array([0 if chr(c).isdigit() else 1 if chr(c).isupper() else 2 if chr(c).islower() else 3 for c in range(128)] + [3] * 128, np.int8)
+    shares = np.array([sum(kinds[ord(c)] == t for c in alphabet) / len(alphabet) for t in range(4)])
+    rows, n, k, middle = len(strings), strings.shape[1], len(alphabet), shares.max() == 1
+    at = code[strings]
+    times = np.bincount((at + np.arange(rows)[:, None] * k).ravel(), minlength=rows * k).reshape(rows, k)
+    p = at - at.mean(1, keepdims=True)
+    squares, ss, lag = (times * times).sum(1), np.maximum(1e-9, (p * p).sum(1)), (p[:, 1:] * p[:, :-1]).sum(1)
+    group = at >= k / 2 if middle else kinds[strings]
+    changes = (group[:, 1:] != group[:, :-1]).sum(1)
+    q = 1 - (0.5 if middle else (shares**2).sum())
+    both = 2 * q - 1 + (0.25 if middle else (shares**3).sum())
+    tail = lambda z: 1 / (1 + np.exp(np.clip(1.5976 * z + 0.07056 * z**3, -600, 600)))
+    chi_p = tail((np.cbrt(np.maximum(squares * k / n - n, 0) / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / np.sqrt(2 / (9 * (k - 1))))
+    spread = np.sqrt(max(1e-9, (n - 1) * q * (1 - q) + 2 * (n - 2) * (both - q * q)))
+    runs_p = np.minimum(1, 2 * tail(np.abs(changes - (n - 1) * q) / spread))
+    serial_p = np.minimum(1, 2 * tail(np.abs(lag / ss + 1 / n) * np.sqrt(n)))
+    f = -sum(np.log(np.maximum(1e-300, x)) for x in (chi_p, runs_p, serial_p))
+    random_p = np.exp(-np.minimum(f, 600)) * (1 + f + f * f / 2)
+    return np.clip(np.floor(-PER_DECADE * np.log10(random_p)), 0, BINS - 1).astype(np.int64)
+
+
+def natural_strings(texts: list[str], signs: list[bool], encoding: str, n: int, at_once: int = 1 << 14) -> Iterator[np.ndarray]:
+    """All words of each text, in small letters and parted by a space, as strings of ``n`` characters: rows of matrices.
+
+    A string begins at the first word from every n-th character on, so strings
+    cover a text from its start to where fewer than n characters are left. The
+    sign between words is ``_`` or, by ``signs``, ``-``.
+    """
+    raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    gap, end = raw == 32, raw == 10
+    first = ~gap & ~end & np.r_[True, (gap | end)[:-1]]
+    text = np.cumsum(end) - end
+    if encoding == "base64":
+        chars, kept = np.where(gap, np.where(np.array(signs, bool)[text], 45, 95), raw).astype(np.uint8), ~end
+    else:
+        small = np.where(first & (encoding == "alnum"), raw - 32, raw)
+        chars, kept = (small - 32 if encoding == "base32" else small).astype(np.uint8), ~(gap | end)
+    chars, first, text = chars[kept], np.flatnonzero(first[kept]), text[kept]
+    size = np.bincount(text, minlength=len(texts))
+    start = np.cumsum(size) - size
+    of = text[first]
+    turn = (first - start[of]) // n
+    begins = np.r_[True, (turn[1:] != turn[:-1]) | (of[1:] != of[:-1])] if len(first) else np.zeros(0, bool)
+    first = first[begins & (first + n <= (start + size)[of])]
+    for lo in range(0, len(first), at_once):
+        found = chars[first[lo : lo + at_once, None] + np.arange(n)]
+        if encoding in ("lower", "base32"):  # such strings of a to f are hexadecimal
+            found = found[((found | 32) > ord("f")).any(1)]
+        if len(found):
+            yield found
+
+
+def natural_counts(given: DataFrame) -> dict:
+    """How often each (stratum, encoding, bin) occurs among natural strings: those of all words of the column ``__text``, and ``DRAWN`` sequences with the letters of prose.
+
+    Words have two to twelve letters. Every text is cut whole, in each form and
+    into the least length of each stratum; a task sums its counts, Spark those of
+    tasks. At most strata times forms times bins counts reach the driver.
     """
-    some = given.select(F.regexp_extract_all("__text", F.lit(r"\b[A-Za-z][a-z]{1,11}\b"), F.lit(0)).alias("w"), F.xxhash64("__text").alias("h")).filter("size(w) >= 32")
-    lower = some.select(F.expr("transform(slice(w, CAST(pmod(h, size(w) - 31) + 1 AS INT), 32), y -> lower(y))").alias("w"))
+    some = given.select(F.regexp_extract_all("__text", F.lit(r"\b[A-Za-z][a-z]{1,11}\b"), F.lit(0)).alias("w"))
+    lower = some.filter("size(w) > 0").select(F.lower(F.array_join("w", " ")).alias("t"), F.expr("hash(w) % 2 <> 0").alias("sign"))
     letter = f"substring('{LETTERS}', CAST(pmod(xxhash64(id, i, j), {len(LETTERS)}) + 1 AS INT), 1)"
-    drawn = given.sparkSession.range(DRAWN).select(F.expr(f"transform(sequence(1, 32), i -> array_join(transform(sequence(0, CAST(1 + pmod(xxhash64(id, i), 8) AS INT)), j -> {letter}), ''))").alias("w"))
-    forms = lower.unionByName(drawn).select(F.explode(F.array(*(F.expr(v.format(w="w")) for v in JOINED.values()))).alias("word"))
-    return forms.select(F.explode(F.array(*map(F.lit, STRATA))).alias("n"), F.col("word")).filter("length(word) >= n").select(F.expr("substring(word, 1, n)").alias("word"), "n")
+    drawn = given.sparkSession.range(DRAWN).select(F.expr(f"array_join(transform(sequence(1, 32), i -> array_join(transform(sequence(0, CAST(1 + pmod(xxhash64(id, i), 8) AS INT)), j -> {letter}), '')), ' ')").alias("t"), F.expr("id % 2 = 0").alias("sign"))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((len(STRATA), len(FORMED), BINS), np.int64)
+        for batch in batches:
+            texts, signs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo in range(0, len(texts), 256):
+                for s, n in enumerate(STRATA):
+                    for e, encoding in enumerate(FORMED):
+                        for found in natural_strings(texts[lo : lo + 256], signs[lo : lo + 256], encoding, n):
+                            seen[s, e] += np.bincount(battery_bins(found, encoding), minlength=BINS)
+        s, e, b = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array([FORMED[k] for k in e], pa.string()), pa.array(b.astype(np.int32)), pa.array(seen[s, e, b])], ["s", "encoding", "bin", "n"])
+
+    counted = lower.unionByName(drawn).mapInArrow(count, "s int, encoding string, bin int, n long")
+    return {(r["s"], r["encoding"], r["bin"]): r["n"] for r in counted.groupBy("s", "encoding", "bin").agg(F.sum("n").alias("n")).collect()}
 
 
 def random_bars(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[tuple[int, str], int]:
@@ -177,7 +246,7 @@ def random_bars(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> di
     found = _counts(at.select(F.col("x.word").alias("word"), (F.col("x.end") - F.col("x.start")).alias("n")))
     if not found:
         return {}
-    null = _counts(natural_words(given))
+    null = natural_counts(given)
     bars: dict[tuple[int, str], int] = {}
     for s in range(len(STRATA)):
         p: dict[tuple[str, int], float] = {}

@@ -293,6 +293,27 @@ def test_battery_tells_random_from_natural(spark):
     assert sum(found[k] > 0 for k in range(40, 80)) == 0
 
 
+def test_natural_strings_are_of_all_words(spark):
+    """Every part of a text is in a string, their bins are those of the battery in SQL, and counts of a doubled table are doubled but for the drawn ones."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (400, 9, 1)]
+    for encoding in secrets.FORMED:
+        strings = [bytes(r).decode() for m in secrets.natural_strings(texts, [True, False, False], encoding, 28) for r in m]
+        assert len(strings) > 40 and {len(x) for x in strings} == {28}
+        joined = [t.replace(" ", "-" if k == 0 else "_") if encoding == "base64" else t.title().replace(" ", "") if encoding == "alnum" else t.replace(" ", "") for k, t in enumerate(texts)]
+        joined = [t.upper() if encoding == "base32" else t for t in joined]
+        assert all(any(x in t for t in joined) for x in strings)
+        at = [joined[0].index(x) for x in strings if x in joined[0]]
+        assert at[0] == 0 and max(b - a for a, b in zip(at, at[1:], strict=False)) <= 28 + 10 and at[-1] > len(joined[0]) - 2 * 28 - 10
+        sql = spark.createDataFrame([(k, x) for k, x in enumerate(strings)], "k int, word string").selectExpr("k", f"{secrets.battery_sql('word')} AS t").orderBy("k").select("t.encoding", "t.bin").collect()
+        assert {r["encoding"] for r in sql} == {encoding}
+        assert [r["bin"] for r in sql] == secrets.battery_bins(np.frombuffer("".join(strings).encode(), np.uint8).reshape(-1, 28), encoding).tolist()
+    counts = [secrets.natural_counts(spark.createDataFrame([(t,) for t in texts * k], "__text string")) for k in (0, 1, 2)]
+    assert sum(counts[1].values()) - sum(counts[0].values()) > 16 * 30
+    assert all(counts[2][k] - counts[1][k] == counts[1][k] - counts[0].get(k, 0) for k in counts[2])
+
+
 def test_tokenizers_agree(docs, none):
     path = bpe.tokenizer_path()
     library = Tokenizer.from_file(path)
