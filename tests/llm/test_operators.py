@@ -689,6 +689,26 @@ def test_model_against_one_bit_at_a_time():
     assert model.bits(f) == pytest.approx(slow_bits(model, f), rel=1e-3, abs=2e-3)
 
 
+def test_fit_counts_all_training_tokens(spark, monkeypatch):
+    """First weights come from every token of every training text, long ones too, and the speller's from every word that one of them has."""
+    seen = {}
+    fit, take, one = mixing.Model.fit_counts, spelling.Speller.take, mixing._speller
+    monkeypatch.setattr(mixing.Model, "fit_counts", lambda self, counts: (seen.update(counts=counts), fit(self, counts))[1])
+    monkeypatch.setattr(spelling.Speller, "take", lambda self, learned: (seen.update(learned=learned), take(self, learned))[1])
+    monkeypatch.setattr(mixing, "_speller", lambda *a: one(*a, one_pass=0))
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))
+    rows = [(k, " ".join(word() for _ in range(20_000 if k == 3 else 30))) for k in range(600)]
+    got = mixing.mixing_scores(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=20_000).toPandas()
+    hits, others = seen["counts"][0][1::2].sum(), seen["counts"][1].sum()
+    assert len(rows[3][1]) > 1 << 16 and zlib.crc32(b"3") % 7 != 2
+    assert hits > 0 and hits + others == got["train_tokens"].iloc[0] == got[~got["held_out"]]["n_tokens"].sum()
+    docs = Counter(w for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2 for w in set(t.split()))
+    once = [w for w, n in docs.items() if n == 1]
+    gates = spelling.GATES[0] * spelling.GATES[1]
+    assert seen["learned"][:gates].sum() == seen["learned"][6 * gates :].sum() == sum(8 * (len(w) + 1) for w in once)
+
+
 def test_speller_prefers_what_it_has_seen():
     speller = spelling.Speller((14, 14, 14, 14))
     counts = [np.zeros(2 << 14, np.int64) for _ in range(4)]
