@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from krysalis.llm.common import materialize, text_of
+from krysalis.llm.common import bucketed, drop_shuffles, materialize, text_of
 from krysalis.llm.components import connected_components
 
 SEED = 42
@@ -260,6 +260,8 @@ BANDS, BAND_ROWS = 16, 4
 TRIE_ERRORS, LOOSE_ERRORS, OUTRIGHT = 24, 60, 64
 #: Words of the parity bits of a shingle set. Two sets differ in as many shingles at least as their parities in bits.
 ODD = tuple(f"s{k}" for k in range(16))
+#: Text of a bucket of the table that all rounds read.
+BUCKET_BYTES = 1 << 23
 #: Rounds of nearest candidates go on while this share of the pairs compared is linked.
 WORTH = 1 / 16
 _XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
@@ -322,13 +324,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared but those whose parity bits show that they cannot be similar enough,
     so no link between components is lost.
     """
-    members = _shingled(docs, id_col, text_col)
+    size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
+    files = int(min(1 << 15, max(12, size // BUCKET_BYTES)))
+    members = _shingled(docs, id_col, text_col, files)
+    drop_shuffles(docs.sparkSession)
     nodes = members.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bands", *WIDE, "size", *ODD)))
     nodes = materialize(_shared_bands(materialize(nodes)).withColumn("root", F.col("node")))
     links, nearest = None, True
     while True:
         pairs = materialize(_candidates(nodes, group_cap, nearest))
-        found = _linked(pairs, members)
+        found = _linked(pairs, members, files)
         links = found if links is None else links.unionByName(found)
         roots = connected_components(links)
         if not nearest:
@@ -402,9 +407,13 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
 
-def _linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs of nodes whose shingle sets have a Jaccard similarity of 0.8 or more, counted from the texts of ``members(node, text)``."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+def _linked(pairs: DataFrame, members: DataFrame, files: int) -> DataFrame:
+    """The pairs of nodes whose shingle sets have a Jaccard similarity of 0.8 or more, counted from the texts of ``members(node, text)``.
+
+    Nodes are dealt out as ``members`` is bucketed, so of the texts only those of
+    candidates are moved.
+    """
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).repartition(files, "node").distinct()
     texts = materialize(members.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
 
@@ -423,8 +432,11 @@ def similar(a: set, b: set) -> bool:
     return 5 * common >= 4 * (len(a) + len(b) - common)
 
 
-def _shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A table ``(id, text, node, bands, w0 ... w3)``: a row for each document, its node being a digest of its shingle set."""
+def _shingled(docs: DataFrame, id_col: str, text_col: str, files: int) -> DataFrame:
+    """A table ``(id, text, node, bands, w0 ... w3, size, s0 ... s15)`` in ``files`` buckets by node: a row for each document, its node being a digest of its shingle set.
+
+    Texts are exchanged once here and by no later round.
+    """
     given = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,7 +453,7 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, columns[0], pa.array(bands, pa.list_(pa.int64())), *columns[1:]], ["id", "text", "node", "bands", *WIDE, "size", *ODD])
 
     schema = StructType([*given.schema.fields, *StructType.fromDDL("node long, bands array<long>").fields, *(StructField(c, LongType()) for c in (*WIDE, "size", *ODD))])
-    return materialize(given.mapInArrow(run, schema))
+    return bucketed(given.mapInArrow(run, schema).repartition(files, "node"), "node", files, "zstd")
 
 
 def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -459,7 +471,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text counts as empty; all empty texts are one group. Rows that repeat
     the id that stays all stay. Rows with a null id stay only in groups without ids.
     """
-    gone = near_duplicates(docs, id_col, text_col).filter("not (id <=> component_id)").select(F.col("id").alias("__id")).distinct()
+    gone = materialize(near_duplicates(docs, id_col, text_col).filter("not (id <=> component_id)").select(F.col("id").alias("__id")).distinct())
+    drop_shuffles(docs.sparkSession)  # a table of ids: its size, known now, says how rows are joined
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
 
 

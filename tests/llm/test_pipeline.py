@@ -100,6 +100,21 @@ def test_large_group_of_near_copies(spark):
     assert got == label and len(set(label.values())) > 10
 
 
+def test_rounds_exchange_no_texts(spark):
+    """Texts are dealt out by node once: what a round wants of them moves the wanted nodes only."""
+    rows = [(k, f"a text of some words with number {k}") for k in range(50)]
+    members = simhash._shingled(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 12)
+    wanted = members.select("node").limit(5).repartition(12, "node").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = members.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").count()
+        plan = texts._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and texts.count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_parities_lose_no_similar_pair():
     rng = np.random.default_rng(2)
     for size in (1, 5, 40, 500, 5000):
