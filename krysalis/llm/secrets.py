@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +44,8 @@ FDR = 0.01
 BINS, PER_DECADE = 201, 20
 #: Positions are summed in blocks of so many matches.
 BLOCK = 128
+#: Natural strings are cut from blocks of so many characters, a multiple of all lengths that begin a stratum.
+CUT = 2240
 
 _SPAN = "struct<start:int,end:int,kind:string>"
 _WORD = "struct<start:int,end:int,kind:string,word:string>"
@@ -147,7 +148,7 @@ def _counts(words: DataFrame) -> dict:
 
 
 def battery_bins(strings: np.ndarray, encoding: str) -> np.ndarray:
-    """The ``bin`` of ``battery_sql`` for the rows of a matrix of characters, all of one encoding and length."""
+    """The ``bin`` of ``battery_sql`` for the rows of a matrix of characters, all of one encoding and length: the plain version that ``natural_counts`` is tested against."""
     alphabet = dict((e, a) for e, _, a in ENCODINGS)[encoding]
     code = np.zeros(256, np.int64)
     code[np.frombuffer(alphabet.encode(), np.uint8)] = np.arange(len(alphabet))
@@ -173,7 +174,7 @@ def battery_bins(strings: np.ndarray, encoding: str) -> np.ndarray:
 
 
 def natural_strings(texts: list[str], signs: list[bool], encoding: str, n: int, at_once: int = 1 << 14) -> Iterator[np.ndarray]:
-    """All words of each text, in small letters and parted by a space, as strings of ``n`` characters: rows of matrices.
+    """All words of each text, in small letters and parted by a space, as strings of ``n`` characters: rows of matrices. The plain version that ``natural_counts`` is tested against.
 
     A string begins at the first word from every n-th character on, so strings
     cover a text from its start to where fewer than n characters are left. The
@@ -203,32 +204,90 @@ def natural_strings(texts: list[str], signs: list[bool], encoding: str, n: int,
             yield found
 
 
+def _bits(planes: list[str], code: int, mask: str = "m") -> str:
+    """SQL: the places whose bits in ``planes``, lowest first, are those of ``code``."""
+    return " & ".join([mask, *(p if code >> b & 1 else f"~{p}" for b, p in enumerate(planes))])
+
+
+def _natural_tests(strings: DataFrame) -> DataFrame:
+    """``s, encoding, bin`` of natural strings given by bits: what ``battery_bins`` finds, in arithmetic on longs.
+
+    Of a string of ``n`` characters, ``p0`` to ``p4`` hold the bits of the letters'
+    places in the alphabet, ``f`` the capitals (d = -26) or the signs (d = 38 or
+    39), a bit for each character, the first the highest. So a letter's count is a
+    number of bits, and so is each part of the sums: but for a constant, a code is
+    the letter's place and, where ``f`` is set, d.
+    """
+    five = [f"p{b}" for b in range(5)]
+    given = strings.selectExpr("*", "shiftrightunsigned(-1L, 64 - n) AS m")
+    parts = given.selectExpr("*", *(f"{_bits(five[2:], j)} AS h{j}" for j in range(7)), *(f"{_bits(five[:2], j)} AS l{j}" for j in range(4)))
+    total = lambda terms: "CAST(" + " + ".join(terms) + " AS DOUBLE)"
+    next_to = lambda x, y: f"bit_count(shiftrightunsigned({x}, 1) & {y})"
+    at_end = lambda x: f"CAST((shiftrightunsigned({x}, n - 1) & 1L) + ({x} & 1L) AS INT)"
+    changes = lambda g: f"CAST(bit_count((({g}) ^ shiftrightunsigned({g}, 1)) & shiftrightunsigned(m, 1)) AS DOUBLE)"
+    # With more than a hundred columns Spark compiles these two steps in small methods; one large method is more than the JVM compiles, and slow.
+    counts = parts.selectExpr(
+        "CAST(n AS DOUBLE) AS n", "CAST(d AS DOUBLE) AS d", "(p4 | p3 | (p2 & p1)) = 0 AS hexadecimal", f"{changes('p4 | (p3 & p2 & (p1 | p0))')} AS upper_half", f"{changes('f')} AS upper_f",
+        *(f"bit_count(h{c >> 2} & l{c & 3} & ~f) AS r{c}" for c in range(26)), *(f"bit_count(h{c >> 2} & l{c & 3} & f) AS a{c}" for c in range(26)), *(f"bit_count(h{c >> 2} & l{c & 3}) AS t{c}" for c in range(26)), "bit_count(f) AS ff",
+        *(f"{next_to(f'p{a}', f'p{b}')} AS n{a}{b}" for a in range(5) for b in range(5)), *(f"{next_to(f'p{b}', 'f')} AS nf{b}" for b in range(5)), *(f"{next_to('f', f'p{b}')} AS fn{b}" for b in range(5)), f"{next_to('f', 'f')} AS lff",
+        *(f"{at_end(f'p{b}')} AS e{b}" for b in range(5)), f"{at_end('f')} AS ef",
+    )
+    sums = counts.selectExpr(
+        "n", "d", "hexadecimal", "upper_half", "upper_f", "CAST(ff AS DOUBLE) AS ff", "CAST(lff AS DOUBLE) AS lff", "CAST(ef AS DOUBLE) AS ef",
+        total(f"t{c} * t{c}" for c in range(26)) + " AS same", total(f"a{c} * a{c} + r{c} * r{c}" for c in range(26)) + " AS same_f",
+        total(f"{c} * t{c}" for c in range(26)) + " AS x", total(f"{c * c} * t{c}" for c in range(26)) + " AS xx", total(f"{c} * a{c}" for c in range(26)) + " AS xf",
+        total(f"{1 << a + b} * n{a}{b}" for a in range(5) for b in range(5)) + " AS lxx", total(f"{1 << b} * (nf{b} + fn{b})" for b in range(5)) + " AS lxf", total(f"{1 << b} * e{b}" for b in range(5)) + " AS ex",
+    )
+    shares = {n: [sum(map(t, a)) / len(a) for t in (str.isdigit, str.isupper, str.islower, lambda c: not c.isalnum())] for n, _, a in ENCODINGS}
+    size = {n: len(a) for n, _, a in ENCODINGS}
+
+    def test(e: str, d: str, same: str, changed: str) -> str:
+        middle = max(shares[e]) == 1
+        q = 1 - (0.5 if middle else sum(v**2 for v in shares[e]))
+        both = 2 * q - 1 + (0.25 if middle else sum(v**3 for v in shares[e]))
+        return f"named_struct('encoding', '{e}', 'k', {size[e]}D, 'q', {q!r}D, 'both', {both!r}D, 'd', {d}, 'sq', {same}, 'chg', {changed}, 'kept', " + ("NOT hexadecimal)" if e in ("lower", "base32") else "true)")
+
+    plain = f"array({test('lower', '0D', 'same', 'upper_half')}, {test('base32', '0D', 'same', '0D')}, {test('alnum', 'd', 'same_f', 'upper_f')})"
+    each = sums.selectExpr("*", f"explode(IF(d < 0, {plain}, array({test('base64', 'd', 'same_f', 'upper_f')}))) AS e").filter("e.kept")
+    moments = each.selectExpr("n", "e.encoding", "e.k", "e.q", "e.both", "e.chg", "e.sq * e.k / n - n AS chi", "(x + e.d * ff) / n AS mean", "xx + 2 * e.d * xf + e.d * e.d * ff AS squares", "lxx + e.d * lxf + e.d * e.d * lff AS next", "ex + e.d * ef AS ends")
+    values = moments.selectExpr(
+        "n", "encoding",
+        _upper_tail("(power(greatest(chi, 0D) / (k - 1), 1D/3) - (1 - 2/(9*(k - 1)))) / sqrt(2/(9*(k - 1)))") + " AS chi_p",
+        "least(1D, 2 * " + _upper_tail("abs(chg - (n - 1) * q) / sqrt(greatest(1e-9D, (n - 1) * q * (1 - q) + 2 * (n - 2) * (both - q * q)))") + ") AS runs_p",
+        "least(1D, 2 * " + _upper_tail("abs((next - mean * (2 * n * mean - ends) + (n - 1) * mean * mean) / greatest(1e-9D, squares - n * mean * mean) + 1 / n) * sqrt(n)") + ") AS serial_p",
+    )
+    combined = values.selectExpr("n", "encoding", "-ln(greatest(1e-300D, chi_p)) - ln(greatest(1e-300D, runs_p)) - ln(greatest(1e-300D, serial_p)) AS f")
+    stratum = "CASE CAST(n AS INT) " + " ".join(f"WHEN {n} THEN {s}" for s, n in enumerate(STRATA)) + " END"
+    return combined.selectExpr(f"{stratum} AS s", "encoding", f"CAST(least({BINS - 1}D, greatest(0D, floor(-{PER_DECADE}D * log10(exp(-least(f, 600D)) * (1 + f + f * f / 2))))) AS INT) AS bin")
+
+
 def natural_counts(given: DataFrame) -> dict:
     """How often each (stratum, encoding, bin) occurs among natural strings: those of all words of the column ``__text``, and ``DRAWN`` sequences with the letters of prose.
 
     Words have two to twelve letters. Every text is cut whole, in each form and
-    into the least length of each stratum; a task sums its counts, Spark those of
-    tasks. At most strata times forms times bins counts reach the driver.
+    into the least length of each stratum: from every n-th character on, the
+    string that begins at the first word. Texts go in blocks of ``CUT`` characters
+    and what a string may reach beyond; a string is a few longs of bits. At most
+    strata times forms times bins counts reach the driver.
     """
     some = given.select(F.regexp_extract_all("__text", F.lit(r"\b[A-Za-z][a-z]{1,11}\b"), F.lit(0)).alias("w"))
-    lower = some.filter("size(w) > 0").select(F.lower(F.array_join("w", " ")).alias("t"), F.expr("hash(w) % 2 <> 0").alias("sign"))
+    words = some.select(F.array_join("w", " ").alias("t"), F.expr("hash(w) % 2 <> 0").alias("sign"))
     letter = f"substring('{LETTERS}', CAST(pmod(xxhash64(id, i, j), {len(LETTERS)}) + 1 AS INT), 1)"
     drawn = given.sparkSession.range(DRAWN).select(F.expr(f"array_join(transform(sequence(1, 32), i -> array_join(transform(sequence(0, CAST(1 + pmod(xxhash64(id, i), 8) AS INT)), j -> {letter}), '')), ' ')").alias("t"), F.expr("id % 2 = 0").alias("sign"))
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(STRATA), len(FORMED), BINS), np.int64)
-        for batch in batches:
-            texts, signs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                for s, n in enumerate(STRATA):
-                    for e, encoding in enumerate(FORMED):
-                        for found in natural_strings(texts[lo : lo + 256], signs[lo : lo + 256], encoding, n):
-                            seen[s, e] += np.bincount(battery_bins(found, encoding), minlength=BINS)
-        s, e, b = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array([FORMED[k] for k in e], pa.string()), pa.array(b.astype(np.int32)), pa.array(seen[s, e, b])], ["s", "encoding", "bin", "n"])
-
-    counted = lower.unionByName(drawn).mapInArrow(count, "s int, encoding string, bin int, n long")
-    return {(r["s"], r["encoding"], r["bin"]): r["n"] for r in counted.groupBy("s", "encoding", "bin").agg(F.sum("n").alias("n")).collect()}
+    # Words with a capital each, so that a block shows where they begin: run together, and joined by a sign.
+    formed = words.unionByName(drawn).select(F.initcap("t").alias("t"), "sign").select(F.expr("explode(array(named_struct('d', -26, 't', replace(t, ' ', '')), IF(sign, named_struct('d', 38, 't', replace(t, ' ', '-')), named_struct('d', 39, 't', replace(t, ' ', '_')))))").alias("x"))
+    cut = f"transform(sequence(0, (length(x.t) - 1) DIV {CUT}), i -> substring(b, i * {CUT} + 1, {CUT + 2 * STRATA[-1]}))"
+    blocks = formed.select("x.d", F.expr(f"explode(transform(array(CAST(x.t AS BINARY)), b -> {cut})[0])").alias("b")).select("d", F.expr("coalesce(CAST(b AS STRING), '')").alias("b"))
+    small = "abcdefghijklmnopqrstuvwxyz"
+    plane = lambda low, high, sign: f"CAST(translate(b, '{small}{small.upper()}-_', '{low}{high}{sign * 2}') AS BINARY)"
+    bits = ["".join(str(c >> b & 1) for c in range(26)) for b in range(5)]
+    planes = blocks.selectExpr("d", f"{plane('0' * 26, '1' * 26, '0')} AS u", f"IF(d < 0, NULL, {plane('0' * 26, '0' * 26, '1')}) AS v", *(f"{plane(x, x, '0')} AS c{b}" for b, x in enumerate(bits)))
+    cells = ", ".join(str(n << 12 | at) for n in STRATA for at in range(0, CUT, n))
+    at = planes.selectExpr("*", f"explode(array({cells})) AS cell").selectExpr("d", "u", "v", *(f"c{b}" for b in range(5)), "shiftright(cell, 12) AS n", "cell & 4095 AS at").filter("at < length(u)")
+    first = at.selectExpr("*", "instr(CAST(substring(u, at + 1, n) AS STRING), '1') AS skip").filter("skip > 0 AND at + skip - 1 + n <= length(u)")
+    number = lambda p: f"coalesce(CAST(conv(CAST(substring({p}, at + skip, n) AS STRING), 2, -10) AS BIGINT), 0L)"
+    strings = first.selectExpr("n", "d", f"{number('IF(d < 0, u, v)')} AS f", *(f"{number(f'c{b}')} AS p{b}" for b in range(5)))
+    return {(r["s"], r["encoding"], r["bin"]): r["count"] for r in _natural_tests(strings).groupBy("s", "encoding", "bin").count().collect()}
 
 
 def random_bars(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[tuple[int, str], int]:

@@ -314,6 +314,27 @@ def test_natural_strings_are_of_all_words(spark):
     assert all(counts[2][k] - counts[1][k] == counts[1][k] - counts[0].get(k, 0) for k in counts[2])
 
 
+def test_natural_counts_are_native_and_exact(spark):
+    """Long texts too are counted in SQL functions alone, string for string as the plain version counts them."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlubcfwz") for _ in range(rng.randint(2, 12)))
+    texts = [" ".join(word() for _ in range(n)) for n in (1500, 700, 40, 5, 1)] + ["Abc deaf " * 400, "", "X 1 é", "ab " * 9 + "cd"]
+    given = spark.createDataFrame([(t,) for t in texts], "__text string")
+    words = given.select(F.regexp_extract_all("__text", F.lit(r"\b[A-Za-z][a-z]{1,11}\b"), F.lit(0)).alias("w")).filter("size(w) > 0")
+    lower = words.select(F.lower(F.array_join("w", " ")).alias("t"), F.expr("hash(w) % 2 <> 0").alias("sign")).collect()
+    want = Counter()
+    for s, n in enumerate(secrets.STRATA):
+        for encoding in secrets.FORMED:
+            for m in secrets.natural_strings([r["t"] for r in lower], [r["sign"] for r in lower], encoding, n):
+                want.update((s, encoding, b) for b in secrets.battery_bins(m, encoding).tolist())
+    assert len({r["sign"] for r in lower}) == 2 and sum(want.values()) > 5000
+    got, drawn = secrets.natural_counts(given), secrets.natural_counts(given.limit(0))
+    assert {k: v - drawn.get(k, 0) for k, v in got.items() if v > drawn.get(k, 0)} == want
+    assert secrets.CUT % np.lcm.reduce(secrets.STRATA) == 0
+    calls = {n for f in (secrets.natural_counts, secrets._natural_tests, secrets.random_bars, secrets.secret_spans) for n in f.__code__.co_names}
+    assert not calls & {"mapInArrow", "mapInPandas", "applyInPandas", "applyInArrow", "rdd", "udf", "pandas_udf"}
+
+
 def test_tokenizers_agree(docs, none):
     path = bpe.tokenizer_path()
     library = Tokenizer.from_file(path)
