@@ -261,29 +261,35 @@ def _natural_tests(strings: DataFrame) -> DataFrame:
     return combined.selectExpr(f"{stratum} AS s", "encoding", f"CAST(least({BINS - 1}D, greatest(0D, floor(-{PER_DECADE}D * log10(exp(-least(f, 600D)) * (1 + f + f * f / 2))))) AS INT) AS bin")
 
 
-def natural_counts(given: DataFrame) -> dict:
+def natural_counts(given: DataFrame, wanted: set[tuple[int, str]] | None = None) -> dict:
     """How often each (stratum, encoding, bin) occurs among natural strings: those of all words of the column ``__text``, and ``DRAWN`` sequences with the letters of prose.
 
     Words have two to twelve letters. Every text is cut whole, in each form and
     into the least length of each stratum: from every n-th character on, the
     string that begins at the first word. Texts go in blocks of ``CUT`` characters
-    and what a string may reach beyond; a string is a few longs of bits. At most
-    strata times forms times bins counts reach the driver.
+    and what a string may reach beyond; a string is a few longs of bits. Counts of
+    the ``wanted`` (stratum, encoding), all by default, are whole; of others they may
+    be left out. At most strata times forms times bins counts reach the driver.
     """
+    lengths = [[n for s, n in enumerate(STRATA) if wanted is None or any((s, e) in wanted for e in encodings)] for encodings in (FORMED[:-1], FORMED[-1:])]
+    if not any(lengths):
+        return {}
     some = given.select(F.regexp_extract_all("__text", F.lit(r"\b[A-Za-z][a-z]{1,11}\b"), F.lit(0)).alias("w"))
     words = some.select(F.array_join("w", " ").alias("t"), F.expr("hash(w) % 2 <> 0").alias("sign"))
     letter = f"substring('{LETTERS}', CAST(pmod(xxhash64(id, i, j), {len(LETTERS)}) + 1 AS INT), 1)"
     drawn = given.sparkSession.range(DRAWN).select(F.expr(f"array_join(transform(sequence(1, 32), i -> array_join(transform(sequence(0, CAST(1 + pmod(xxhash64(id, i), 8) AS INT)), j -> {letter}), '')), ' ')").alias("t"), F.expr("id % 2 = 0").alias("sign"))
     # Words with a capital each, so that a block shows where they begin: run together, and joined by a sign.
-    formed = words.unionByName(drawn).select(F.initcap("t").alias("t"), "sign").select(F.expr("explode(array(named_struct('d', -26, 't', replace(t, ' ', '')), IF(sign, named_struct('d', 38, 't', replace(t, ' ', '-')), named_struct('d', 39, 't', replace(t, ' ', '_')))))").alias("x"))
+    texts = words.unionByName(drawn).select(F.initcap("t").alias("t"), "sign")
+    forms = ["named_struct('d', -26, 't', replace(t, ' ', ''))", "IF(sign, named_struct('d', 38, 't', replace(t, ' ', '-')), named_struct('d', 39, 't', replace(t, ' ', '_')))"]
+    formed = texts.selectExpr(f"explode(array({', '.join(x for x, some in zip(forms, lengths, strict=True) if some)})) AS x")
     cut = f"transform(sequence(0, (length(x.t) - 1) DIV {CUT}), i -> substring(b, i * {CUT} + 1, {CUT + 2 * STRATA[-1]}))"
     blocks = formed.select("x.d", F.expr(f"explode(transform(array(CAST(x.t AS BINARY)), b -> {cut})[0])").alias("b")).select("d", F.expr("coalesce(CAST(b AS STRING), '')").alias("b"))
     small = "abcdefghijklmnopqrstuvwxyz"
     plane = lambda low, high, sign: f"CAST(translate(b, '{small}{small.upper()}-_', '{low}{high}{sign * 2}') AS BINARY)"
     bits = ["".join(str(c >> b & 1) for c in range(26)) for b in range(5)]
     planes = blocks.selectExpr("d", f"{plane('0' * 26, '1' * 26, '0')} AS u", f"IF(d < 0, NULL, {plane('0' * 26, '0' * 26, '1')}) AS v", *(f"{plane(x, x, '0')} AS c{b}" for b, x in enumerate(bits)))
-    cells = ", ".join(str(n << 12 | at) for n in STRATA for at in range(0, CUT, n))
-    at = planes.selectExpr("*", f"explode(array({cells})) AS cell").selectExpr("d", "u", "v", *(f"c{b}" for b in range(5)), "shiftright(cell, 12) AS n", "cell & 4095 AS at").filter("at < length(u)")
+    cells = [f"CAST(array({', '.join(str(n << 12 | at) for n in some for at in range(0, CUT, n))}) AS array<int>)" for some in lengths]
+    at = planes.selectExpr("*", f"explode(IF(d < 0, {cells[0]}, {cells[1]})) AS cell").selectExpr("d", "u", "v", *(f"c{b}" for b in range(5)), "shiftright(cell, 12) AS n", "cell & 4095 AS at").filter("at < length(u)")
     first = at.selectExpr("*", "instr(CAST(substring(u, at + 1, n) AS STRING), '1') AS skip").filter("skip > 0 AND at + skip - 1 + n <= length(u)")
     number = lambda p: f"coalesce(CAST(conv(CAST(substring({p}, at + skip, n) AS STRING), 2, -10) AS BIGINT), 0L)"
     strings = first.selectExpr("n", "d", f"{number('IF(d < 0, u, v)')} AS f", *(f"{number(f'c{b}')} AS p{b}" for b in range(5)))
@@ -297,7 +303,8 @@ def random_bars(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> di
     held against that of natural strings of the same encoding and of the
     stratum's least length, made from the words of all texts: its p-value is the
     share of them that look as random. Short strings, where words pass for random
-    too, need more than long ones. At most strata times encodings times bins
+    too, need more than long ones. Where the table has no candidates, no natural
+    strings are counted, and none is accepted. At most strata times encodings times bins
     counts reach the driver, for candidates and for natural strings.
     """
     given = docs.select(text_of(text_col).alias("__text"))
@@ -305,7 +312,7 @@ def random_bars(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> di
     found = _counts(at.select(F.col("x.word").alias("word"), (F.col("x.end") - F.col("x.start")).alias("n")))
     if not found:
         return {}
-    null = natural_counts(given)
+    null = natural_counts(given, {(s, NULL_OF[e]) for s, e, _ in found if e in NULL_OF})
     bars: dict[tuple[int, str], int] = {}
     for s in range(len(STRATA)):
         p: dict[tuple[str, int], float] = {}

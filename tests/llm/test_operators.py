@@ -330,6 +330,11 @@ def test_natural_counts_are_native_and_exact(spark):
     assert len({r["sign"] for r in lower}) == 2 and sum(want.values()) > 5000
     got, drawn = secrets.natural_counts(given), secrets.natural_counts(given.limit(0))
     assert {k: v - drawn.get(k, 0) for k, v in got.items() if v > drawn.get(k, 0)} == want
+    for wanted in ({(1, "base32"), (3, "base64")}, {(2, "base64")}, {(0, "alnum")}):
+        part = secrets.natural_counts(given, wanted)
+        assert wanted <= {k[:2] for k in part} and part.items() <= got.items()
+        assert all((k in part) == (k in got) for k in got if k[:2] in wanted)
+    assert secrets.natural_counts(given, set()) == {}
     assert secrets.CUT % np.lcm.reduce(secrets.STRATA) == 0
     calls = {n for f in (secrets.natural_counts, secrets._natural_tests, secrets.random_bars, secrets.secret_spans) for n in f.__code__.co_names}
     assert not calls & {"mapInArrow", "mapInPandas", "applyInPandas", "applyInArrow", "rdd", "udf", "pandas_udf"}
