@@ -715,6 +715,63 @@ def test_model_against_one_bit_at_a_time():
     assert model.bits(f) == pytest.approx(slow_bits(model, f), rel=1e-3, abs=2e-3)
 
 
+def test_scores_follow_each_token_once(docs):
+    """Scoring reads what the pass of the fit wrote: it neither joins the blocks with their replies again nor derives their features again."""
+    plan = mixing.mixing_scores(docs, block_bytes=4000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInPandas") == 1
+
+
+def test_written_outcomes_give_the_bits():
+    names, total, _, (f,) = _features_of(_small_corpus())
+    code = (mixing.word_hashes(names) >> np.uint64(24) & np.uint64(255)).astype(int)
+    model = mixing.Model(np.stack([[np.bincount(code, t, 256), np.bincount(code, t * (t == 1), 256)] for t in total]), np.array([0.5, 0.5]))
+    model.fit([f])
+    o = model.outcomes(f)
+    again = {"n": f["n"]} | {k: mixing._unpacked(mixing._packed(o[k]), "u1") for k in mixing._OUTCOMES}
+    assert (o["fixed"] + model.mixed(again) == model.bits(f)).all()
+
+
+def test_words_of_a_block(monkeypatch):
+    """Words are those between ASCII white space, lower-cased by A-Z alone; pieces of stretches change no bit."""
+    rng = random.Random(2)
+    texts = ["", " ", "\x0b\x0c A\tb\r\nB\x1cb \u2003\u00c4 a", *("".join(rng.choice("aBc \n\x0c\x85\u00df\u0130") for _ in range(rng.randint(0, 60))) for _ in range(50))]
+    block = mixing.Block()
+    for k, t in enumerate(texts):
+        block.add(k, False, 0, t)
+    words, codes, n = block.numbered()
+    want = [[*t.encode().lower().split(), b""] for t in texts]
+    assert n.tolist() == [len(w) for w in want] and [words[c] for c in codes] == sum(want, []) and len(set(words)) == len(words)
+    names, total, _, (f,) = _features_of(_small_corpus())
+    model = mixing.Model(np.stack([[np.full(256, t.sum()), np.zeros(256)] for t in total]), np.array([0.5, 0.5]))
+    model.fit([f])
+    bits = model.bits(f)
+    monkeypatch.setattr(mixing, "PIECE", 3)
+    assert model.bits(f) == pytest.approx(bits, rel=1e-5)
+
+
+def test_two_best_successors():
+    rng = np.random.default_rng(3)
+    pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 40, 150), rng.integers(0, 9, 150), strict=True)} | {(99, 0), (99, 0xFFFFFF)})
+    times = rng.integers(1, 4, len(pairs))
+    ctx, succ = (np.array(x) for x in zip(*pairs, strict=True))
+    want = []
+    for c in sorted({a for a, _ in pairs}):
+        best = sorted((-int(t), b) for (a, b), t in zip(pairs, times, strict=True) if a == c)
+        want.append((c, best[0][1], -best[0][0], *((best[1][1], -best[1][0]) if len(best) > 1 else (0, 0)), -sum(n for n, _ in best)))
+    assert list(zip(*(x.tolist() for x in mixing.top_two(ctx, succ, times)), strict=True)) == want
+    assert all(len(x) == 0 for x in mixing.top_two(*[np.zeros(0, np.int64)] * 3))
+
+
+def test_begin_of_a_document_is_no_word_of_its_block():
+    """The guess at a document's begin has the same contexts whatever word the block sorts first."""
+    seen = set()
+    for k in range(12):
+        corpus = [(0, False, 0, [b"one", b"two"]), (1, False, 0, [b"one", b"two"]), (2, False, 0, [b"other%d" % k])]
+        _, _, _, (f,) = _features_of(corpus)
+        seen.add(tuple(f["match"][0].tolist()))
+    assert len(seen) == 1
+
+
 def test_fit_counts_all_training_tokens(spark, monkeypatch):
     """First weights come from every token of every training text, long ones too, and the speller's from every word that one of them has."""
     seen = {}
