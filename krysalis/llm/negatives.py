@@ -13,6 +13,8 @@ from krysalis.llm.common import materialize
 
 #: Rows of a block of candidates, and of a block of anchors.
 CANDIDATES, ANCHORS = 4096, 512
+#: Candidates that are looked up at a time, which fit a cache; blocks of anchors that a task holds, about; parts of the candidates that pass by apart.
+LOOKED, HELD, SPLITS = 256, 4, 16
 #: Dimensions that a byte of a bit plane holds.
 GROUP = 8
 #: Anchors are the rows whose id this divides; labels of ids that the second divides are moved on by one, modulo the third.
@@ -21,7 +23,7 @@ POSITIVES, NEGATIVES = 5, 3
 #: A negative's score is between these percentages of the positive's.
 LEAST, MOST = 50, 95
 
-_BLOCK = "block long, n int, ids binary, labels binary, planes int, groups int, bits binary, values binary, peak long"
+_BLOCK = "block long, ids binary, labels binary, planes int, groups int, bits binary, values binary"
 
 
 def quantized(rows: DataFrame) -> DataFrame:
@@ -63,19 +65,25 @@ def subset_sums(values: np.ndarray, kind: type = np.int64) -> np.ndarray:
     return tables
 
 
-def scores(tables: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """``(candidate, anchor)``: exact inner products, by looking a plane's bytes up and adding with shifts."""
+def scores(tables: np.ndarray, bits: np.ndarray, kind: type | None = None) -> np.ndarray:
+    """``(candidate, anchor)``: exact inner products, by looking a plane's bytes up and adding with shifts.
+
+    A plane is added up in the tables' type, the planes in ``kind``.
+    """
     planes, groups, n = bits.shape
-    total = np.zeros((n, tables.shape[2]), tables.dtype)
-    looked = np.empty_like(total)
+    total = np.zeros((n, tables.shape[2]), kind or tables.dtype)
+    plane = np.zeros(total.shape, tables.dtype)
+    looked = np.empty_like(plane)
     for p in range(planes):
         if p == 1:
             np.negative(total, out=total)  # the first plane is the sign
         if p:
             total += total
         for g in range(min(groups, len(tables))):
-            np.take(tables[g], bits[p, g], axis=0, out=looked, mode="clip")
-            total += looked
+            np.take(tables[g], bits[p, g], axis=0, out=looked if g else plane, mode="clip")
+            if g:
+                plane += looked
+        total += plane
     return -total if planes == 1 else total
 
 
@@ -96,60 +104,155 @@ def blocks(rows: DataFrame, size: int, planes: bool) -> DataFrame:
                 values = np.zeros((len(ids), int(lengths.max(initial=0))), np.int64)
                 values[np.arange(values.shape[1]) < lengths[:, None]] = part.column(2).flatten().to_numpy()
                 values = values[order]
-                peak = int(np.abs(values).max(initial=0))
-                if peak >> 40:
+                if int(np.abs(values).max(initial=0)) >> 40:
                     raise ValueError("a component is too large for exact scores")
                 count, bits = bit_planes(values) if planes else (0, values)
                 labels = part.column(1).to_numpy()[order]
-                row = [0, len(ids), ids[order].tobytes(), labels.tobytes(), count, -(-values.shape[1] // GROUP), bits.tobytes() if planes else b"", b"" if planes else values.tobytes(), peak]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
+                row = [0, ids[order].tobytes(), labels.tobytes(), count, -(-values.shape[1] // GROUP), bits.tobytes() if planes else b"", b"" if planes else values.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
 
     return materialize(rows.mapInArrow(run, _BLOCK).withColumn("block", F.monotonically_increasing_id()))
 
 
-def _largest(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the ``k`` largest entries of each row of ``keys`` that are not the least integer; they differ within a row."""
-    none = np.iinfo(keys.dtype).min
-    if keys.shape[1] > k:
-        at = np.argpartition(keys, keys.shape[1] - k, axis=1)[:, -k:]
-    else:
-        at = np.broadcast_to(np.arange(keys.shape[1]), keys.shape)
-    row, place = np.nonzero(np.take_along_axis(keys, at, 1) != none)
-    return row, at[row, place]
-
+class _Anchors:
+    """A block of anchors."""
 
-class _Pair:
-    """A block of anchors against a block of candidates."""
+    def __init__(self, row: dict):
+        self.ids, self.labels = np.frombuffer(row["a_ids"], np.int64), np.frombuffer(row["a_labels"], np.int64)
+        self.values = np.frombuffer(row["a_values"], np.int64).reshape(len(self.ids), -1)
+        self.most = int(np.abs(self.values).sum(1).max(initial=0))  # what any bits of a plane can pick of a row
 
-    def __init__(self, a: dict, c: dict):
-        read = lambda b, f: np.frombuffer(b[f], np.int64)
-        self.ids, self.labels = read(c, "ids"), read(c, "labels")
-        self.anchor_ids, self.anchor_labels = read(a, "a_ids"), read(a, "a_labels")
-        values = read(a, "a_values").reshape(a["a_n"], -1)
-        bound = (a["a_peak"] + 1) * (c["peak"] + 1) * max(1, min(values.shape[1], c["groups"] * GROUP)) * 4
-        if bound * len(self.ids) >> 62:
+    def against(self, c: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(ids, labels, scores by anchor)`` of a block of candidates, ``LOOKED`` at a time."""
+        ids, labels = np.frombuffer(c["ids"], np.int64), np.frombuffer(c["labels"], np.int64)
+        bits = np.frombuffer(c["bits"], np.uint8).reshape(c["planes"], c["groups"], len(ids))
+        bound = self.most << c["planes"]
+        if bound >> 62:
             raise ValueError("components are too large for exact scores")
-        kind = np.int32 if bound < 1 << 31 else np.int64
-        planes = np.frombuffer(c["bits"], np.uint8).reshape(c["planes"], c["groups"], c["n"])
-        n = len(self.ids)
-        self.scores = np.ascontiguousarray(scores(subset_sums(values, kind), planes).T).astype(np.int64)
-        self.keys = self.scores * n + np.arange(n - 1, -1, -1)  # of equal scores the smaller id first
-        self.same = self.labels == self.anchor_labels[:, None]
-
-
-_PAIR_COLUMNS = ["n", "ids", "labels", "planes", "groups", "bits", "peak"]
-
+        tables = subset_sums(self.values, np.int16 if self.most < 1 << 15 else np.int32 if self.most < 1 << 31 else np.int64)
+        for lo in range(0, len(ids), LOOKED):
+            at = slice(lo, lo + LOOKED)
+            yield ids[at], labels[at], scores(tables, bits[:, :, at].astype(np.intp), np.int32 if bound < 1 << 31 else np.int64)
+
+
+class _First:
+    """Of each row the ``k`` first by score, larger first, then by id, of all that it has met."""
+
+    NONE = -(1 << 62)
+
+    def __init__(self, rows: int, k: int):
+        self.scores, self.ids, self.waiting, self.many = np.full((rows, k), self.NONE), np.zeros((rows, k), np.int64), [], 0
+
+    def least(self) -> np.ndarray:
+        """By row the score that is needed."""
+        return self.scores[:, -1]
+
+    def meet(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.waiting.append((rows, scores, ids))
+        self.many += len(rows)
+        if self.many >= len(self.scores):
+            self.settle()
+
+    def settle(self) -> None:
+        if self.many:
+            n, k = self.scores.shape
+            held = (np.repeat(np.arange(n), k), self.scores.reshape(-1), self.ids.reshape(-1))
+            rows, scores, ids = (np.concatenate([h, *w]).astype(np.int64) for h, w in zip(held, zip(*self.waiting, strict=True), strict=True))
+            order = np.lexsort((ids, -scores, rows))
+            first = np.searchsorted(rows[order], np.arange(n))  # each row has k at least
+            order = order[first[:, None] + np.arange(k)]
+            self.scores, self.ids = scores[order], ids[order]
+        self.waiting, self.many = [], 0
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, score, id)``."""
+        self.settle()
+        row, place = np.nonzero(self.scores > self.NONE)
+        return row, self.scores[row, place], self.ids[row, place]
+
+
+class _Positives:
+    """The first rows of the same label for each anchor of a block."""
+
+    def __init__(self, a: dict):
+        self.anchors = _Anchors(a)
+        self.first = _First(len(self.anchors.ids), POSITIVES)
+
+    def meet(self, c: dict) -> None:
+        a = self.anchors
+        for ids, labels, s in a.against(c):
+            i, row = np.nonzero((s >= _bound(self.first.least(), s)) & (labels[:, None] == a.labels))
+            other = ids[i] != a.ids[row]
+            i, row = i[other], row[other]
+            self.first.meet(row, s[i, row], ids[i])
+
+    def found(self) -> list[np.ndarray]:
+        row, score, other = self.first.found()
+        return [row, self.anchors.ids[row], other, score]
+
+
+class _Negatives:
+    """The first rows of another label within the bounds of each anchor's positives."""
+
+    def __init__(self, a: dict):
+        self.anchors = _Anchors(a)
+        place, slot, goal = (np.array([g[k] for g in a["goals"]], np.int64) for k in ("place", "slot", "positive_score"))
+        shape = (POSITIVES, len(self.anchors.ids))
+        self.low, self.high = np.full(shape, -_First.NONE), np.full(shape, _First.NONE)
+        at = slot - 1, place
+        self.low[at], self.high[at] = -_percent(LEAST, -goal), _percent(MOST, goal)
+        self.first = _First(shape[0] * shape[1], NEGATIVES)
+
+    def meet(self, c: dict) -> None:
+        a = self.anchors
+        for ids, labels, s in a.against(c):
+            low = np.maximum(self.low, self.first.least().reshape(self.low.shape))
+            i, row = np.nonzero((s >= _bound(low.min(0), s)) & (s <= _bound(self.high.max(0), s)) & (labels[:, None] != a.labels))
+            score = s[i, row]
+            for k in range(POSITIVES):
+                at = np.flatnonzero((score >= low[k, row]) & (score <= self.high[k, row]))
+                self.first.meet(k * len(a.ids) + row[at], score[at], ids[i[at]])
+
+    def found(self) -> list[np.ndarray]:
+        row, score, other = self.first.found()
+        slot, place = np.divmod(row, len(self.anchors.ids))
+        return [place, slot + 1, other, score]
+
+
+def _bound(limit: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Limits in the type of what they limit."""
+    return np.clip(limit, np.iinfo(s.dtype).min, np.iinfo(s.dtype).max).astype(s.dtype)
+
+
+def _percent(part: int, of: np.ndarray) -> np.ndarray:
+    """``floor(part * of / 100)``, without the product."""
+    return part * (of // 100) + part * (of % 100) // 100
+
+
+def _paired(candidates: DataFrame, anchors: DataFrame, parts: int, kind: type, columns: str) -> DataFrame:
+    """What ``kind`` finds for every block of anchors in all blocks of candidates: the stated query set against all rows.
+
+    A Cartesian product of partitions: a task holds a few blocks of anchors and
+    what was found for them, and candidates' blocks pass by. So nothing is
+    broadcast or sent to the driver, no pair of blocks is exchanged, and of an
+    anchor ``SPLITS`` findings at most, whatever the number of rows.
+    """
 
-def _paired(candidates: DataFrame, anchors: DataFrame, slots: int) -> DataFrame:
-    """Every block of anchors beside every block of candidates: the stated query set against all rows.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                pair = {n: c[k].as_py() if n in plain else c[k].as_buffer() for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "goals"}
+                if pair["a_block"] not in met:
+                    met[pair["a_block"]] = kind(batch.slice(k, 1).to_pylist()[0])
+                met[pair["a_block"]].meet(pair)
+        for block, one in met.items():
+            found = one.found()
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (np.full(len(found[0]), block), *found)], names)
 
-    Candidates' blocks are dealt out to slots, about one to each, and the
-    anchors' blocks are sent to all slots. One pair of blocks is one small
-    group, so neither side is held whole anywhere.
-    """
-    dealt = candidates.select(F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int").alias("slot_id"), "block", *_PAIR_COLUMNS)
-    sent = anchors.withColumn("slot_id", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return dealt.join(sent, "slot_id").groupBy("slot_id", "block", "a_block")
+    plain, names = {"planes", "groups", "a_block"}, [c.split()[0] for c in columns.split(", ")]
+    held = candidates.select("ids", "labels", "planes", "groups", "bits").coalesce(SPLITS)
+    return held.hint("shuffle_replicate_nl").crossJoin(anchors.repartition(parts)).mapInArrow(run, columns)
 
 
 def mine(rows: DataFrame) -> DataFrame:
@@ -168,43 +271,18 @@ def mine(rows: DataFrame) -> DataFrame:
     chosen = held.filter(F.pmod("id", F.lit(EVERY)) == 0)
     parts = max(1, -(-rows.filter(F.pmod("vec_id", F.lit(EVERY)) == 0).count() // (4 * ANCHORS)))
     anchors = blocks(chosen.repartition(parts), ANCHORS, False)
-    anchors = anchors.select(*(F.col(c).alias(f"a_{c}") for c in ("block", "n", "ids", "labels", "values", "peak")))
-
-    def positives(table: pa.Table) -> pa.Table:
-        found = [[] for _ in range(5)]
-        for c in table.to_pylist():
-            pair = _Pair(c, c)
-            keys = np.where(pair.same & (pair.ids != pair.anchor_ids[:, None]), pair.keys, np.iinfo(np.int64).min)
-            row, at = _largest(keys, POSITIVES)
-            for out, column in zip(found, (np.full(len(row), c["a_block"]), row, pair.anchor_ids[row], pair.ids[at], pair.scores[row, at]), strict=True):
-                out.append(column)
-        return pa.table({n: pa.array(np.concatenate(v), t) for n, v, t in zip(("a_block", "place", "anchor_id", "positive_id", "positive_score"), found, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)})
-
-    slots = max(1, candidates.count())
-    best = _paired(candidates, anchors, slots).applyInArrow(positives, "a_block long, place int, anchor_id long, positive_id long, positive_score long")
+    anchors = anchors.select(*(F.col(c).alias(f"a_{c}") for c in ("block", "ids", "labels", "values")))
+    parts = max(1, -(-anchors.count() // HELD))
+
+    best = _paired(candidates, anchors, parts, _Positives, "a_block long, place long, anchor_id long, positive_id long, positive_score long")
     order = Window.partitionBy("a_block", "place").orderBy(F.desc("positive_score"), "positive_id")
     best = materialize(best.withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= POSITIVES))
     goals = best.groupBy("a_block").agg(F.collect_list(F.struct("place", "slot", "positive_score")).alias("goals"))  # 5 for each anchor of a block
 
-    def negatives(table: pa.Table) -> pa.Table:
-        found = [[] for _ in range(5)]
-        for c in table.to_pylist():
-            pair = _Pair(c, c)
-            place, slot, goal = (np.array([g[k] for g in c["goals"]], np.int64) for k in ("place", "slot", "positive_score"))
-            for k in range(1, POSITIVES + 1):
-                at_slot = slot == k
-                rows_, limits = place[at_slot], goal[at_slot][:, None]
-                s = pair.scores[rows_]
-                fits = ~pair.same[rows_] & (LEAST * limits <= 100 * s) & (100 * s <= MOST * limits)
-                row, at = _largest(np.where(fits, pair.keys[rows_], np.iinfo(np.int64).min), NEGATIVES)
-                for out, column in zip(found, (np.full(len(row), c["a_block"]), rows_[row], np.full(len(row), k), pair.ids[at], s[row, at]), strict=True):
-                    out.append(column)
-        return pa.table({n: pa.array(np.concatenate(v), t) for n, v, t in zip(("a_block", "place", "slot", "negative_id", "negative_score"), found, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)})
-
-    hard = _paired(candidates, anchors.join(goals, "a_block"), slots).applyInArrow(negatives, "a_block long, place int, slot int, negative_id long, negative_score long")
+    hard = _paired(candidates, anchors.join(goals.hint("merge"), "a_block"), parts, _Negatives, "a_block long, place long, slot long, negative_id long, negative_score long")
     order = Window.partitionBy("a_block", "place", "slot").orderBy(F.desc("negative_score"), "negative_id")
     hard = hard.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= NEGATIVES)
-    return hard.join(best, ["a_block", "place", "slot"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return hard.join(best.hint("merge"), ["a_block", "place", "slot"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
 def op12_hard_negatives(spark, sf_dir):

@@ -52,6 +52,25 @@ def test_mine(spark, sizes, monkeypatch):
     assert got
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e5])
+def test_small_and_large_components(spark, scale, monkeypatch):
+    """Tables of 16 and of 32 bits, sums of 32 and of 64, by many parts of the candidates."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(v)) for v in scale * rng.normal(0.1, 0.2, 12)], i % 4) for i in range(500)]
+    monkeypatch.setattr(negatives, "CANDIDATES", 50)
+    monkeypatch.setattr(negatives, "LOOKED", 16)
+    got = [tuple(r) for r in negatives.mine(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()]
+    assert sorted(got) == sorted(slow(rows)) and got
+
+
+def test_nothing_is_broadcast(spark):
+    """The driver holds no blocks, and anchors are not repeated by the number of candidates."""
+    df = spark.createDataFrame([(i, [0.5, 0.1 * (i % 7)], i % 3) for i in range(200)], SCHEMA)
+    plan = negatives.mine(df)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+    assert "Broadcast" not in plan and "Generate" not in plan
+
+
 def test_empty_and_without_anchors(spark):
     assert negatives.mine(spark.createDataFrame([], SCHEMA)).count() == 0
     assert negatives.mine(spark.createDataFrame([(1, [0.5], 1), (2, [0.5], 1)], SCHEMA)).count() == 0
