@@ -715,6 +715,73 @@ def test_model_against_one_bit_at_a_time():
     assert model.bits(f) == pytest.approx(slow_bits(model, f), rel=1e-3, abs=2e-3)
 
 
+def _namesakes():
+    """Two words of one name."""
+    words = np.array([f"w{k}".encode() for k in range(20_000)], object)
+    name = mixing.word_hashes(words) & np.uint64(0xFFFFFF)
+    order = np.argsort(name, kind="stable")
+    k = int(np.flatnonzero(name[order][1:] == name[order][:-1])[0])
+    return words[order[k]], words[order[k + 1]]
+
+
+def test_words_of_one_name_are_told_apart(monkeypatch):
+    """After a guess that comes, the known words of its name share what is left; a new word of that name is none of them."""
+    one, two = _namesakes()
+    features = mixing.features
+
+    def told_of_others(row, told, bits):
+        words = [w for n, part in zip(row["n_words"], row["words"], strict=True) for w in mixing._unpack_words(part, n)]
+        at, seen = np.unique(mixing.word_hashes(words) & np.uint64(0xFFFFFF), return_inverse=True)[1], told["total"].sum(0)
+        return features(row, told | {"others": np.bincount(at, seen)[at].astype(np.int64) - seen}, bits)
+
+    monkeypatch.setattr(mixing, "features", told_of_others)
+    corpus = [(k, False, 0, [b"a", b"b", one if k < 6 else two]) for k in range(9)]
+    corpus += [(20, True, 0, [b"a", b"b", one]), (21, True, 0, [b"a", b"b", two]), (22, True, 0, [b"a", b"b", two, one, b"a", b"b", one])]
+    names, total, _, (f,) = _features_of(corpus, groups=1)
+    code = (mixing.word_hashes(names) >> np.uint64(24) & np.uint64(255)).astype(int)
+    model = mixing.Model(np.stack([[np.bincount(code, t, 256), np.bincount(code, t * (t == 1), 256)] for t in total]), np.array([1.0]))
+    model.fit([f])
+    start = np.cumsum(f["n"]) - f["n"]
+    bits = model.bits(f)
+    assert f["hit"][start + 2].all()
+    assert f["alike"][start[9] + 2] == pytest.approx(6 / 9) and f["alike"][start[10] + 2] == pytest.approx(3 / 9)
+    assert f["alike"][start[0] + 2] == pytest.approx(5 / 8) and f["alike"][start[11] + 6] == pytest.approx(7 / 11)  # less the own document; with what came before
+    assert sum(2.0 ** -bits[start[k] + 2] for k in (9, 10)) <= 1
+    _, _, _, (f,) = _features_of([(k, False, 0, [b"a", b"b", one]) for k in range(5)] + [(20, True, 0, [b"a", b"b", two])], groups=1)
+    assert not f["hit"][-2] and not f["known"][-2]
+
+
+def test_words_of_one_name_meet(spark):
+    """Wherever their texts lie, each of them is told how often the others occur."""
+    one, two = (w.decode() for w in _namesakes())
+    rows = [(1, False, 0, f"{one} x {one}"), (2, False, 0, f"y {two}"), (3, True, 0, two)]
+    blocks = mixing._blocks(spark.createDataFrame(rows, "id long, held boolean, kind int, text string").repartition(3), 5, 1, 1)
+    got = {}
+    for r in mixing._vocabulary(blocks, 1).collect():
+        got |= dict(zip(mixing._unpack_words(r["words"], r["n_words"]), mixing._unpacked(r["others"], "<i8").tolist(), strict=True))
+    assert got == {one.encode(): 1, two.encode(): 2, b"x": 0, b"y": 0, b"": 0}
+
+
+def test_every_class_is_a_predictor(spark):
+    """Rare classes are not lumped together with texts of none, however many there are."""
+    rng = random.Random(6)
+    pools = [["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(30)] for _ in range(24)]
+    rows = [(100 * k + j, " ".join(rng.choice(pools[k]) for _ in range(25)), f"c{k:02}") for k in range(24) for j in range(34 - k)]
+    scores = lambda d: {r["id"]: r["score"] for r in mixing.mixing_scores(spark.createDataFrame(d, "doc_id long, text string, lang string"), class_col="lang").collect()}
+    apart, lumped = scores(rows), scores([(i, t, c if c < "c15" else None) for i, t, c in rows])
+    assert apart.keys() == lumped.keys() and all(v < 0 for v in apart.values())
+    rare = [i for i in apart if i >= 1500]
+    assert sum(apart[i] for i in rare) > sum(lumped[i] for i in rare)
+
+
+def test_classes_beyond_a_byte():
+    model = mixing.Model(np.ones((300, 2, 256)), np.full(300, 1 / 300))
+    pi = np.random.default_rng(0).random((300, 40))
+    top = model._top(pi)
+    assert (top == pi.argmax(0)).all()
+    assert (model._class({"top": (top & 255).astype(np.uint8), "over": (top >> 8).astype(np.uint8)}) == top).all()
+
+
 def test_scores_follow_each_token_once(docs):
     """Scoring reads what the pass of the fit wrote: it neither joins the blocks with their replies again nor derives their features again."""
     plan = mixing.mixing_scores(docs, block_bytes=4000)._jdf.queryExecution().optimizedPlan().toString()
