@@ -762,6 +762,26 @@ def test_words_of_one_name_meet(spark):
     assert got == {one.encode(): 1, two.encode(): 2, b"x": 0, b"y": 0, b"": 0}
 
 
+def test_what_follows_frequent_words(spark, monkeypatch):
+    """The best successor of every word over all blocks, however often the word occurs; pairs that are added up in parts change nothing."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("ab") if rng.random() < 0.5 else rng.choice(["c", "d", "e", "f"]) for _ in range(60)) for _ in range(12)]
+    follow = {}
+    for t in texts:
+        words = [*t.encode().split(), b""]
+        for a, b in zip(words, words[1:], strict=False):
+            follow.setdefault(a, Counter())[int(mixing.word_hashes([b])[0]) & 0xFFFFFF] += 1
+    want = {w: min(c.items(), key=lambda x: (-x[1], x[0])) for w, c in follow.items()}
+    blocks = mixing._blocks(spark.createDataFrame([(k, False, 0, t) for k, t in enumerate(texts)], "id long, held boolean, kind int, text string").repartition(4), 3, 500, 1)
+    assert max(sum(c.values()) for c in follow.values()) > 100 and blocks.count() > 4
+    for most in (1 << 21, 5):
+        monkeypatch.setattr(mixing, "PAIRS", most)
+        got = {}
+        for r in mixing._vocabulary(blocks, 1).collect():
+            got |= dict(zip(mixing._unpack_words(r["words"], r["n_words"]), zip(mixing._unpacked(r["follows"], "<i8").tolist(), mixing._unpacked(r["times"], "<i8").tolist(), strict=True), strict=True))
+        assert {w: x for w, x in got.items() if w} == want
+
+
 def test_every_class_is_a_predictor(spark):
     """Rare classes are not lumped together with texts of none, however many there are."""
     rng = random.Random(6)
